@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, packing, quality, topk, url_rules
+from . import chat, html_wrappers, line_dedup, minmax_dedup, mixing, packing, quality, topk, toxicity, url_rules
 from .common import table
 
 #: The rules that op10 judges by.
@@ -29,11 +29,49 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Documents of a higher score are predicted toxic.
+TOXIC_FROM = 0.3
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~toxicity.held_out(F.col("doc_id")))
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    return scored.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"),
+        F.size("offending").alias("n_offending"),
+    )
+
+
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors.filter("vec_id % 50 = 0"), vectors, k=5, scale=256)
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op4_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax_dedup.group(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=80)
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    return mixed.select(
+        "doc_id",
+        "source",
+        "lang",
+        F.col("_topic").alias("topic"),
+        F.col("_tokens").alias("n_tokens"),
+        F.col("_probability").alias("probability"),
+        F.col("_drawn").alias("drawn"),
+    )
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -50,13 +88,29 @@ def op8_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file())
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_topk, op6_chat_format, op7_quality_rules, op8_hilbert_packing, op10_url_filter)
+    f.__name__: f
+    for f in (
+        op1_toxicity,
+        op2_exact_topk,
+        op3_html_text,
+        op4_minmax_dedup,
+        op5_mixing,
+        op6_chat_format,
+        op7_quality_rules,
+        op8_hilbert_packing,
+        op9_line_dedup,
+        op10_url_filter,
+    )
 }
 
 _OP2_SQL = """
@@ -122,6 +176,49 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f
 """
 
+_OP4_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), e AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL) p
+  JOIN n m ON m.doc_id = a JOIN n o ON o.doc_id = b WHERE 100 * c >= 80 * (m.n + o.n - c)
+), r AS (SELECT doc_id AS root, doc_id AS node FROM d UNION SELECT root, b FROM r JOIN e ON a = node)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.c AS component_id, d.doc_id = c.c AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(root) AS c FROM r GROUP BY node) c ON c.node = d.doc_id
+"""
+
+# within one edit: at most one place differs, or dropping the first place that differs makes the rest equal
+_OP9_SQL = rf"""
+WITH o AS (
+  SELECT doc_id, i::BIGINT AS line_no, s[i + 1] AS line
+  FROM (SELECT doc_id, s, unnest(range(len(s))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL))
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), c AS (
+  SELECT line, length(line) AS n, f.doc_id AS class_doc, f.line_no AS class_line, row_number() OVER (ORDER BY f.doc_id, f.line_no) AS id
+  FROM (SELECT line, min({{'doc_id': doc_id, 'line_no': line_no}}) AS f FROM o GROUP BY line)
+), p AS (
+  SELECT s.id AS a, r.id AS b, s.line AS x, r.line AS y FROM c s JOIN c r
+    ON r.n = s.n AND left(s.line, s.n // 2) = left(r.line, s.n // 2) AND s.id < r.id WHERE s.n >= {line_dedup.SHORTEST}
+  UNION SELECT s.id, r.id, s.line, r.line FROM c s JOIN c r
+    ON r.n = s.n AND right(s.line, s.n - s.n // 2) = right(r.line, s.n - s.n // 2) AND s.id < r.id WHERE s.n >= {line_dedup.SHORTEST}
+  UNION SELECT s.id, r.id, s.line, r.line FROM c s JOIN c r
+    ON r.n = s.n + 1 AND left(s.line, s.n // 2) = left(r.line, s.n // 2) WHERE s.n >= {line_dedup.SHORTEST}
+  UNION SELECT s.id, r.id, s.line, r.line FROM c s JOIN c r
+    ON r.n = s.n + 1 AND right(s.line, s.n - s.n // 2) = right(r.line, s.n - s.n // 2) WHERE s.n >= {line_dedup.SHORTEST}
+), q AS (
+  SELECT a, b, x, y, length(y) - length(x) AS d,
+    coalesce(list_position(list_transform(range(1, length(x) + 1), lambda i: substr(x, i, 1) <> substr(y, i, 1)), true), length(x) + 1) AS at FROM p
+), l AS (SELECT a, b FROM q WHERE substr(x, at + 1 - d) = substr(y, at + 1)
+), t AS (SELECT id, count(*) AS n, min(other) AS first FROM (SELECT a AS id, b AS other FROM l UNION ALL SELECT b, a FROM l) GROUP BY id)
+SELECT doc_id, line_no, class_doc, class_line, coalesce(t.n, 0)::BIGINT AS n_links,
+  doc_id = class_doc AND line_no = class_line AND (t.first IS NULL OR c.id < t.first) AS kept
+FROM o JOIN c USING (line) LEFT JOIN t USING (id)
+"""
+
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 _OP10_SQL = rf"""
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -137,7 +234,14 @@ WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, inst
 SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN f USING (page_id)
 """
 
-SQL: dict[str, str] = {"op2_exact_topk": _OP2_SQL, "op6_chat_format": _OP6_SQL, "op7_quality_rules": _OP7_SQL, "op10_url_filter": _OP10_SQL}
+SQL: dict[str, str] = {
+    "op2_exact_topk": _OP2_SQL,
+    "op4_minmax_dedup": _OP4_SQL,
+    "op6_chat_format": _OP6_SQL,
+    "op7_quality_rules": _OP7_SQL,
+    "op9_line_dedup": _OP9_SQL,
+    "op10_url_filter": _OP10_SQL,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -31,7 +31,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 FEATURES = 1 << 18
 SAMPLE = 3000
 EPOCHS, RATE, DECAY = 80, 0.08, 2e-4
-OFFENDING = 0.3
+#: Features of fewer documents get no weight.
+MIN_DOCUMENTS = 4
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -100,6 +101,9 @@ def fit(texts: list[str], labels: np.ndarray, doc_weights: np.ndarray) -> Model:
     words, sentence_at, doc_of = np.array(words), np.array(sentence_at), np.array(doc_of)
     sentence_of = np.repeat(np.arange(len(sentence_at)), np.diff([*sentence_at, len(words)]))
     n, y, mass = len(texts), labels.astype(float), doc_weights / doc_weights.sum()
+    pairs = np.unique(words * n + doc_of[sentence_of])  # a word and a document that has it
+    of_word = np.bincount(pairs // n, minlength=len(slots))
+    rare = np.bincount(slot, of_word[word_of_slot], FEATURES) < MIN_DOCUMENTS
     theta, m, v = np.zeros(FEATURES + 1), np.zeros(FEATURES + 1), np.zeros(FEATURES + 1)
     theta[-1] = bias
     for step in range(1, EPOCHS + 1):
@@ -111,6 +115,7 @@ def fit(texts: list[str], labels: np.ndarray, doc_weights: np.ndarray) -> Model:
         by_word = np.bincount(words, g[sentence_of], len(slots))
         grad = np.append(np.bincount(slot, by_word[word_of_slot], FEATURES), g.sum())
         grad[:-1] += DECAY * theta[:-1]
+        grad[:-1][rare] = 0.0
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
     return Model(theta[:-1].astype(np.float32), float(theta[-1]))
