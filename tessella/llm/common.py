@@ -39,6 +39,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole(docs: DataFrame, *names: str) -> DataFrame:
+    """The rows of docs as one struct column _doc, and beside it the columns to work on: no name can clash."""
+    return docs.select(F.struct("*").alias("_doc"), *names)
+
+
+def parted(df: DataFrame, docs: DataFrame, **made: Column) -> DataFrame:
+    """The inverse of whole(): the columns of docs, some of them made anew."""
+    return df.select(*(made.get(c, F.col("_doc").getField(c)).alias(c) for c in docs.columns))
+
+
 def word_array(text: Column) -> Column:
     """The words of a text, in order; none for a null or blank one."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(GAP_CHARS))

@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import written
+from .common import parted, whole, written
 from .components import components
 
 PERMUTATIONS, ROWS = 64, 4
@@ -152,11 +152,12 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs without those that are near a smaller doc_id. Of rows that share a doc_id the first by text stays; rows
-    without one all stay."""
+    """docs without those that are near a smaller doc_id; the columns of docs. Of rows that share a doc_id the first by
+    text stays; rows without one all stay."""
     gone = group(docs, words, percent).filter("NOT kept").select("doc_id").distinct()
-    again = written(docs.groupBy("doc_id").count().filter("doc_id IS NOT NULL AND count > 1").select("doc_id"), "minmax-again")
-    left = docs.join(gone, "doc_id", "left_anti")
-    first = Window.partitionBy("doc_id").orderBy("text", *(c for c in docs.columns if c not in ("doc_id", "text")))
-    once = left.join(again, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1")
-    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("doc_id IS NOT NULL AND n > 1").select("doc_id")
+    again = written(again, "minmax-again")
+    left = whole(docs, "doc_id", "text").join(gone, "doc_id", "left_anti")
+    first = Window.partitionBy("doc_id").orderBy(F.col("text"), F.xxhash64("_doc"))
+    once = left.join(again, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    return parted(left.join(again, "doc_id", "left_anti").unionByName(once), docs)

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import GAP_CHARS, let, word_array
+from .common import GAP_CHARS, let, parted, whole, word_array
 
 # The patterns of the line rules and the limits of the verdict.
 SYMBOLS = "#*$%&|<>"
@@ -37,6 +37,7 @@ MAX_SYMBOL_PERCENT = 10
 BARS = "[|>]"
 MAX_BAR_PERCENT = 4
 REPEAT_WINDOW = 5
+RESULTS = "n_words word_chars n_symbols n_repeat_words n_dup_lines line_chars kept_chars kept_text base_failed kept".split()
 
 
 def _has_word(text: Column) -> Column:
@@ -94,7 +95,9 @@ def line_passes(line: Column, symbols: Column) -> Column:
 
 
 def judge(docs: DataFrame, text: str = "text", kept_text: bool = False) -> DataFrame:
-    """docs with the base counts, base_failed, line_chars, kept_chars and kept; with kept_text also the lines that stay."""
+    """docs with the base counts, base_failed, line_chars, kept_chars and kept; with kept_text also the lines that stay.
+    Columns of docs with one of these names are replaced."""
+    docs = docs.drop("_w", "_l", *RESULTS)
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n"), _has_word)
 
@@ -132,7 +135,5 @@ def judge(docs: DataFrame, text: str = "text", kept_text: bool = False) -> DataF
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that stay, without their failed lines; the columns of docs."""
-    own = {"text", "n_chars"}
-    judged = judge(docs.select(F.struct("*").alias("_doc"), F.col("text").alias("_text")), "_text", kept_text=True)
-    made = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("bigint")}
-    return judged.filter("kept").select(*(made[c].alias(c) if c in own else F.col("_doc")[c].alias(c) for c in docs.columns))
+    kept = judge(whole(docs, "text"), kept_text=True).filter("kept")
+    return parted(kept, docs, text=F.col("kept_text"), n_chars=F.length("kept_text").cast("bigint"))

@@ -211,8 +211,8 @@ WITH o AS (
     ON r.n = s.n + 1 AND right(s.line, s.n - s.n // 2) = right(r.line, s.n - s.n // 2) WHERE s.n >= {line_dedup.SHORTEST}
 ), q AS (
   SELECT a, b, x, y, length(y) - length(x) AS d,
-    coalesce(list_position(list_transform(range(1, length(x) + 1), lambda i: substr(x, i, 1) <> substr(y, i, 1)), true), length(x) + 1) AS at FROM p
-), l AS (SELECT a, b FROM q WHERE substr(x, at + 1 - d) = substr(y, at + 1)
+    coalesce(list_position(list_transform(range(1, length(x) + 1), lambda i: substr(x, i, 1) <> substr(y, i, 1)), true), length(x) + 1) AS place FROM p
+), l AS (SELECT a, b FROM q WHERE substr(x, place + 1 - d) = substr(y, place + 1)
 ), t AS (SELECT id, count(*) AS n, min(other) AS first FROM (SELECT a AS id, b AS other FROM l UNION ALL SELECT b, a FROM l) GROUP BY id)
 SELECT doc_id, line_no, class_doc, class_line, coalesce(t.n, 0)::BIGINT AS n_links,
   doc_id = class_doc AND line_no = class_line AND (t.first IS NULL OR c.id < t.first) AS kept
