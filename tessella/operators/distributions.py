@@ -50,8 +50,8 @@ def fill_mean(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def bin_of(value: Column, low: Column, high: Column, bins: int) -> Column:
     """Bins 0 .. bins - 1 of equal width, the last one closed; flat data are bin 0."""
-    at = F.floor(F.try_divide(value - low, high - low) * bins)
-    return F.coalesce(F.least(at, F.lit(bins - 1)), F.when(value.isNotNull(), F.lit(0))).cast("int")
+    at = F.coalesce(F.floor(F.try_divide(value - low, high - low) * bins), F.lit(0))
+    return F.when(value.isNotNull(), F.least(at, F.lit(bins - 1))).cast("int")
 
 
 def histogram(df: DataFrame, columns: list[str], bins: int) -> DataFrame:
