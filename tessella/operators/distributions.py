@@ -1,4 +1,5 @@
-"""Scaling, binning, densities and resampling. One-row aggregates are broadcast; no window spans the whole table."""
+"""Scaling, binning, densities and resampling. One-row aggregates are broadcast, tables of groups are not; no window
+spans the whole table."""
 
 from __future__ import annotations
 
@@ -88,7 +89,7 @@ def boxes(df: DataFrame, by: list[str], column: str) -> DataFrame:
     five = df.groupBy(*by).agg(F.percentile(column, F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("_p"))
     named = five.select(*by, *(F.col("_p")[i].alias(n) for i, n in enumerate(("least", "q1", "median", "q3", "most"))))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = df.select(*by, F.col(column).alias("_v")).join(F.broadcast(named), by)
+    inside = df.select(*by, F.col(column).alias("_v")).join(named, by)
     fences = inside.groupBy(*by).agg(F.min(F.when(F.col("_v") >= F.col("q1") - reach, F.col("_v"))).alias("low_fence"), F.max(F.when(F.col("_v") <= F.col("q3") + reach, F.col("_v"))).alias("high_fence"))
     return named.join(fences, by)
 
@@ -100,7 +101,7 @@ def density_1d(df: DataFrame, group: str, column: str, low: float, high: float,
     width = F.col("s") * (F.lit(factor) if factor else F.pow(F.col("n").cast("double"), F.lit(-0.2)))
     weights = df.filter(F.col(column).isNotNull()).groupBy(group, F.col(column).alias("v")).agg(F.count("*").alias("c"))
     grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
-    placed = weights.join(F.broadcast(stats.withColumn("h", width)), group).withColumn("g", grid)
+    placed = weights.join(stats.withColumn("h", width), group).withColumn("g", grid)
     x = F.lit(low) + F.col("g") * F.lit((high - low) / (points - 1))
     kernel = F.exp(-0.5 * F.pow((x - F.col("v")) / F.col("h"), F.lit(2)))
     mass = placed.groupBy(group, "g").agg(F.sum(F.col("c") * kernel).alias("k"), F.first("n").alias("n"), F.first("h").alias("h"))
@@ -130,7 +131,7 @@ def density_3d(df: DataFrame, key: str, columns: list[str], factor: float = 0.15
 def normal_plot(df: DataFrame, group: str, value: str, key: str) -> DataFrame:
     """group, i, p, sample, theoretical: ordered values against normal quantiles at Filliben's medians of ranks."""
     ranked = df.filter(F.col(value).isNotNull()).withColumn("i", F.row_number().over(Window.partitionBy(group).orderBy(value, key)))
-    ranked = ranked.join(F.broadcast(df.groupBy(group).agg(F.count(value).alias("n"))), group)
+    ranked = ranked.join(df.groupBy(group).agg(F.count(value).alias("n")), group)
     end = F.pow(F.lit(0.5), 1 / F.col("n"))
     p = F.when(F.col("i") == F.col("n"), end).when(F.col("i") == 1, 1 - end).otherwise((F.col("i") - 0.3175) / (F.col("n") + 0.365))
     return ranked.select(group, F.col("i").cast("long").alias("i"), p.alias("p"), F.col(value).alias("sample")).withColumn("theoretical", normal_quantile(F.col("p")))
@@ -151,7 +152,7 @@ def bootstrap(df: DataFrame, group: str, value: str, key: str, draws: int, least
     Groups below `least` rows get nulls. The work is draws times the rows, so it's for groups of a bounded size."""
     ranked = df.filter(F.col(value).isNotNull()).select(group, F.col(value).alias("v"), (F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1).cast("long").alias("r"))
     sizes = df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
-    asked = ranked.select(group, "r").join(F.broadcast(sizes.filter(F.col("n") >= least)), group).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
+    asked = ranked.select(group, "r").join(sizes.filter(F.col("n") >= least), group).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
     index = ((F.col("b") * DRAW_A + F.col("r") * DRAW_B + DRAW_C) * DRAW_D) % DRAW_M % F.col("n")
     counts = asked.groupBy(group, "b", index.alias("r")).agg(F.count("*").alias("c"))
     means = counts.join(ranked, [group, "r"]).groupBy(group, "b").agg((F.sum(F.col("c") * F.col("v")) / F.sum("c")).alias("m"))
