@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessella.functions.special import normal_quantile
 
+from .quantiles import quantiles
+
 
 def with_stats(df: DataFrame, *stats: Column) -> DataFrame:
     """df beside one row of statistics over it."""
@@ -38,9 +40,9 @@ def minmax(df: DataFrame, column: str, low: float = 0.0, high: float = 1.0) -> D
 
 def below_quantile(df: DataFrame, columns: list[str], q: float = 0.99) -> DataFrame:
     """The rows strictly below the quantile in every column."""
-    met = with_stats(df, *(F.percentile(c, F.lit(q)).alias(f"_q_{c}") for c in columns))
+    met = df
     for c in columns:
-        met = met.filter(F.col(c) < F.col(f"_q_{c}"))
+        met = met.join(F.broadcast(quantiles(df, c, [q]).select(F.col("quantiles")[0].alias(f"_q_{c}")))).filter(F.col(c) < F.col(f"_q_{c}"))
     return met.select(*df.columns)
 
 
@@ -79,14 +81,14 @@ def hexbin(df: DataFrame, x: str, y: str, grid: int = 20) -> DataFrame:
 
 def terciles(df: DataFrame, column: str, name: str) -> DataFrame:
     """df with Low, Medium or High by exact terciles; intervals are closed on the right, so ties stay together."""
-    met = with_stats(df, F.percentile(column, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_q"))
+    met = df.join(F.broadcast(quantiles(df, column, [1 / 3, 2 / 3]).select(F.col("quantiles").alias("_q"))))
     label = F.when(F.col(column) <= F.col("_q")[0], "Low").when(F.col(column) <= F.col("_q")[1], "Medium").when(F.col(column).isNotNull(), "High")
     return met.select(*df.columns, label.alias(name))
 
 
 def boxes(df: DataFrame, by: list[str], column: str) -> DataFrame:
     """Five numbers, and the most extreme values within 1.5 interquartile ranges of the box."""
-    five = df.groupBy(*by).agg(F.percentile(column, F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("_p"))
+    five = quantiles(df, column, [0.0, 0.25, 0.5, 0.75, 1.0], by).withColumnRenamed("quantiles", "_p")
     named = five.select(*by, *(F.col("_p")[i].alias(n) for i, n in enumerate(("least", "q1", "median", "q3", "most"))))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = df.select(*by, F.col(column).alias("_v")).join(named, by)

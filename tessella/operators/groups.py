@@ -8,20 +8,34 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tessella.functions.safe import cv_pop, cv_samp
 
+from .quantiles import by_sorting, few_values
+
 
 def describe(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """by..., feature, and count, mean, std, min, quartiles (exact), max of each column, in long form."""
-    made = []
+    made, by, shares = [], by or [], [0.25, 0.5, 0.75]
+    few = few_values(df, columns)
+    if not all(few.values()):
+        return reduce(DataFrame.unionByName, (_describe_sorted(df, c, by, shares) for c in columns))
     for c in columns:
-        quartiles = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        quartiles = F.percentile(c, F.array(*map(F.lit, shares)))
         made.append(
             F.struct(
                 F.lit(c).alias("feature"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("least"),
                 quartiles[0].alias("q1"), quartiles[1].alias("median"), quartiles[2].alias("q3"), F.max(c).alias("most"),
             ).alias(c)
         )
-    wide = df.groupBy(*(by or [])).agg(*made)
-    return wide.select(*(by or []), F.inline(F.array(*columns)))
+    wide = df.groupBy(*by).agg(*made)
+    return wide.select(*by, F.inline(F.array(*columns)))
+
+
+def _describe_sorted(df: DataFrame, c: str, by: list[str], shares: list[float]) -> DataFrame:
+    """describe() of one column of very many values."""
+    stats = df.groupBy(*by).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("least"), F.max(c).alias("most"))
+    q = by_sorting(df, c, shares, by)
+    met = stats.join(q, by, "left") if by else stats.join(F.broadcast(q), how="left")
+    names = zip(("q1", "median", "q3"), range(3), strict=True)
+    return met.select(*by, F.lit(c).alias("feature"), "n", "mean", "std", "least", *(F.col("quantiles")[i].alias(x) for x, i in names), "most")
 
 
 def summary(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
