@@ -2,43 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from tessella.sources.scratch import scratch, shared_folder, written
+from tessella.sources.tables import table
+
+__all__ = ["GAP_CHARS", "WORD_GAP", "let", "parted", "scratch", "shared_folder", "table", "whole", "word_array", "written"]
 
 #: The ASCII white space that separates words, as a regular expression and as characters.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 GAP_CHARS = " \t\n\x0b\x0c\r"
 
-_own_folder: list[str] = []
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a temporary one only where the setting is missing."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="tessella-"))
-    return _own_folder[0]
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back.
-
-    This cuts the lineage, survives the loss of executors and gives each later reader the very same rows,
-    also where partition numbers or samples went into them.
-    """
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def whole(docs: DataFrame, *names: str) -> DataFrame:
     """The rows of docs as one struct column _doc, and beside it the columns to work on: no name can clash."""
     return docs.select(F.struct("*").alias("_doc"), *names)

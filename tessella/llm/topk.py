@@ -12,7 +12,7 @@ with the input, and equal vectors spread over the blocks by id.
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part, nor do rows with a null id;
 vectors of different lengths don't meet. Equal scores go to the smaller id. Repeated rows of a candidate each count; a
-query given more than once counts once. With fewer than k candidates all come back. Scores are exact as long as they fit
+query given more than once counts once (its smallest vector). With fewer than k candidates all come back. Scores are exact as long as they fit
 into a long.
 """
 
@@ -71,7 +71,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, scale: int = 25
         ints = F.transform(v, lambda x: F.floor(x * scale).cast("long"))
         return df.filter(sound).select(F.col(vec_id).cast("long").alias("id"), ints.alias("v"))
 
-    asked, given = whole(queries).dropDuplicates(["id"]), whole(candidates)
+    asked, given = whole(queries).groupBy("id").agg(F.min("v").alias("v")), whole(candidates)
     q_blocks, c_blocks = (max(1, -(-df.count() // block)) for df in (asked, given))
     home = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
     left = asked.withColumn("q", home(q_blocks)).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))

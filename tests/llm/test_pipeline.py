@@ -6,6 +6,7 @@ from test_minmax_dedup import plain as plain_near
 from test_quality import plain as plain_quality
 
 from tessella.llm import mixing, packing, quality
+from tessella.llm.common import written
 
 
 def test_each_stage_against_a_plain_version(spark, documents, words, tmp_path):
@@ -18,7 +19,7 @@ def test_each_stage_against_a_plain_version(spark, documents, words, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     steps, made = [], docs
     for _, stage in corpus_pipeline.STAGES:
-        made = corpus_pipeline.written(stage(spark, made, str(tmp_path)), "test")
+        made = written(stage(spark, made, str(tmp_path)), "test")
         steps.append(made)
     assert all(s.columns == docs.columns for s in steps[:-1])
     texts = [{r.doc_id: r.text for r in s.collect()} for s in (docs, *steps[:-1])]
