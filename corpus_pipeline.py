@@ -6,10 +6,12 @@ writes every stage's result as Parquet and gives it to the next, so each stage w
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import line_dedup, minmax_dedup, mixing, packing, quality
-from tessella.llm.common import table, written
+from tessella.llm.common import scratch, shared_folder, table
 from tessella.llm.queries import tokenizer_file
 
 #: Near-duplicates: five words a shingle, a similarity of 0.8.
@@ -51,5 +53,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        path = f"{shared_folder(spark)}/pipeline-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+        with scratch(spark):  # what the stage wrote on the way goes once its result is stored
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
     return docs
