@@ -9,7 +9,10 @@ Candidates don't expand into all pairs of a bucket:
 1. Equal sets form one class, with the smallest doc_id as its representative; only representatives go on.
 2. In every bucket each member meets the bucket's smallest and largest member. These pairs are confirmed on full sets.
 3. Confirmed links give components. Buckets whose members now lie in one component are done: more links would change
-   nothing. In the others every pair across components is confirmed as well, so no link is lost.
+   nothing. The members of the others are joined exactly: in one order by rarity, two similar sets share one of their
+   first shingles, and enough of what follows it. Pairs across components that share such a shingle, with sizes and places
+   that allow the similarity, are confirmed as well, so no link is lost. Copies edited in different places have their
+   edits first, so they don't all meet.
 Confirming reads the whole texts of both sides again. No bucket, class or component is gathered in one task.
 
 Defined cases: a null or blank text has an empty set, is linked with nothing and stands for itself. Fewer words than a
@@ -115,6 +118,33 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long").distinct()
 
 
+def prefixes(ids: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """id, n, token, pos: of each document the rarest shingles, in one order for all, that can't all be missing from a
+    similar document; pos counts from 1. Shingles that no other of these documents has are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                s = shingle_set(text, words).view(np.int64)
+                for at in range(0, len(s), 10_000):
+                    part = s[at : at + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), i)), pa.array(part)], ["id", "token"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id")
+    each = written(texts.mapInArrow(run, "id long, token long"), "minmax-shingles")
+    counts = written(each.groupBy("token").agg(F.count("*").alias("df")), "minmax-counts")
+    ordered = each.join(counts, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))
+    sized = ordered.withColumn("n", F.size("s").cast("long"))
+    first = F.slice("s", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+    return sized.select("id", "n", F.posexplode(first).alias("p", "t")).filter("t.df > 1").select("id", "n", F.col("t.token").alias("token"), (F.col("p") + 1).alias("pos"))
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """The members of keys that hold more than one component."""
+    keys = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
+    return members.join(keys, "key")
+
+
 def _near_size(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
@@ -136,10 +166,17 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     found = written(components(links), "minmax-components")
 
     own = members.select("key", "id", "n").join(found, members["id"] == found["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-    open_keys = own.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
-    rest = written(own.join(open_keys, "key"), "minmax-open")
-    x, y = (rest.select("key", *(F.col(c).alias(f"{c}{s}") for c in ("id", "n", "c"))) for s in "xy")
-    across = x.join(y, "key").filter("idx > idy AND cx <> cy").filter(_near_size("nx", "ny", percent))
+    rest = written(_open(own).select("id", "c").distinct(), "minmax-open")
+    listed = _open(prefixes(rest.select("id"), docs, words, percent).join(rest, "id").withColumnRenamed("token", "key"))
+    # from its place on, a document must have enough in common with even the smallest one listed under the shingle
+    listed = written(listed, "minmax-listed")
+    left = F.col("n") - F.col("pos") + 1
+    least = listed.groupBy("key").agg(F.min("n").alias("least"))
+    listed = listed.join(least, "key").filter((100 + percent) * left >= percent * (F.col("n") + F.col("least")))
+    listed = written(_open(listed.select("key", "id", "n", "c", left.alias("left"))), "minmax-listed")
+    x, y = (listed.select("key", *(F.col(c).alias(f"{c}{s}") for c in ("id", "n", "c", "left"))) for s in "xy")
+    enough = (100 + percent) * F.least("leftx", "lefty") >= percent * (F.col("nx") + F.col("ny"))
+    across = x.join(y, "key").filter("idx > idy AND cx <> cy").filter(_near_size("nx", "ny", percent) & enough)
     across = across.select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
     more = written(confirmed(across, docs, words, percent), "minmax-links")
     if more.limit(1).count():
