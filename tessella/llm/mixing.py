@@ -1,13 +1,16 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents fall into cells of source, language and topic. Each cell's token mass is raked: in turn, the masses of each
-marginal's values are scaled to their targets, until all hold. A document's calibrated probability is its cell's raked
+marginal's values are scaled to their targets, until all hold; where the targets contradict each other, as cells that
+don't occur can make them, it ends once a round of sweeps gains nothing and logs what remains. A document's calibrated probability is its cell's raked
 mass over its observed mass, scaled so that the expected tokens are KEEP of all and no probability is above 1 (what
 saturated cells can't give, the others do). A document is drawn if a hash of its id is below its probability: the draw is
 the same whatever the partitioning, and repeated rows are drawn together.
 
-Topics are the nearest of TOPICS centroids of hashed word counts; these are fitted by k-means on at most SAMPLE documents
-chosen by a hash of doc_id. Everything else (masses, marginals, probabilities) covers all documents. Raking works on the
+Topics are the nearest of TOPICS centroids of hashed word counts, fitted by k-means on all documents that have words.
+Vectors are written once, in whole numbers, and so are the centroids: sums and distances are exact, hence topics are the
+same whatever the partitioning. The first centroids are drawn one after another from all vectors, far ones more likely,
+by a hash of the vector. Masses, marginals and probabilities cover all documents. Raking works on the
 table of cells, which is aggregated before anything is shuffled by a key, so a source with a third of all rows is a few
 rows there. Cells are joined back by key.
 
@@ -18,23 +21,30 @@ without documents have no effect; values without a target keep their observed sh
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import parted, whole, written
 
+_log = logging.getLogger(__name__)
+
 MARGINS = ("source", "lang", "topic")
 #: Targets, where none are given: each marginal's observed shares to these powers.
 TEMPERING = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 KEEP = 0.7
-TOPICS, BUCKETS, SAMPLE = 8, 64, 4096
-SWEEPS, TOLERANCE = 24, 1e-3
+TOPICS, BUCKETS = 8, 64
+#: K-means ends after so many rounds, or once no centroid moves further.
+ROUNDS, MOVED = 15, 1e-4
+#: Vectors and centroids are whole numbers of these parts of 1.
+UNIT, FINE = 1 << 14, 1 << 20
+#: Raking ends within TOLERANCE, or once SWEEPS more leave more than STALLED of the deviation.
+SWEEPS, TOLERANCE, STALLED = 4, 1e-3, 0.98
 #: Files of a table of cells; its rows are the combinations that occur.
 CELL_FILES = 8
 
@@ -64,34 +74,76 @@ class Hasher:
         return len(words), vector / max(np.linalg.norm(vector), 1.0)
 
 
-def centroids(docs: DataFrame, topics: int = TOPICS, sample: int = SAMPLE) -> np.ndarray:
-    ids = docs.filter("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample)
+def with_vectors(docs: DataFrame) -> DataFrame:
+    """docs with _vector (16-bit whole numbers of 1 / UNIT) and _tokens (words)."""
 
-    @F.pandas_udf("array<double>")
-    def vectors(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf("vector binary, tokens long")
+    def vectors(texts: pd.Series) -> pd.DataFrame:
         hasher = Hasher()
-        return pd.Series([hasher(t)[1].tolist() for t in texts])
+        read = [hasher(t) for t in texts]
+        return pd.DataFrame({"vector": [np.rint(v * UNIT).astype("<i2").tobytes() for _, v in read], "tokens": [n for n, _ in read]})
+
+    return docs.withColumn("_m", vectors("text")).select(*docs.columns, F.col("_m.vector").alias("_vector"), F.col("_m.tokens").alias("_tokens"))
+
+
+def _array(vectors: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(vectors), "<i2").reshape(-1, BUCKETS).astype(float)
+
+
+def _far(v: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Squared distances less the vectors' own squares, in parts of 1 / FINE ** 2: whole numbers, held exactly."""
+    return (centers**2).sum(axis=1)[None, :] - 2 * (FINE // UNIT) * v @ centers.T
+
 
-    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", vectors("text").alias("v"))
-    chosen = written(chosen.repartition(1).sortWithinPartitions("doc_id"), "mixing-sample")
-    if chosen.select("doc_id").distinct().count() < 2 * topics:
+def centroids(read: DataFrame, topics: int = TOPICS) -> np.ndarray:
+    """Whole numbers of 1 / FINE; fewer than topics if there aren't as many different vectors."""
+    used = read.filter("_tokens > 0").select("_vector", F.xxhash64("_vector").alias("h"))
+    centers = np.zeros((0, BUCKETS))
+
+    def races(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            v = _array(batch["_vector"])
+            apart = np.ones(len(v)) if not len(centers) else ((FINE // UNIT) ** 2 * (v**2).sum(axis=1) + _far(v, centers).min(axis=1)) / FINE**2
+            u = ((batch["h"].to_numpy() >> 11) + 2.0**52 + 0.5) / 2.0**53
+            at = apart > 0
+            yield pd.DataFrame({"key": -np.log(u[at]) / apart[at], "v": batch["_vector"][at]})
+
+    while len(centers) < topics:
+        first = used.mapInPandas(races, "key double, v binary").agg(F.min(F.struct("key", "v")).alias("m")).first().m
+        if first is None:
+            break
+        centers = np.vstack([centers, _array([bytes(first.v)]) * (FINE // UNIT)])
+    if not len(centers):
         return np.zeros((1, BUCKETS))
-    fitted = KMeans(k=topics, seed=5, maxIter=15, initSteps=2, featuresCol="f").fit(chosen.select(array_to_vector("v").alias("f")))
-    return np.array(fitted.clusterCenters())
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, count = np.zeros((len(centers), BUCKETS)), np.zeros(len(centers))
+        for batch in batches:
+            v = _array(batch["_vector"])
+            topic = _far(v, centers).argmin(axis=1)
+            total += np.eye(len(centers))[topic].T @ v
+            count += np.bincount(topic, minlength=len(centers))
+        yield pd.DataFrame({"topic": np.repeat(np.arange(len(centers)), BUCKETS + 1), "at": np.tile(np.arange(BUCKETS + 1), len(centers)), "s": np.column_stack([total, count]).ravel().astype("int64")})
+
+    for _ in range(ROUNDS):
+        got = np.zeros((len(centers), BUCKETS + 1))
+        for r in used.mapInPandas(sums, "topic long, at long, s long").groupBy("topic", "at").agg(F.sum("s").alias("s")).collect():
+            got[r.topic, r["at"]] = r.s
+        count = got[:, -1:]
+        before, centers = centers, np.where(count > 0, np.rint(got[:, :-1] * (FINE // UNIT) / np.maximum(count, 1)), centers)
+        if np.linalg.norm(centers - before, axis=1).max() <= MOVED * FINE:
+            break
+    return centers
 
 
-def with_topics(docs: DataFrame, centers: np.ndarray) -> DataFrame:
-    """docs with _topic (int) and _tokens (words)."""
+def with_topics(read: DataFrame, centers: np.ndarray) -> DataFrame:
+    """The rows of with_vectors() with _topic (int) in place of _vector."""
 
-    @F.pandas_udf("topic int, tokens long")
-    def nearest(texts: pd.Series) -> pd.DataFrame:
-        hasher = Hasher()
-        read = [hasher(t) for t in texts]
-        v = np.stack([x for _, x in read]) if read else np.zeros((0, BUCKETS))
-        far = (centers**2).sum(axis=1)[None, :] - 2 * v @ centers.T
-        return pd.DataFrame({"topic": far.argmin(axis=1).astype("int32"), "tokens": [n for n, _ in read]})
+    @F.pandas_udf("int")
+    def nearest(vectors: pd.Series) -> pd.Series:
+        return pd.Series(_far(_array(vectors), centers).argmin(axis=1).astype("int32"))
 
-    return docs.withColumn("_m", nearest("text")).select(*docs.columns, F.col("_m.topic").alias("_topic"), F.col("_m.tokens").alias("_tokens"))
+    return read.select(*(c for c in read.columns if c not in ("_vector", "_tokens")), nearest("_vector").alias("_topic"), "_tokens")
 
 
 def _share(of: str, by: str | None = None) -> Column:
@@ -114,14 +166,20 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataF
         sums = sums.select(m, (F.col("_p") / F.greatest(F.sum("_p").over(Window.partitionBy()), F.lit(1e-300))).alias(f"to_{m}"))
         now = now.join(sums, m)
     now = written(now.coalesce(CELL_FILES), "mixing-cells")
-    for _ in range(SWEEPS // 4):
-        for _ in range(4):
+    last = float("inf")
+    while True:
+        for _ in range(SWEEPS):
             for m in MARGINS:
                 now = now.withColumn("weight", F.when(F.col("weight") > 0, F.col("weight") * F.col(f"to_{m}") / _share("weight", m)).otherwise(0.0))
         now = written(now.coalesce(CELL_FILES), "mixing-cells")
         off = [F.max(F.when(F.col("weight") > 0, F.abs(_w / F.col(f"to_{m}") - 1))) for m in MARGINS for _w in [F.col(f"_{m}")]]
-        if (now.withColumns({f"_{m}": _share("weight", m) for m in MARGINS}).agg(F.greatest(*off).alias("off")).first().off or 0) < TOLERANCE:
+        off = now.withColumns({f"_{m}": _share("weight", m) for m in MARGINS}).agg(F.greatest(*off).alias("off")).first().off or 0
+        if off < TOLERANCE:
+            break
+        if off > STALLED * last:
+            _log.warning("raking ended with a marginal off its target by %.3g of it (tolerance %g)", off, TOLERANCE)
             break
+        last = off
     return now.select(*MARGINS, "mass", "weight")
 
 
@@ -141,7 +199,8 @@ def calibrate(raked: DataFrame, keep: float = KEEP) -> DataFrame:
 
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP) -> DataFrame:
     """docs with _topic, _tokens, _probability and _drawn."""
-    marked = written(with_topics(docs, centroids(docs)), "mixing-docs")
+    read = written(with_vectors(docs), "mixing-docs")
+    marked = with_topics(read, centroids(read))
     key = {"source": F.coalesce("source", F.lit("\0")), "lang": F.coalesce("lang", F.lit("\0")), "topic": F.col("_topic")}
     keyed = marked.withColumns({f"_key_{m}": c for m, c in key.items()})
     cells = keyed.groupBy(*(F.col(f"_key_{m}").alias(m) for m in MARGINS)).agg(F.sum("_tokens").alias("mass"))

@@ -1,3 +1,4 @@
+import logging
 import math
 
 import numpy as np
@@ -61,3 +62,31 @@ def test_defined_cases(documents, words):
 def test_hasher_counts_words():
     n, v = mixing.Hasher()("a b a")
     assert n == 3 and math.isclose(np.linalg.norm(v), 1) and mixing.Hasher()(None)[0] == 0
+
+
+def test_topics_are_fitted_on_all_documents(documents):
+    # each of seven rare kinds is one of 9,000 documents
+    rows = [(i, "common shared plain", "en", "s", 1) for i in range(8993)] + [(9000 + k, f"rare{k} odd{k} only{k} here{k}", "en", "s", 1) for k in range(7)]
+    topic = {r.doc_id: r._topic for r in mixing.mix(documents(rows)).collect()}
+    assert len(set(topic.values())) == 8 and len({topic[9000 + k] for k in range(7)} - {topic[0]}) == 7
+    again = {r.doc_id: r._topic for r in mixing.mix(documents(rows[::-1]).repartition(7)).collect()}
+    assert topic == again
+
+
+def test_few_documents_have_topics(documents):
+    rows = [(i, f"kind{i % 3} of{i % 3} text{i % 3}", "en", "s", 1) for i in range(9)]
+    assert len({r._topic for r in mixing.mix(documents(rows)).collect()}) == 3
+
+
+def test_raking_goes_on_until_it_holds_or_says_so(spark, caplog):
+    df = spark.createDataFrame([("a", "en", 0, 1000), ("a", "de", 0, 1), ("b", "en", 0, 1), ("b", "de", 0, 2000), ("c", "en", 0, 5), ("c", "de", 0, 3)], "source string, lang string, topic int, mass long")
+    given = {m: spark.createDataFrame(rows, "value string, share double") for m, rows in {"source": [("a", 0.3), ("b", 0.6), ("c", 0.1)], "lang": [("en", 0.7), ("de", 0.3)]}.items()}
+    got = mixing.rake(df, given).collect()
+    for m, want in (("source", {"a": 0.3, "b": 0.6, "c": 0.1}), ("lang", {"en": 0.7, "de": 0.3})):
+        for value, share in want.items():
+            assert sum(r.weight for r in got if r[m] == value) == pytest.approx(share, rel=2e-3)
+    assert not caplog.records
+    never = df.filter("source <> 'c' AND mass > 1")
+    with caplog.at_level(logging.WARNING, "tessella.llm.mixing"):
+        assert mixing.rake(never, given).count() == 2
+    assert "off its target" in caplog.text
