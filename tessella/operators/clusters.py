@@ -85,14 +85,14 @@ def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def nearest_surface(points: DataFrame, x: str, y: str, value: str, side: int, first: int = 2000) -> DataFrame:
+def nearest_surface(points: DataFrame, x: str, y: str, value: str, side: int) -> DataFrame:
     """gy, gx, value of the nearest of the points on a grid over their range; ties go to the smaller value.
 
-    Points are first averaged by place; the number of places is the operator's own limit."""
-    places = points.na.drop(subset=[x, y, value]).groupBy(F.col(x).alias("px"), F.col(y).alias("py")).agg(F.avg(value).alias("v")).orderBy("px", "py").limit(first)
+    Points are first averaged by place; every place meets the grid, which is the side that is broadcast."""
+    places = points.na.drop(subset=[x, y, value]).groupBy(F.col(x).alias("px"), F.col(y).alias("py")).agg(F.avg(value).alias("v"))
     box = places.agg(F.min("px").alias("x0"), F.max("px").alias("x1"), F.min("py").alias("y0"), F.max("py").alias("y1"))
     step = lambda n: F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias(n)
     grid = box.select("*", step("gx")).select("*", step("gy"))
     at = grid.select("gx", "gy", (F.col("x0") + F.col("gx") * (F.col("x1") - F.col("x0")) / (side - 1)).alias("ax"), (F.col("y0") + F.col("gy") * (F.col("y1") - F.col("y0")) / (side - 1)).alias("ay"))
     far = F.round((F.col("ax") - F.col("px")) ** 2 + (F.col("ay") - F.col("py")) ** 2, 9)
-    return at.join(F.broadcast(places)).groupBy("gy", "gx").agg(F.min(F.struct(far.alias("d"), F.col("v"))).alias("m")).select("gy", "gx", F.col("m.v").alias("value"))
+    return places.join(F.broadcast(at)).groupBy("gy", "gx").agg(F.min(F.struct(far.alias("d"), F.col("v"))).alias("m")).select("gy", "gx", F.col("m.v").alias("value"))
