@@ -7,12 +7,21 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tessella.sources.scratch import scratch, shared_folder, written
 from tessella.sources.tables import table
 
-__all__ = ["GAP_CHARS", "WORD_GAP", "let", "parted", "scratch", "shared_folder", "table", "whole", "word_array", "written"]
+__all__ = ["GAP_CHARS", "WORD_GAP", "few", "let", "parted", "scratch", "shared_folder", "table", "whole", "word_array", "written"]
 
 #: The ASCII white space that separates words, as a regular expression and as characters.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 GAP_CHARS = " \t\n\x0b\x0c\r"
 
+#: Tables of up to so many rows may be broadcast; they hold a few numbers a row.
+FEW_ROWS = 500_000
+
+
+def few(table: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row as one side of a join: broadcast if it is small, else left to the planner."""
+    return F.broadcast(table) if table.limit(FEW_ROWS + 1).count() <= FEW_ROWS else table
+
+
 def whole(docs: DataFrame, *names: str) -> DataFrame:
     """The rows of docs as one struct column _doc, and beside it the columns to work on: no name can clash."""
     return docs.select(F.struct("*").alias("_doc"), *names)

@@ -1,33 +1,46 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions alone.
 
 Lines are the \\n-separated parts of all documents that have a word. Equal lines form one class, named by its first place
-(doc_id, line_no). Two classes are linked if their lines are within THRESHOLD edits. A line stays at its class's first
-place, unless that class is linked with one that begins earlier.
-
-The join: a line is cut into threshold + 1 segments; a line within the threshold must hold one of them unchanged, no
-further from its place than the edits left and right of it allow. Segments are index keys (with length and number); a
-line probes those of its own length and of lines up to threshold shorter, by the substrings at the allowed places. Keys
-are 64-bit hashes; whoever meets on one is verified on the full lines by a bit-parallel automaton over the band of
-2 * threshold + 1 diagonals, after equal beginnings and endings are taken off.
-
-A class is one row however often its line occurs, so a line with a third of all rows is no hot key; keys that many
-different lines share are split by Spark's skew handling, and the pairs that meet there are verified, never dropped.
-
-Defined cases: null texts have no lines; blank lines are neither compared nor removed. Lines shorter than SHORTEST are
-compared for equality only. Rows with a null doc_id keep all lines and don't count. Rows that share a doc_id are one
-place: what is equal at the same number stays in each. Ties can't occur, as places differ. A text that loses all its
-lines with a word goes in `deduplicate`; one that had none stays. Other columns pass through.
+(doc_id, line_no). Two classes are linked if their lines are within `threshold` edits, which grows with the shorter
+line's length: one edit, and two from `long` characters on. A line stays at its class's first place, unless that class is
+linked with one that begins earlier.
+
+The join: a line is cut into threshold + 1 segments; a line within the threshold must hold one of them unchanged, at a
+place that the edits left and right of it allow. Segments are index keys (with length and number); a line probes those of
+its own length and of lines up to threshold shorter, by the substrings at the allowed places. Keys are 64-bit hashes.
+They are counted before anything meets: a key of two lines gives that pair, a key of up to TOGETHER lines its pairs. The
+lines of more crowded keys are cut again, into more segments of which any `threshold` may be changed: the key is all
+that's left, so who shares it shares nearly the whole line. After the last cut, lines with one edit are cut into single
+characters: lines that share such a key are all linked, hence counted without forming pairs. Pairs of two-edit lines
+meet at the last cut, where all but two of SEGMENTS[2][-1] parts are equal.
+Whoever meets is verified on the full lines by a bit-parallel automaton over the band of 2 * threshold + 1 diagonals,
+after equal beginnings and endings are taken off.
+
+A class is one row however often its line occurs, and keys are counted before they are joined, so neither a line nor a
+key with a third of all rows is one task's work.
+
+Defined cases: null texts have no lines; blank lines are neither compared nor removed; lines of any length are compared.
+Rows with a null doc_id keep all lines and don't count. Rows that share a doc_id are one place: what is equal at the same
+number stays in each. Ties can't occur, as places differ. A text that loses all its lines with a word goes in
+`deduplicate`; one that had none stays. Other columns pass through.
 """
 
 from __future__ import annotations
 
+from itertools import combinations, product
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import let, parted, whole, written
+from .common import few, let, parted, whole, written
 
-THRESHOLD = 1
-SHORTEST = 16
+#: Lines of so many characters and more are linked within two edits, shorter ones within one.
+LONG = 200
+#: By threshold: into how many segments lines are cut, first and when keys are crowded.
+SEGMENTS = {1: (2, 8), 2: (3, 6, 12)}
+#: Keys of more lines are crowded.
+TOGETHER = 8
 _WORD = r"[^\x20\x09-\x0D]"
+_CLASS = ["a", "b", "n"]
 
 
 def places(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -41,57 +54,91 @@ def _identity(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("a"), F.xxhash64(F.lit(9), line).alias("b"), F.length(line).alias("n")]
 
 
-def _segment(n: Column, number: int, k: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of a segment of a line with n characters: even parts, the longer ones last."""
-    size, longer = F.floor(n / (k + 1)), n % (k + 1)
-    first_long = F.lit(k + 1) - longer
-    extra = F.lit(number) - first_long
-    return size * number + F.greatest(extra, F.lit(0)), size + F.when(extra >= 0, 1).otherwise(0)
-
-
-def _keys(line: Column, n: Column, k: int) -> tuple[list[Column], list[Column]]:
-    """Index keys of a line's own segments, and probe keys of its substrings other than these."""
-
-    def key(of_length: Column, number: int, start: Column, size: Column) -> Column:
-        found = F.xxhash64(F.lit(number), of_length, F.substring(line, (start + 1).cast("int"), size.cast("int")))
-        return F.when(of_length >= SHORTEST, found)
-
-    own, probes = [], []
-    for less in range(k + 1):
-        m = n - less
-        for i in range(k + 1):
-            start, size = _segment(m, i, k)
-            for shift in range(max(-i, less - (k - i)), min(i, less + (k - i)) + 1):
-                (own if less == shift == 0 else probes).append(key(m, i, start + shift, size))
-    return own, probes
-
-
-def classes(lines: DataFrame, k: int = THRESHOLD) -> DataFrame:
-    """One row per distinct line: a, b, n, doc and line_no of its first place, and its keys (own0.., probe0..)."""
-    hashed = lines.select("doc", "line_no", "line", *_identity(F.col("line")))
-    own, probes = _keys(F.col("line"), F.col("n"), k)
-    names = [f"own{i}" for i in range(len(own))] + [f"probe{i}" for i in range(len(probes))]
-    keyed = hashed.select("doc", "line_no", "a", "b", "n", *(c.alias(x) for c, x in zip(own + probes, names, strict=True)))
-    first = keyed.groupBy("a", "b", "n").agg(F.min(F.struct("doc", "line_no")).alias("first"), *(F.min(x).alias(x) for x in names))
-    return first.select("a", "b", "n", "first.doc", "first.line_no", *names)
-
-
-def candidates(found: DataFrame) -> DataFrame:
-    """Pairs of classes (doc_s, line_s, doc_r, line_r) that share a key, s before r."""
-    of = lambda kind: [F.col(c) for c in found.columns if c.startswith(kind)]
-    own = F.array(*(F.struct(F.lit(True).alias("same"), c.alias("key")) for c in of("own")))
-    probe = F.array(*(F.struct(F.lit(False).alias("same"), c.alias("key")) for c in of("probe")))
-    index = found.select(F.col("doc").alias("doc_s"), F.col("line_no").alias("line_s"), F.explode(F.array(*of("own"))).alias("key")).filter("key IS NOT NULL")
-    asked = found.select(F.col("doc").alias("doc_r"), F.col("line_no").alias("line_r"), F.inline(F.concat(own, probe))).filter("key IS NOT NULL")
-    later = (F.col("doc_s") < F.col("doc_r")) | ((F.col("doc_s") == F.col("doc_r")) & (F.col("line_s") < F.col("line_r")))
-    other = (F.col("doc_s") != F.col("doc_r")) | (F.col("line_s") != F.col("line_r"))
-    met = index.join(asked, (index["key"] == asked["key"]) & other & (~F.col("same") | later))
-    ends = [F.struct(F.col(f"doc_{x}").alias("doc"), F.col(f"line_{x}").alias("line")) for x in "sr"]
-    met = met.select(F.least(*ends).alias("s"), F.greatest(*ends).alias("r"))
-    return met.select(F.col("s.doc").alias("doc_s"), F.col("s.line").alias("line_s"), F.col("r.doc").alias("doc_r"), F.col("r.line").alias("line_r")).distinct()
-
-
-def within(s: Column, r: Column, k: int = THRESHOLD) -> Column:
+def patterns(k: int, cut: int) -> list[tuple[int, int, bool, list[tuple[int, int, int]]]]:
+    """How keys are taken when k of `cut` segments may be changed: (number of the choice of segments, how much shorter the
+    indexed line is, whether it is an index key, runs of unchanged segments as (first, end, shift)).
+
+    Of up to k edits, k segments can be chosen so that no block of neighbours holds more edits than segments. So a block
+    moves what follows by its number of segments at most."""
+    found = []
+    for number, changed in enumerate(combinations(range(cut), k)):
+        blocks: list[list[int]] = []
+        for c in changed:
+            if blocks and blocks[-1][1] == c:
+                blocks[-1][1] = c + 1
+            else:
+                blocks.append([c, c + 1])
+        for moves in product(*(range(begin - end, end - begin + 1) for begin, end in blocks)):
+            if 0 <= sum(moves) <= k:
+                runs, at, shift = [], 0, 0
+                for (begin, end), move in zip(blocks, moves, strict=True):
+                    runs.append((at, begin, shift))
+                    at, shift = end, shift + move
+                runs.append((at, cut, shift))
+                found.append((number, sum(moves), not any(moves), [r for r in runs if r[0] < r[1]]))
+    return found
+
+
+def _run(line: Column, m: Column, cut: int | Column, first, end, shift) -> Column:
+    """The substring where segments first to end of an indexed line of length m are looked for."""
+    border = lambda j: F.floor(m * j / cut).cast("int")
+    return F.substr(line, border(first) + shift + 1, border(end) - border(first))
+
+
+def first_keys(line: Column, n: Column, long: int) -> Column:
+    """Array of (own, key) by the first cut; keys that don't apply are null."""
+
+    def keys(k: int) -> list[Column]:
+        out = []
+        for number, less, own, runs in patterns(k, SEGMENTS[k][0]):
+            m = n - less
+            key = F.xxhash64(F.lit(k), F.lit(number), m, *(_run(line, m, SEGMENTS[k][0], *r) for r in runs))
+            applies = (m > 0) & ((m < long) if k == 1 else (m >= long))
+            out.append(F.struct(F.lit(own).alias("own"), F.when(applies, key).alias("key")))
+        return out
+
+    return F.when(n < long, F.array(*keys(1))).when(n >= long + 2, F.array(*keys(2))).otherwise(F.array(*keys(1), *keys(2)))
+
+
+def later_keys(line: Column, n: Column, long: int, level: int) -> Column:
+    """Array of (own, key) by a later cut; null where it doesn't apply."""
+    kind = "array<struct<k:int,cut:int,number:int,less:int,own:boolean,runs:array<struct<first:int,end:int,shift:int>>>>"
+    told = [(k, cuts[level], *p) for k, cuts in SEGMENTS.items() if level < len(cuts) for p in patterns(k, cuts[level])]
+    given = F.from_json(F.lit(_json(told)), F.lit(kind))
+
+    def key(p: Column) -> Column:
+        m = n - p["less"]
+        kept = F.transform(p["runs"], lambda r: _run(line, m, p["cut"], r["first"], r["end"], r["shift"]))
+        applies = (m > 0) & ((m >= long) == (p["k"] == 2))
+        return F.struct(p["own"].alias("own"), F.when(applies, F.xxhash64(p["k"], p["number"], m, kept)).alias("key"))
+
+    return F.transform(given, key)
+
+
+def _json(told: list) -> str:
+    import json
+
+    names = ("k", "cut", "number", "less", "own")
+    return json.dumps([{**dict(zip(names, p[:5], strict=True)), "runs": [dict(zip(("first", "end", "shift"), r, strict=True)) for r in p[5]]} for p in told])
+
+
+def met(keyed: DataFrame, last: bool = False) -> tuple[DataFrame, DataFrame]:
+    """keyed: a, own, key. Pairs (x, y) of lines that share an index key of few lines, and the lines a of crowded keys;
+    after the last cut no key counts as crowded."""
+    keyed = keyed.filter("key IS NOT NULL")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("rows"), F.min("a").alias("x"), F.max("a").alias("y"), F.max("own").alias("own"))
+    shared = written(shared.filter("own AND x < y").select("key", "rows", "x", "y"), "line-keys")
+    more = written(shared.filter("rows > 2").select("key"), "line-more")
+    members = written(keyed.join(few(more), "key").groupBy("key", "a").agg(F.max("own").alias("own")), "line-members")
+    sized = members.join(members.groupBy("key").agg(F.count("*").alias("rows")), "key")
+    near = written((sized if last else sized.filter(F.col("rows") <= TOGETHER)).drop("rows"), "line-near")
+    x, y = (near.select("key", F.col("a").alias(c), F.col("own").alias(f"own_{c}")) for c in "xy")
+    pairs = x.join(y, "key").filter("x < y AND (own_x OR own_y)").select("x", "y")
+    pairs = shared.filter("rows = 2").select("x", "y").unionByName(pairs)
+    return pairs, sized.filter(F.lit(not last) & (F.col("rows") > TOGETHER)).select("a").distinct()
+
+
+def within(s: Column, r: Column, k: int = 1) -> Column:
     """Whether two texts are at most k edits apart."""
 
     def common(x: Column, y: Column) -> Column:
@@ -142,37 +189,87 @@ def within(s: Column, r: Column, k: int = THRESHOLD) -> Column:
     return let(letters, lambda p: let(middle(p), automaton))
 
 
-def links(lines: DataFrame, found: DataFrame, k: int = THRESHOLD) -> DataFrame:
-    """The candidates within k edits."""
-    pairs = written(candidates(found), "line-pairs")
-    s, r = (pairs.select(F.col(f"doc_{x}").alias("doc"), F.col(f"line_{x}").alias("line_no")) for x in "sr")
-    wanted = lines.select("doc", "line_no", "line").join(written(s.unionByName(r).distinct(), "line-ids"), ["doc", "line_no"])
-    wanted = written(wanted, "line-texts")
-    side = lambda x: wanted.select(F.col("doc").alias(f"doc_{x}"), F.col("line_no").alias(f"line_{x}"), F.col("line").alias(x))
-    both = pairs.join(side("s"), ["doc_s", "line_s"]).join(side("r"), ["doc_r", "line_r"])
-    return both.filter(within(F.col("s"), F.col("r"), k)).select("doc_s", "line_s", "doc_r", "line_r").distinct()
-
-
-def judge(docs: DataFrame, k: int = THRESHOLD) -> DataFrame:
+def single_changes(texts: DataFrame) -> DataFrame:
+    """For one-edit lines: a, b, n with the number of lines that one changed character makes of it, and the first place
+    among them and itself. Lines that are equal but for one character share the key of that character, so they are
+    counted, not paired."""
+    at = F.sequence(F.lit(0), F.col("n") - 1)
+    left = lambda i: F.concat(F.substr("line", F.lit(1), i), F.substr("line", i + 2))
+    keys = F.transform(at, lambda i: F.struct(F.xxhash64(i, F.col("n"), left(i)).alias("key"), F.xxhash64(left(i), F.col("n"), i).alias("key2")))
+    rows = texts.select(*_CLASS, "first", F.inline(keys))
+    groups = rows.groupBy("key", "key2").agg(F.count("*").alias("others"), F.min("first").alias("earliest")).filter("others > 1")
+    counted = rows.drop("first").join(groups, ["key", "key2"])
+    return counted.groupBy(*_CLASS).agg(F.sum(F.col("others") - 1).alias("n_links"), F.min("earliest").alias("earliest"))
+
+
+def single_drops(texts: DataFrame) -> DataFrame:
+    """Pairs (x, y) of one-edit lines where a dropped character makes one of the other."""
+    at = F.sequence(F.lit(0), F.col("n") - 1)
+    left = F.transform(at, lambda i: F.xxhash64(F.concat(F.substr("line", F.lit(1), i), F.substr("line", i + 2))))
+    drops = texts.filter("n > 1").select(F.col("a").alias("of"), F.explode(F.array_distinct(left)).alias("a")).filter("of <> a")
+    return drops.join(texts.select("a").distinct(), "a").select(F.least("of", "a").alias("x"), F.greatest("of", "a").alias("y"))
+
+
+def links(lines: DataFrame, long: int = LONG) -> DataFrame:
+    """a, b, n, n_links and earliest (the first place among linked classes, or its own if that is earlier) of every class
+    that is linked. lines: as places(), with a, b, n."""
+    keyed = lines.select("a", F.inline(first_keys(F.col("line"), F.col("n"), long)))
+    pairs, crowded = met(keyed)
+    found = [written(pairs, "line-pairs")]
+    crowded = written(crowded, "line-crowded")
+    wanted = found[0].select(F.explode(F.array("x", "y")).alias("a")).unionByName(crowded).distinct()
+    texts = lines.join(few(written(wanted, "line-wanted")), "a").groupBy(*_CLASS)
+    texts = written(texts.agg(F.min(F.struct("doc", "line_no")).alias("first"), F.min("line").alias("line")), "line-texts")
+    for level in range(1, max(map(len, SEGMENTS.values()))):
+        some = texts.join(crowded, "a")
+        keyed = some.select("a", F.inline(later_keys(F.col("line"), F.col("n"), long, level)))
+        pairs, onward = met(keyed, last=level == len(SEGMENTS[2]) - 1)
+        found.append(written(pairs, "line-pairs"))
+        if level == len(SEGMENTS[1]) - 1:  # what is still crowded goes on by single characters
+            singles = written(some.filter(F.col("n") <= long).join(onward, "a"), "line-singles")
+            found.append(written(single_drops(singles), "line-pairs"))
+        crowded = written(onward, "line-crowded")
+    counted = written(single_changes(singles.filter(F.col("n") < long)), "line-counted")
+
+    every = found[0]
+    for p in found[1:]:
+        every = every.unionByName(p)
+    side = lambda c: texts.select(F.col("a").alias(c), *(F.col(f).alias(f"{f}_{c}") for f in ("b", "n", "first", "line")))
+    both = every.distinct().join(side("x"), "x").join(side("y"), "y")
+    s, r, short = F.col("line_x"), F.col("line_y"), F.least("n_x", "n_y") < long
+    near = both.filter(F.abs(F.col("n_x") - F.col("n_y")) <= F.when(short, 1).otherwise(2))
+    near = near.filter(F.when(short, within(s, r, 1)).otherwise(within(s, r, 2))).drop("line_x", "line_y")
+    # lines of one length among the singles are in their counts
+    single = singles.filter(F.col("n") < long).select("a", F.lit(True).alias("single"))
+    near = near.join(single.select(F.col("a").alias("x"), F.col("single").alias("single_x")), "x", "left").join(single.select(F.col("a").alias("y"), F.col("single").alias("single_y")), "y", "left")
+    near = written(near.filter("NOT (n_x = n_y AND single_x IS NOT NULL AND single_y IS NOT NULL)"), "line-links")
+    ends = [near.select(F.col(u).alias("a"), F.col(f"b_{u}").alias("b"), F.col(f"n_{u}").alias("n"), F.lit(1).cast("bigint").alias("n_links"), F.col(f"first_{v}").alias("earliest")) for u, v in ("xy", "yx")]
+    return ends[0].unionByName(ends[1]).unionByName(counted).groupBy(*_CLASS).agg(F.sum("n_links").alias("n_links"), F.min("earliest").alias("earliest"))
+
+
+def judge(docs: DataFrame, long: int = LONG) -> DataFrame:
     """One row per line with a word: doc_id, line_no, class_doc and class_line (its class's first place), n_links, kept."""
     lines = places(docs)
-    found = written(classes(lines, k), "line-classes")
-    near = written(links(lines, found, k), "line-links")
-    ends = [("s", "r"), ("r", "s")]
-    sides = [near.select(F.col(f"doc_{x}").alias("doc"), F.col(f"line_{x}").alias("line_no"), F.struct(F.col(f"doc_{y}").alias("doc"), F.col(f"line_{y}").alias("line_no")).alias("other")) for x, y in ends]
-    linked = sides[0].unionByName(sides[1]).groupBy("doc", "line_no").agg(F.count("*").alias("n_links"), F.min("other").alias("earliest"))
-    named = found.select("a", "b", "n", "doc", "line_no").join(linked, ["doc", "line_no"], "left")
-    named = named.select("a", "b", "n", F.col("doc").alias("class_doc"), F.col("line_no").alias("class_line"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "earliest")
-    out = lines.select("doc", "line_no", *_identity(F.col("line"))).join(named, ["a", "b", "n"])
-    own = F.struct("class_doc", "class_line")
-    first = (F.col("doc") == F.col("class_doc")) & (F.col("line_no") == F.col("class_line"))
-    kept = first & (F.col("earliest").isNull() | (own < F.col("earliest")))
-    return out.select(F.col("doc").alias("doc_id"), F.col("line_no").cast("long"), "class_doc", F.col("class_line").cast("long"), "n_links", kept.alias("kept"))
-
-
-def deduplicate(docs: DataFrame, k: int = THRESHOLD) -> DataFrame:
+    lines = lines.select("*", *_identity(F.col("line")))
+    linked = written(links(lines, long), "line-linked")
+    light = lines.select("doc", "line_no", *_CLASS)
+    named = light.groupBy(*_CLASS).agg(F.min(F.struct("doc", "line_no")).alias("first")).join(linked, _CLASS, "left")
+    out = light.join(named, _CLASS)
+    own = F.struct("doc", "line_no")
+    kept = (own == F.col("first")) & (F.col("earliest").isNull() | (F.col("first") <= F.col("earliest")))
+    return out.select(
+        F.col("doc").alias("doc_id"),
+        F.col("line_no").cast("long"),
+        F.col("first.doc").alias("class_doc"),
+        F.col("first.line_no").cast("long").alias("class_line"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        kept.alias("kept"),
+    )
+
+
+def deduplicate(docs: DataFrame, long: int = LONG) -> DataFrame:
     """docs without the lines that don't stay, and without texts that lose all they had; the columns of docs."""
-    gone = judge(docs.select("doc_id", "text"), k).filter("NOT kept").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.col("line_no").cast("int")).alias("_gone"))
+    gone = judge(docs.select("doc_id", "text"), long).filter("NOT kept").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.col("line_no").cast("int")).alias("_gone"))
     met = whole(docs, "doc_id", "text").join(gone, F.col("doc_id") == F.col("_id"), "left")
     left = let(F.split("text", "\n"), lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone")), lambda i: F.get(x, i)))
     # explode() of one struct is worked out once, and the filter on it isn't pushed below it

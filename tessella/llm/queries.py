@@ -191,28 +191,22 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.c AS component_id, d.
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(root) AS c FROM r GROUP BY node) c ON c.node = d.doc_id
 """
 
-# within one edit: at most one place differs, or dropping the first place that differs makes the rest equal
+# levenshtein() there counts bytes, so letters beyond ASCII become control characters first; of three thirds one is equal
 _OP9_SQL = rf"""
 WITH o AS (
   SELECT doc_id, i::BIGINT AS line_no, s[i + 1] AS line
   FROM (SELECT doc_id, s, unnest(range(len(s))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL))
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), w AS (
+  SELECT string_agg(x, '' ORDER BY x) AS x FROM (SELECT DISTINCT unnest(string_split(regexp_replace(line, '[\x00-\x7F]', '', 'g'), '')) AS x FROM o) WHERE x <> ''
 ), c AS (
-  SELECT line, length(line) AS n, f.doc_id AS class_doc, f.line_no AS class_line, row_number() OVER (ORDER BY f.doc_id, f.line_no) AS id
-  FROM (SELECT line, min({{'doc_id': doc_id, 'line_no': line_no}}) AS f FROM o GROUP BY line)
+  SELECT line, translate(line, w.x, (SELECT string_agg(chr(i::INTEGER), '' ORDER BY i) FROM range(1, 128) r(i) WHERE i < 9 OR i BETWEEN 14 AND 31 OR i = 127)) AS t,
+    length(line) AS n, f.doc_id AS class_doc, f.line_no AS class_line, row_number() OVER (ORDER BY f.doc_id, f.line_no) AS id
+  FROM (SELECT line, min({{'doc_id': doc_id, 'line_no': line_no}}) AS f FROM o GROUP BY line), w
 ), p AS (
-  SELECT s.id AS a, r.id AS b, s.line AS x, r.line AS y FROM c s JOIN c r
-    ON r.n = s.n AND left(s.line, s.n // 2) = left(r.line, s.n // 2) AND s.id < r.id WHERE s.n >= {line_dedup.SHORTEST}
-  UNION SELECT s.id, r.id, s.line, r.line FROM c s JOIN c r
-    ON r.n = s.n AND right(s.line, s.n - s.n // 2) = right(r.line, s.n - s.n // 2) AND s.id < r.id WHERE s.n >= {line_dedup.SHORTEST}
-  UNION SELECT s.id, r.id, s.line, r.line FROM c s JOIN c r
-    ON r.n = s.n + 1 AND left(s.line, s.n // 2) = left(r.line, s.n // 2) WHERE s.n >= {line_dedup.SHORTEST}
-  UNION SELECT s.id, r.id, s.line, r.line FROM c s JOIN c r
-    ON r.n = s.n + 1 AND right(s.line, s.n - s.n // 2) = right(r.line, s.n - s.n // 2) WHERE s.n >= {line_dedup.SHORTEST}
-), q AS (
-  SELECT a, b, x, y, length(y) - length(x) AS d,
-    coalesce(list_position(list_transform(range(1, length(x) + 1), lambda i: substr(x, i, 1) <> substr(y, i, 1)), true), length(x) + 1) AS place FROM p
-), l AS (SELECT a, b FROM q WHERE substr(x, place + 1 - d) = substr(y, place + 1)
+  SELECT s.id AS a, r.id AS b, s.t AS x, r.t AS y, CASE WHEN s.n < {line_dedup.LONG} THEN 1 ELSE 2 END AS k FROM c s JOIN c r ON r.n - s.n IN (0, 1, 2)
+  WHERE (r.n > s.n OR s.id < r.id) AND (left(s.t, s.n // 3) = left(r.t, s.n // 3) OR right(s.t, s.n // 3) = right(r.t, s.n // 3) OR contains(r.t, substr(s.t, s.n // 3 + 1, s.n - 2 * (s.n // 3))))
+), l AS (SELECT a, b FROM p WHERE abs(length(x) - length(y)) <= k AND levenshtein(x, y) <= k
 ), t AS (SELECT id, count(*) AS n, min(other) AS first FROM (SELECT a AS id, b AS other FROM l UNION ALL SELECT b, a FROM l) GROUP BY id)
 SELECT doc_id, line_no, class_doc, class_line, coalesce(t.n, 0)::BIGINT AS n_links,
   doc_id = class_doc AND line_no = class_line AND (t.first IS NULL OR c.id < t.first) AS kept

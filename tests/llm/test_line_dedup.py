@@ -16,7 +16,7 @@ def distance(a, b):
     return row[-1]
 
 
-def plain(rows, k):
+def plain(rows, long):
     lines = sorted({(d, i, x) for d, t in rows if t is not None and d is not None for i, x in enumerate(t.split("\n")) if re.search("[^\x20\x09-\x0d]", x)})
     first = {}
     for d, i, x in lines:
@@ -25,7 +25,8 @@ def plain(rows, k):
     near = {x: [] for x in own}
     for a, x in enumerate(own):
         for y in own[:a]:
-            if min(len(x), len(y)) >= line_dedup.SHORTEST and abs(len(x) - len(y)) <= k and distance(x, y) <= k:
+            k = 1 if min(len(x), len(y)) < long else 2
+            if abs(len(x) - len(y)) <= k and distance(x, y) <= k:
                 near[x].append(y)
                 near[y].append(x)
     return {(d, i): (*first[x], len(near[x]), (d, i) == first[x] and all(first[y] > first[x] for y in near[x])) for d, i, x in lines}
@@ -53,11 +54,39 @@ def rows(words):
     return out + [(100, None), (101, ""), (102, " \n\t\n"), (103, "short\nshort\nshorx"), (104, words(20_000, 1)), (105, words(20_000, 1)), (None, "x" * 40)]
 
 
-@pytest.mark.parametrize("k", [1, 2])
-def test_matches_brute_force(documents, rows, k):
+def judged(docs, long):
+    return {(r.doc_id, r.line_no): (r.class_doc, r.class_line, r.n_links, r.kept) for r in line_dedup.judge(docs, long).collect()}
+
+
+@pytest.mark.parametrize(("long", "together"), [(10**6, 8), (0, 8), (30, 8), (10**6, 1), (0, 1), (30, 2)])
+def test_matches_brute_force(documents, rows, long, together, monkeypatch):
+    monkeypatch.setattr(line_dedup, "TOGETHER", together)
     rows = [r for r in rows if r[0] is None or r[0] < 104]
-    got = {(r.doc_id, r.line_no): (r.class_doc, r.class_line, r.n_links, r.kept) for r in line_dedup.judge(documents(rows), k).collect()}
-    assert got == plain(rows, k)
+    assert judged(documents(rows), long) == plain(rows, long)
+
+
+def test_short_and_counted_lines(documents):
+    r = random.Random(8)
+    lines = [*"abcdefghijklmnop", "ab", "ac", "bb", "aa", "aaa", "aab", "é", "éé", *(f"no. {i}" for i in range(150)), *(f"no. {i} of them" for i in range(0, 300, 7))]
+    lines += [f"{'x' * 40} {i:03d} {'y' * 30}" for i in range(60)]
+    r.shuffle(lines)
+    rows = [(d, "\n".join(lines[at : at + 9])) for d, at in enumerate(range(0, len(lines), 9))]
+    assert judged(documents(rows), 50) == plain(rows, 50)
+
+
+@pytest.mark.parametrize("long", [10**6, 200])
+def test_lines_that_share_a_part_do_not_all_meet(spark, words, long):
+    half = words(40, 1)[:150]
+    lines = [f"{half}{words(60, 10 + i)[:150]}" for i in range(4000)] + [f"{words(60, 7)[:60]} {i:04d}" for i in range(1000)]
+    rows = spark.createDataFrame([(i, 0, x) for i, x in enumerate(lines)], "doc long, line_no int, line string").withColumns({c: e for c, e in zip("abn", line_dedup._identity(F.col("line")), strict=True)})
+    keyed = rows.select("a", F.inline(line_dedup.first_keys(F.col("line"), F.col("n"), long)))
+    pairs, crowded = line_dedup.met(keyed)
+    assert pairs.count() < 2000 and crowded.count() > 4000
+    later = rows.join(crowded, "a").select("a", F.inline(line_dedup.later_keys(F.col("line"), F.col("n"), long, 1)))
+    assert line_dedup.met(later)[0].count() < 20_000
+    got = line_dedup.links(rows, long)
+    assert got.filter("n < 100").agg(F.sum("n_links")).first()[0] == 1000 * 27  # one of three changing digits, 0 to 9
+    assert got.filter("n > 100").count() == 0
 
 
 @pytest.mark.parametrize("k", [1, 2, 3])
