@@ -2,7 +2,7 @@
 
 Lines are the \\n-separated parts of all documents that have a word. Equal lines form one class, named by its first place
 (doc_id, line_no). Two classes are linked if their lines are within `threshold` edits, which grows with the shorter
-line's length: one edit, and two from `long` characters on. A line stays at its class's first place, unless that class is
+line's length: one edit, and two from `long` characters on (LONG, if not given). A line stays at its class's first place, unless that class is
 linked with one that begins earlier.
 
 The join: a line is cut into threshold + 1 segments; a line within the threshold must hold one of them unchanged, at a
@@ -10,9 +10,9 @@ place that the edits left and right of it allow. Segments are index keys (with l
 its own length and of lines up to threshold shorter, by the substrings at the allowed places. Keys are 64-bit hashes.
 They are counted before anything meets: a key of two lines gives that pair, a key of up to TOGETHER lines its pairs. The
 lines of more crowded keys are cut again, into more segments of which any `threshold` may be changed: the key is all
-that's left, so who shares it shares nearly the whole line. After the last cut, lines with one edit are cut into single
-characters: lines that share such a key are all linked, hence counted without forming pairs. Pairs of two-edit lines
-meet at the last cut, where all but two of SEGMENTS[2][-1] parts are equal.
+that's left, so who shares it shares nearly the whole line. At the last cut all who share a key meet; but lines of up to
+SEGMENTS[1][-1] characters are then cut into single characters, and who shares such a key is linked for certain, hence
+counted without forming pairs.
 Whoever meets is verified on the full lines by a bit-parallel automaton over the band of 2 * threshold + 1 diagonals,
 after equal beginnings and endings are taken off.
 
@@ -34,9 +34,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import few, let, parted, whole, written
 
 #: Lines of so many characters and more are linked within two edits, shorter ones within one.
-LONG = 200
+LONG = 1000
 #: By threshold: into how many segments lines are cut, first and when keys are crowded.
-SEGMENTS = {1: (2, 8), 2: (3, 6, 12)}
+SEGMENTS = {1: (2, 8, 32), 2: (3, 5, 8)}
 #: Keys of more lines are crowded.
 TOGETHER = 8
 _WORD = r"[^\x20\x09-\x0D]"
@@ -85,25 +85,33 @@ def _run(line: Column, m: Column, cut: int | Column, first, end, shift) -> Colum
     return F.substr(line, border(first) + shift + 1, border(end) - border(first))
 
 
-def first_keys(line: Column, n: Column, long: int) -> Column:
-    """Array of (own, key) by the first cut; keys that don't apply are null."""
+def first_keys(lines: DataFrame, long: int) -> DataFrame:
+    """a, own, key by the first cut."""
+    line, n = F.col("line"), F.col("n")
 
-    def keys(k: int) -> list[Column]:
+    def keys(k: int, own: bool) -> list[Column]:
         out = []
-        for number, less, own, runs in patterns(k, SEGMENTS[k][0]):
+        for number, less, is_own, runs in patterns(k, SEGMENTS[k][0]):
             m = n - less
             key = F.xxhash64(F.lit(k), F.lit(number), m, *(_run(line, m, SEGMENTS[k][0], *r) for r in runs))
-            applies = (m > 0) & ((m < long) if k == 1 else (m >= long))
-            out.append(F.struct(F.lit(own).alias("own"), F.when(applies, key).alias("key")))
+            if is_own == own:
+                out.append(F.when((m > 0) & ((m < long) if k == 1 else (m >= long)), key))
         return out
 
-    return F.when(n < long, F.array(*keys(1))).when(n >= long + 2, F.array(*keys(2))).otherwise(F.array(*keys(1), *keys(2)))
+    # index keys come first; near `long` both thresholds have a part
+    kinds = [(n < long, (1,)), (n >= long + 2, (2,)), (None, (1, 2))]
+    arrays = [F.array(*(x for own in (True, False) for k in ks for x in keys(k, own))) for _, ks in kinds]
+    counts = [F.lit(sum(SEGMENTS[k][0] for k in ks)) for _, ks in kinds]
+    chosen = [F.when(kinds[0][0], x[0]).when(kinds[1][0], x[1]).otherwise(x[2]) for x in (arrays, counts)]
+    got = lines.select("a", chosen[1].alias("n_own"), F.posexplode(chosen[0]).alias("at", "key")).filter("key IS NOT NULL")
+    return got.select("a", (F.col("at") < F.col("n_own")).alias("own"), "key")
 
 
-def later_keys(line: Column, n: Column, long: int, level: int) -> Column:
-    """Array of (own, key) by a later cut; null where it doesn't apply."""
+def later_keys(lines: DataFrame, long: int, level: int) -> DataFrame:
+    """a, own, key by a later cut."""
+    line, n = F.col("line"), F.col("n")
     kind = "array<struct<k:int,cut:int,number:int,less:int,own:boolean,runs:array<struct<first:int,end:int,shift:int>>>>"
-    told = [(k, cuts[level], *p) for k, cuts in SEGMENTS.items() if level < len(cuts) for p in patterns(k, cuts[level])]
+    told = [(k, cuts[level], *p) for k, cuts in SEGMENTS.items() for p in patterns(k, cuts[level])]
     given = F.from_json(F.lit(_json(told)), F.lit(kind))
 
     def key(p: Column) -> Column:
@@ -112,7 +120,7 @@ def later_keys(line: Column, n: Column, long: int, level: int) -> Column:
         applies = (m > 0) & ((m >= long) == (p["k"] == 2))
         return F.struct(p["own"].alias("own"), F.when(applies, F.xxhash64(p["k"], p["number"], m, kept)).alias("key"))
 
-    return F.transform(given, key)
+    return lines.select("a", F.inline(F.filter(F.transform(given, key), lambda x: x["key"].isNotNull())))
 
 
 def _json(told: list) -> str:
@@ -125,7 +133,6 @@ def _json(told: list) -> str:
 def met(keyed: DataFrame, last: bool = False) -> tuple[DataFrame, DataFrame]:
     """keyed: a, own, key. Pairs (x, y) of lines that share an index key of few lines, and the lines a of crowded keys;
     after the last cut no key counts as crowded."""
-    keyed = keyed.filter("key IS NOT NULL")
     shared = keyed.groupBy("key").agg(F.count("*").alias("rows"), F.min("a").alias("x"), F.max("a").alias("y"), F.max("own").alias("own"))
     shared = written(shared.filter("own AND x < y").select("key", "rows", "x", "y"), "line-keys")
     more = written(shared.filter("rows > 2").select("key"), "line-more")
@@ -190,7 +197,7 @@ def within(s: Column, r: Column, k: int = 1) -> Column:
 
 
 def single_changes(texts: DataFrame) -> DataFrame:
-    """For one-edit lines: a, b, n with the number of lines that one changed character makes of it, and the first place
+    """a, b, n with the number of lines that one changed character makes of it, and the first place
     among them and itself. Lines that are equal but for one character share the key of that character, so they are
     counted, not paired."""
     at = F.sequence(F.lit(0), F.col("n") - 1)
@@ -202,34 +209,32 @@ def single_changes(texts: DataFrame) -> DataFrame:
     return counted.groupBy(*_CLASS).agg(F.sum(F.col("others") - 1).alias("n_links"), F.min("earliest").alias("earliest"))
 
 
-def single_drops(texts: DataFrame) -> DataFrame:
-    """Pairs (x, y) of one-edit lines where a dropped character makes one of the other."""
+def single_drops(texts: DataFrame, others: DataFrame) -> DataFrame:
+    """Pairs (x, y) of one of texts and one of others that it becomes by dropping a character."""
     at = F.sequence(F.lit(0), F.col("n") - 1)
     left = F.transform(at, lambda i: F.xxhash64(F.concat(F.substr("line", F.lit(1), i), F.substr("line", i + 2))))
     drops = texts.filter("n > 1").select(F.col("a").alias("of"), F.explode(F.array_distinct(left)).alias("a")).filter("of <> a")
-    return drops.join(texts.select("a").distinct(), "a").select(F.least("of", "a").alias("x"), F.greatest("of", "a").alias("y"))
+    return drops.join(others.select("a").distinct(), "a").select(F.least("of", "a").alias("x"), F.greatest("of", "a").alias("y"))
 
 
 def links(lines: DataFrame, long: int = LONG) -> DataFrame:
     """a, b, n, n_links and earliest (the first place among linked classes, or its own if that is earlier) of every class
     that is linked. lines: as places(), with a, b, n."""
-    keyed = lines.select("a", F.inline(first_keys(F.col("line"), F.col("n"), long)))
-    pairs, crowded = met(keyed)
+    pairs, crowded = met(first_keys(lines, long))
     found = [written(pairs, "line-pairs")]
     crowded = written(crowded, "line-crowded")
     wanted = found[0].select(F.explode(F.array("x", "y")).alias("a")).unionByName(crowded).distinct()
     texts = lines.join(few(written(wanted, "line-wanted")), "a").groupBy(*_CLASS)
     texts = written(texts.agg(F.min(F.struct("doc", "line_no")).alias("first"), F.min("line").alias("line")), "line-texts")
-    for level in range(1, max(map(len, SEGMENTS.values()))):
-        some = texts.join(crowded, "a")
-        keyed = some.select("a", F.inline(later_keys(F.col("line"), F.col("n"), long, level)))
-        pairs, onward = met(keyed, last=level == len(SEGMENTS[2]) - 1)
-        found.append(written(pairs, "line-pairs"))
-        if level == len(SEGMENTS[1]) - 1:  # what is still crowded goes on by single characters
-            singles = written(some.filter(F.col("n") <= long).join(onward, "a"), "line-singles")
-            found.append(written(single_drops(singles), "line-pairs"))
-        crowded = written(onward, "line-crowded")
-    counted = written(single_changes(singles.filter(F.col("n") < long)), "line-counted")
+    pairs, crowded = met(later_keys(texts.join(crowded, "a"), long, 1))
+    found.append(written(pairs, "line-pairs"))
+    rest = written(texts.join(written(crowded, "line-crowded"), "a"), "line-rest")
+    # lines up to this length go on by single characters
+    short = min(SEGMENTS[1][-1], long - 1)
+    singles = rest.filter(F.col("n") <= short)
+    counted = written(single_changes(singles), "line-counted")
+    found.append(written(single_drops(rest.filter(F.col("n") <= short + 1), singles), "line-pairs"))
+    found.append(written(met(later_keys(rest.filter(F.col("n") > short), long, 2), last=True)[0], "line-pairs"))
 
     every = found[0]
     for p in found[1:]:
@@ -240,7 +245,7 @@ def links(lines: DataFrame, long: int = LONG) -> DataFrame:
     near = both.filter(F.abs(F.col("n_x") - F.col("n_y")) <= F.when(short, 1).otherwise(2))
     near = near.filter(F.when(short, within(s, r, 1)).otherwise(within(s, r, 2))).drop("line_x", "line_y")
     # lines of one length among the singles are in their counts
-    single = singles.filter(F.col("n") < long).select("a", F.lit(True).alias("single"))
+    single = singles.select("a", F.lit(True).alias("single"))
     near = near.join(single.select(F.col("a").alias("x"), F.col("single").alias("single_x")), "x", "left").join(single.select(F.col("a").alias("y"), F.col("single").alias("single_y")), "y", "left")
     near = written(near.filter("NOT (n_x = n_y AND single_x IS NOT NULL AND single_y IS NOT NULL)"), "line-links")
     ends = [near.select(F.col(u).alias("a"), F.col(f"b_{u}").alias("b"), F.col(f"n_{u}").alias("n"), F.lit(1).cast("bigint").alias("n_links"), F.col(f"first_{v}").alias("earliest")) for u, v in ("xy", "yx")]
@@ -254,7 +259,8 @@ def judge(docs: DataFrame, long: int = LONG) -> DataFrame:
     linked = written(links(lines, long), "line-linked")
     light = lines.select("doc", "line_no", *_CLASS)
     named = light.groupBy(*_CLASS).agg(F.min(F.struct("doc", "line_no")).alias("first")).join(linked, _CLASS, "left")
-    out = light.join(named, _CLASS)
+    # as a table, so that Spark can split a line with very many places
+    out = light.join(written(named, "line-named"), _CLASS)
     own = F.struct("doc", "line_no")
     kept = (own == F.col("first")) & (F.col("earliest").isNull() | (F.col("first") <= F.col("earliest")))
     return out.select(

@@ -5,7 +5,7 @@ from test_line_dedup import plain as plain_lines
 from test_minmax_dedup import plain as plain_near
 from test_quality import plain as plain_quality
 
-from tessella.llm import mixing, packing, quality
+from tessella.llm import line_dedup, mixing, packing, quality
 from tessella.llm.common import written
 
 
@@ -25,7 +25,7 @@ def test_each_stage_against_a_plain_version(spark, documents, words, tmp_path):
     texts = [{r.doc_id: r.text for r in s.collect()} for s in (docs, *steps[:-1])]
 
     assert set(texts[1]) <= {d for d, t in rows if not plain_quality(t)[-1]} and set(range(60)) <= set(texts[1]) and 302 not in texts[1]
-    kept = plain_lines(list(texts[1].items()), 1)
+    kept = plain_lines(list(texts[1].items()), line_dedup.LONG)
     rebuilt = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if kept.get((d, i), (1,))[-1]) for d, t in texts[1].items()}
     assert texts[2] == {d: t for d, t in rebuilt.items() if t.strip()}
     assert set(texts[3]) == {d for d, (_, _, stays) in plain_near(list(texts[2].items()), 5, 80).items() if stays}
