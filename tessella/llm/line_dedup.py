@@ -8,11 +8,11 @@ linked with one that begins earlier.
 The join: a line is cut into threshold + 1 segments; a line within the threshold must hold one of them unchanged, at a
 place that the edits left and right of it allow. Segments are index keys (with length and number); a line probes those of
 its own length and of lines up to threshold shorter, by the substrings at the allowed places. Keys are 64-bit hashes.
-They are counted before anything meets: a key of two lines gives that pair, a key of up to TOGETHER lines its pairs. The
-lines of more crowded keys are cut again, into more segments of which any `threshold` may be changed: the key is all
-that's left, so who shares it shares nearly the whole line. At the last cut all who share a key meet; but lines of up to
-SEGMENTS[1][-1] characters are then cut into single characters, and who shares such a key is linked for certain, hence
-counted without forming pairs.
+They are counted before anything meets: a key of two lines gives that pair, a key of up to TOGETHER lines its pairs. For
+the lines of a more crowded key the part that it leaves out is cut again, and any `threshold` of its pieces may be changed:
+the new key is all the rest, so who shares it shares nearly the whole line. At the last cut all who share a key meet; but
+lines of up to SEGMENTS[1][-1] characters are then cut into single characters, and who shares such a key is linked for
+certain, hence counted without forming pairs.
 Whoever meets is verified on the full lines by a bit-parallel automaton over the band of 2 * threshold + 1 diagonals,
 after equal beginnings and endings are taken off.
 
@@ -27,6 +27,7 @@ number stays in each. Ties can't occur, as places differ. A text that loses all
 
 from __future__ import annotations
 
+import json
 from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -35,8 +36,8 @@ from .common import few, let, parted, whole, written
 
 #: Lines of so many characters and more are linked within two edits, shorter ones within one.
 LONG = 1000
-#: By threshold: into how many segments lines are cut, first and when keys are crowded.
-SEGMENTS = {1: (2, 8, 32), 2: (3, 5, 8)}
+#: By threshold: into how many segments lines are cut, first and when keys are crowded; each a multiple of the one before.
+SEGMENTS = {1: (2, 8, 32, 128), 2: (3, 6, 12, 24)}
 #: Keys of more lines are crowded.
 TOGETHER = 8
 _WORD = r"[^\x20\x09-\x0D]"
@@ -86,7 +87,7 @@ def _run(line: Column, m: Column, cut: int | Column, first, end, shift) -> Colum
 
 
 def first_keys(lines: DataFrame, long: int) -> DataFrame:
-    """a, own, key by the first cut."""
+    """a, own, kind, key by the first cut."""
     line, n = F.col("line"), F.col("n")
 
     def keys(k: int, own: bool) -> list[Column]:
@@ -99,50 +100,64 @@ def first_keys(lines: DataFrame, long: int) -> DataFrame:
         return out
 
     # index keys come first; near `long` both thresholds have a part
-    kinds = [(n < long, (1,)), (n >= long + 2, (2,)), (None, (1, 2))]
-    arrays = [F.array(*(x for own in (True, False) for k in ks for x in keys(k, own))) for _, ks in kinds]
-    counts = [F.lit(sum(SEGMENTS[k][0] for k in ks)) for _, ks in kinds]
-    chosen = [F.when(kinds[0][0], x[0]).when(kinds[1][0], x[1]).otherwise(x[2]) for x in (arrays, counts)]
-    got = lines.select("a", chosen[1].alias("n_own"), F.posexplode(chosen[0]).alias("at", "key")).filter("key IS NOT NULL")
-    return got.select("a", (F.col("at") < F.col("n_own")).alias("own"), "key")
+    cases = [(n < long, (1,)), (n >= long + 2, (2,)), (None, (1, 2))]
+    arrays, kinds, counts = [], [], []
+    for _, ks in cases:
+        arrays.append(F.array(*(x for own in (True, False) for k in ks for x in keys(k, own))))
+        kinds.append(F.array(*(F.lit(_kind(k, p[0], p[1])) for own in (True, False) for k in ks for p in patterns(k, SEGMENTS[k][0]) if p[2] == own)))
+        counts.append(F.lit(sum(SEGMENTS[k][0] for k in ks)))
+    pick = lambda x: F.when(cases[0][0], x[0]).when(cases[1][0], x[1]).otherwise(x[2])
+    got = lines.select("a", pick(counts).alias("n_own"), pick(kinds).alias("kinds"), F.posexplode(pick(arrays)).alias("at", "key")).filter("key IS NOT NULL")
+    return got.select("a", (F.col("at") < F.col("n_own")).alias("own"), F.get("kinds", F.col("at")).alias("kind"), "key")
+
+
+def _kind(k: int, number: int, less: int) -> int:
+    """What a key leaves out, and how much shorter the indexed line is."""
+    return 1_000_000 * k + 10 * number + less
 
 
 def later_keys(lines: DataFrame, long: int, level: int) -> DataFrame:
-    """a, own, key by a later cut."""
+    """a, own, kind, key by a later cut, for lines with the kind of a crowded key of the cut before."""
     line, n = F.col("line"), F.col("n")
-    kind = "array<struct<k:int,cut:int,number:int,less:int,own:boolean,runs:array<struct<first:int,end:int,shift:int>>>>"
-    told = [(k, cuts[level], *p) for k, cuts in SEGMENTS.items() for p in patterns(k, cuts[level])]
-    given = F.from_json(F.lit(_json(told)), F.lit(kind))
+    names = "k:int,cut:int,number:int,less:int,own:boolean,kind:int,of:int,runs:array<struct<first:int,end:int,shift:int>>"
+    told = []
+    for k, cuts in SEGMENTS.items():
+        before, cut = cuts[level - 1 : level + 1]
+        changes = list(combinations(range(cut), k))
+        for parent, left_out in enumerate(combinations(range(before), k)):
+            for number, less, own, runs in patterns(k, cut):
+                if {c * before // cut for c in changes[number]} <= set(left_out):
+                    told.append((k, cut, number, less, own, _kind(k, number, less), _kind(k, parent, less), runs))
+    given = F.from_json(F.lit(_json(told, names)), F.lit(f"array<struct<{names}>>"))
 
     def key(p: Column) -> Column:
         m = n - p["less"]
         kept = F.transform(p["runs"], lambda r: _run(line, m, p["cut"], r["first"], r["end"], r["shift"]))
         applies = (m > 0) & ((m >= long) == (p["k"] == 2))
-        return F.struct(p["own"].alias("own"), F.when(applies, F.xxhash64(p["k"], p["number"], m, kept)).alias("key"))
-
-    return lines.select("a", F.inline(F.filter(F.transform(given, key), lambda x: x["key"].isNotNull())))
+        return F.struct(p["own"].alias("own"), p["kind"].alias("kind"), F.when(applies, F.xxhash64(p["k"], p["number"], m, kept)).alias("key"))
 
+    own = F.transform(F.filter(given, lambda p: p["of"] == F.col("kind")), key)
+    return lines.select("a", F.inline(F.filter(own, lambda x: x["key"].isNotNull()))).distinct()
 
-def _json(told: list) -> str:
-    import json
 
-    names = ("k", "cut", "number", "less", "own")
-    return json.dumps([{**dict(zip(names, p[:5], strict=True)), "runs": [dict(zip(("first", "end", "shift"), r, strict=True)) for r in p[5]]} for p in told])
+def _json(told: list, names: str) -> str:
+    fields = [x.split(":")[0] for x in names.split(",")[:7]]
+    return json.dumps([{**dict(zip(fields, p[:7], strict=True)), "runs": [dict(zip(("first", "end", "shift"), r, strict=True)) for r in p[7]]} for p in told])
 
 
 def met(keyed: DataFrame, last: bool = False) -> tuple[DataFrame, DataFrame]:
-    """keyed: a, own, key. Pairs (x, y) of lines that share an index key of few lines, and the lines a of crowded keys;
-    after the last cut no key counts as crowded."""
+    """keyed: a, own, kind, key. Pairs (x, y) of lines that share an index key of few lines, and the lines of crowded keys
+    as a, kind; after the last cut no key counts as crowded."""
     shared = keyed.groupBy("key").agg(F.count("*").alias("rows"), F.min("a").alias("x"), F.max("a").alias("y"), F.max("own").alias("own"))
     shared = written(shared.filter("own AND x < y").select("key", "rows", "x", "y"), "line-keys")
     more = written(shared.filter("rows > 2").select("key"), "line-more")
-    members = written(keyed.join(few(more), "key").groupBy("key", "a").agg(F.max("own").alias("own")), "line-members")
+    members = written(keyed.join(few(more), "key").groupBy("key", "a").agg(F.max("own").alias("own"), F.max("kind").alias("kind")), "line-members")
     sized = members.join(members.groupBy("key").agg(F.count("*").alias("rows")), "key")
-    near = written((sized if last else sized.filter(F.col("rows") <= TOGETHER)).drop("rows"), "line-near")
+    near = written((sized if last else sized.filter(F.col("rows") <= TOGETHER)).select("key", "a", "own"), "line-near")
     x, y = (near.select("key", F.col("a").alias(c), F.col("own").alias(f"own_{c}")) for c in "xy")
     pairs = x.join(y, "key").filter("x < y AND (own_x OR own_y)").select("x", "y")
     pairs = shared.filter("rows = 2").select("x", "y").unionByName(pairs)
-    return pairs, sized.filter(F.lit(not last) & (F.col("rows") > TOGETHER)).select("a").distinct()
+    return pairs, sized.filter(F.lit(not last) & (F.col("rows") > TOGETHER)).select("a", "kind").distinct()
 
 
 def within(s: Column, r: Column, k: int = 1) -> Column:
@@ -223,18 +238,21 @@ def links(lines: DataFrame, long: int = LONG) -> DataFrame:
     pairs, crowded = met(first_keys(lines, long))
     found = [written(pairs, "line-pairs")]
     crowded = written(crowded, "line-crowded")
-    wanted = found[0].select(F.explode(F.array("x", "y")).alias("a")).unionByName(crowded).distinct()
+    wanted = found[0].select(F.explode(F.array("x", "y")).alias("a")).unionByName(crowded.select("a")).distinct()
     texts = lines.join(few(written(wanted, "line-wanted")), "a").groupBy(*_CLASS)
     texts = written(texts.agg(F.min(F.struct("doc", "line_no")).alias("first"), F.min("line").alias("line")), "line-texts")
-    pairs, crowded = met(later_keys(texts.join(crowded, "a"), long, 1))
-    found.append(written(pairs, "line-pairs"))
-    rest = written(texts.join(written(crowded, "line-crowded"), "a"), "line-rest")
-    # lines up to this length go on by single characters
-    short = min(SEGMENTS[1][-1], long - 1)
-    singles = rest.filter(F.col("n") <= short)
-    counted = written(single_changes(singles), "line-counted")
-    found.append(written(single_drops(rest.filter(F.col("n") <= short + 1), singles), "line-pairs"))
-    found.append(written(met(later_keys(rest.filter(F.col("n") > short), long, 2), last=True)[0], "line-pairs"))
+    for level in range(1, len(SEGMENTS[1]) - 1):
+        pairs, crowded = met(later_keys(texts.join(crowded, "a"), long, level))
+        found.append(written(pairs, "line-pairs"))
+        crowded = written(crowded, "line-crowded")
+    rest = written(texts.join(crowded, "a"), "line-rest")
+    # one-edit lines up to this length go on by single characters
+    short, one = min(SEGMENTS[1][-1], long - 1), F.col("kind") < 2_000_000
+    singles = written(rest.filter((F.col("n") <= short + 1) & one).drop("kind").dropDuplicates(_CLASS), "line-singles")
+    counted = written(single_changes(singles.filter(F.col("n") <= short)), "line-counted")
+    found.append(written(single_drops(singles, singles.filter(F.col("n") <= short)), "line-pairs"))
+    singles = singles.filter(F.col("n") <= short)
+    found.append(written(met(later_keys(rest.filter((F.col("n") > short) | ~one), long, len(SEGMENTS[1]) - 1), last=True)[0], "line-pairs"))
 
     every = found[0]
     for p in found[1:]:
