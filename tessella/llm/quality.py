@@ -1,7 +1,7 @@
 """Quality rules, line first, in DataFrame functions alone.
 
-Each line of a text is judged by itself: it fails as navigation, as boilerplate, for want of closing punctuation, or
-for too many symbols. Failed lines are removed; a document that loses too large a part of its words' characters is
+Each line of a text, however long, is judged by itself: it fails as navigation, as boilerplate (it holds a phrase of such
+notices), for want of closing punctuation, or for too many symbols. Failed lines are removed; a document that loses too large a part of its words' characters is
 rejected, as is one that fails the base rules (too few words, too much repetition).
 
 Defined cases: a null text counts as empty; an empty or blank text has no words and fails the base rules. Blank lines
@@ -29,8 +29,6 @@ BOILERPLATE = (
 CLOSED = r"[.!?:;\x{2026}][\"')\]\x{201D}\x{2019}\x{BB}]*\z"
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: Longer lines are prose: the patterns of navigation and boilerplate are not looked for in them.
-SHORT_LINE = 200
 MIN_KEPT_PERCENT = 40
 MAX_SYMBOL_PERCENT = 10
 #: Separators of navigation bars; both are among SYMBOLS.
@@ -85,11 +83,9 @@ def _share(line: Column, pattern: str, percent: int) -> Column:
 
 def line_passes(line: Column, symbols: Column) -> Column:
     """Whether a line that has a word stays; symbols: how many the whole text has (if none, no line is searched)."""
-    ending = F.right(F.rtrim(line, F.lit(GAP_CHARS)), F.lit(8))
-    prose = F.length(line) > SHORT_LINE
     return (
-        ending.rlike(CLOSED)
-        & (prose | ~(line.rlike(NAVIGATION) | line.rlike(BOILERPLATE)))
+        F.rtrim(line, F.lit(GAP_CHARS)).rlike(CLOSED)
+        & ~(line.rlike(NAVIGATION) | line.rlike(BOILERPLATE))
         & ((symbols == 0) | ~(_share(line, f"[{SYMBOLS}]", MAX_SYMBOL_PERCENT) | _share(line, BARS, MAX_BAR_PERCENT)))
     )
 
@@ -97,7 +93,8 @@ def line_passes(line: Column, symbols: Column) -> Column:
 def judge(docs: DataFrame, text: str = "text", kept_text: bool = False) -> DataFrame:
     """docs with the base counts, base_failed, line_chars, kept_chars and kept; with kept_text also the lines that stay.
     Columns of docs with one of these names are replaced."""
-    docs = docs.drop("_w", "_l", *RESULTS)
+    stays = [c for c in docs.columns if c not in RESULTS]
+    docs = whole(docs, text)
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n"), _has_word)
 
@@ -127,7 +124,7 @@ def judge(docs: DataFrame, text: str = "text", kept_text: bool = False) -> DataF
     out = out.select("*", F.explode(F.array(let(lines, by_lines))).alias("_l"))
     made = [f"_w.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_repeat_words")]
     made += [f"_l.{c}" for c in ("n_dup_lines", "line_chars", "kept_chars", *(["kept_text"] if kept_text else []))]
-    out = out.select(*docs.columns, *made)
+    out = out.select(*(F.col("_doc").getField(c).alias(c) for c in stays), *made)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     enough = 100 * F.col("kept_chars") >= MIN_KEPT_PERCENT * F.col("line_chars")
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & enough)

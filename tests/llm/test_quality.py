@@ -34,6 +34,8 @@ def test_line_rules_decide(documents, words):
         2: (prose + "\nHome\nAll rights reserved.\n" + words(3, 1), True),
         3: ("\n".join(words(9, s) for s in range(9)), False),  # nothing closes
         4: (" | ".join(words(40, 8).split()) + ".", False),
+        6: (prose + "\n" + words(60, 3)[:250] + " Click here " + words(60, 4)[:250] + ".", False),  # a long line is judged too
+        7: (prose + "\n" + words(60, 5)[:100] + ".'\"))))))))))))", True),
         5: ("\n".join(f"{w}### {w}*** {w}%%%." for w in words(40, 9).split()), False),
     }
     docs = documents([(k, t) for k, (t, _) in cases.items()], {"kept": "theirs", "_w": 1, "n_words": 3})
