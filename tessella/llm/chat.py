@@ -5,7 +5,7 @@ trained on. Formatting emits one row per segment (opening, text, closing) with i
 backslash before each control string and each backslash, so that reading back gives every turn exactly.
 
 Conversations are dealt by conv_id and sorted by (turn, role, text) inside partitions; one pass over the sorted rows
-carries the machine's state, so that no conversation is held in memory, however long it is.
+carries the machine's state, so that no conversation is held in memory, however long it is; reading back holds one turn.
 
 Defined cases: a null text or role counts as empty; a null turn sorts first; a null conv_id is a conversation of its own.
 Roles that the template doesn't name get an opening that holds the escaped name. Conversations that break the turn order
@@ -102,31 +102,60 @@ def segments(turns: DataFrame, template: Template | None = None) -> DataFrame:
 READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
 
 
-def read_back(parts: DataFrame, template: Template | None = None) -> DataFrame:
-    """What the formatted text says, one row per conversation: turns and digests, read from the segments alone."""
+class Reader:
+    """Takes the formatted text of a conversation piece by piece, and gives each turn as soon as its end has come."""
+
+    def __init__(self, template: Template) -> None:
+        t = self.template = template
+        named = "|".join(re.escape(o) for o in t.openings.values())
+        before, after = map(re.escape, t.other)
+        self.opening = re.compile(rf"{named}|{before}(?:[^\\:]|\\.)*{after}", re.S)
+        self.body = re.compile(r"(?:[^\\" + re.escape(t.close[0]) + r"]+|\\.|(?!" + re.escape(t.close) + r").)*+", re.S)
+        self.pending: list[str] = []
+
+    def take(self, text: str) -> Iterator[tuple[str, str]]:
+        self.pending.append(text)
+        if not text.endswith(self.template.close):
+            return
+        formatted, at = "".join(self.pending), 0
+        while at < len(formatted):
+            head = self.opening.match(formatted, at)
+            body = head and self.body.match(formatted, head.end())
+            if not body or not formatted.startswith(self.template.close, body.end()):
+                break
+            yield self.template.role_of(head[0]), self.template.unescape(body[0])
+            at = body.end() + len(self.template.close)
+        self.pending = [formatted[at:]] if at < len(formatted) else []
+
+
+def read_back(parts: DataFrame, template: Template | None = None, in_order: bool = False) -> DataFrame:
+    """What the formatted text says, one row per conversation: turns and digests.
+
+    Turns are parsed out of the joined text of the segments, whatever part they say they are; the loss is what stands
+    under the segments' mask. valid is false for a breach of turn order and for text that doesn't parse to its end.
+    in_order: parts are as segments() returns them, each conversation's in one partition and in order; else they are dealt
+    and sorted first."""
     t = template or Template()
 
     class Reading:
         def __init__(self) -> None:
-            self.turns, self.trained = hashlib.sha256(), hashlib.sha256()
+            self.turns, self.trained, self.reader = hashlib.sha256(), hashlib.sha256(), Reader(t)
             self.n = self.loss = self.chars = 0
             self.valid = True
 
-        def take(self, part: str, text: str, loss: bool, valid: bool) -> None:
+        def take(self, text: str, loss: bool, valid: bool) -> None:
             self.chars += len(text)
             self.valid &= valid
-            if part == "open":
-                self.n += 1
-                self.turns.update((t.role_of(text) + "\n").encode())
-            elif part == "text":
+            if loss:
                 own = t.unescape(text)
-                self.turns.update((own + "\n").encode())
-                if loss:
-                    self.loss += len(own)
-                    self.trained.update(own.encode())
+                self.loss += len(own)
+                self.trained.update(own.encode())
+            for role, own in self.reader.take(text):
+                self.n += 1
+                self.turns.update(f"{role}\n{own}\n".encode())
 
         def row(self, conv: int | None) -> tuple:
-            return (conv, self.n, self.turns.hexdigest(), self.loss, self.trained.hexdigest(), self.chars, self.valid)
+            return (conv, self.n, self.turns.hexdigest(), self.loss, self.trained.hexdigest(), self.chars, self.valid and not self.reader.pending)
 
     columns = [c.split()[0] for c in READ.split(", ")]
 
@@ -139,33 +168,22 @@ def read_back(parts: DataFrame, template: Template | None = None) -> DataFrame:
         now, reading = (), None
         for batch in batches:
             done = []
-            for conv, part, text, loss, valid in zip(batch.conv_id, batch.part, batch.text, batch.loss, batch.valid, strict=True):
+            for conv, text, loss, valid in zip(batch.conv_id, batch.text, batch.loss, batch.valid, strict=True):
                 key = (None if pd.isna(conv) else int(conv),)
                 if key != now:
                     if reading:
                         done.append(reading.row(now[0]))
                     now, reading = key, Reading()
-                reading.take(part, text, loss, valid)
+                reading.take(text, loss, valid)
             if done:
                 yield frame(done)
         if reading:
             yield frame([reading.row(now[0])])
 
-    return parts.repartition("conv_id").sortWithinPartitions("conv_id", "seq").mapInPandas(run, READ)
+    dealt = parts if in_order else parts.repartition("conv_id").sortWithinPartitions("conv_id", "seq")
+    return dealt.select("conv_id", "text", "loss", "valid").mapInPandas(run, READ)
 
 
 def parse(formatted: str, template: Template | None = None) -> list[tuple[str, str]]:
     """The turns of one formatted conversation, from its text alone: the inverse of joining its segments."""
-    t = template or Template()
-    named = "|".join(re.escape(o) for o in t.openings.values())
-    before, after = map(re.escape, t.other)
-    opening = re.compile(rf"{named}|{before}(?:[^\\:]|\\.)*{after}", re.S)
-    close = re.compile(r"(?:\\.|(?!" + re.escape(t.close.strip()) + r")[^\\])*", re.S)
-    turns, at = [], 0
-    while at < len(formatted):
-        head = opening.match(formatted, at)
-        body = close.match(formatted, head.end())
-        cut = len(t.close) - len(t.close.lstrip())
-        turns.append((t.role_of(head[0]), t.unescape(formatted[head.end() : body.end() - cut])))
-        at = body.end() - cut + len(t.close)
-    return turns
+    return list(Reader(template or Template()).take(formatted))
