@@ -1,29 +1,38 @@
-"""Exact top-k search with vector-approximation files.
+"""Exact top-k search with a vector-approximation file.
 
-Components become integers, floor(scale * x). Each block of candidates has a vector-approximation file: every component's
-cell out of 16 of equal width between the block's own least and greatest value. From the cells alone a query gets an
-upper bound of its inner product with each candidate; exact vectors are then read in the order of these bounds until the
-kth best score is certain: no candidate left can reach it.
+Components become integers, floor(scale * x). The approximation file is a table of its own: for each vector one byte a
+component, its cell out of CELLS of equal width between the least and the greatest value of that component.
 
-Queries and candidates are dealt into blocks whose numbers follow from the row counts. Each query block meets each
-candidate block in a group of its own (at most about `block` rows of either), each group gives k rows a query, and a
-second aggregation keeps the best k of these. So the work is the query set against all rows in blocks; no group grows
-with the input, and equal vectors spread over the blocks by id.
+1. Scan the file in blocks for bounds: from the cells alone a query gets a lower and an upper bound of its inner product
+   with each candidate. The k best lower bounds over all blocks give the query's limit: its kth best score is no smaller.
+2. Scan it again, for the candidates whose upper bound reaches the limit. Only their exact vectors are read, by a join.
+3. Exact vectors are read in the order of upper bounds: first each query's FIRST * k best; their kth exact score is a
+   sharper limit, and of the others only those whose upper bound reaches it are read. Then the kth result is certain.
+
+Each query block meets each block of the file in a group of its own (about `block` rows at most of either), so the work
+is the query set against all rows in blocks, and no group grows with the input; what moves are queries and cells. Rows are
+dealt to blocks by row numbers, so equal ids spread over them. Of equal vectors only the k + 1 smallest ids take part: no
+other can be among a query's k best, so a vector that a third of all rows have is no crowd that meets its own queries.
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part, nor do rows with a null id;
-vectors of different lengths don't meet. Equal scores go to the smaller id. Repeated rows of a candidate each count; a
-query given more than once counts once (its smallest vector). With fewer than k candidates all come back. Scores are exact as long as they fit
-into a long.
+vectors of different lengths don't meet. Equal scores go to the smaller id. Repeated rows of a candidate each count (k at most can matter); a
+query given more than once counts once (its smallest vector). With fewer than k candidates all come back; without
+candidates or queries there is no row. Scores are exact as long as they fit into a long. Other columns are dropped.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from .common import few, written
 
-CELLS = 16
-RESULT = "query_id long, vec_id long, score long"
+CELLS, FIRST = 256, 2
+#: Below every score, and so is no negative of it.
+NO_LIMIT = 1 - 2**63
 
 
 def _inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -34,35 +43,55 @@ def _inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.int64) @ b.astype(np.int64).T
 
 
-class ApproximationFile:
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
-        self.least = self.vectors.min(axis=0)
-        self.width = (self.vectors.max(axis=0) - self.least) // CELLS + 1
-        self.cells = ((self.vectors - self.least) // self.width).astype(np.uint8)
-
-    def upper_bounds(self, queries: np.ndarray) -> np.ndarray:
-        """No inner product is larger: each component is taken at its cell's better edge."""
-        base = _inner(queries, self.least[None, :]) + np.maximum(queries, 0) @ (self.width - 1)[:, None]
-        return _inner(queries * self.width, self.cells.astype(np.int64)) + base
-
-    def search(self, query_id: int, query: np.ndarray, bounds: np.ndarray, k: int) -> list[tuple[int, int]]:
-        order = np.argsort(-bounds, kind="stable")  # equal bounds: smaller id first
-        found: list[tuple[int, int]] = []
-        step, at = max(64, 4 * k), 0
-        while at < len(order):
-            if len(found) == k and bounds[order[at]] < -found[-1][0]:
-                break
-            some = order[at : at + step]
-            some = some[self.ids[some] != query_id]
-            scores = _inner(query[None, :], self.vectors[some])[0]
-            found = sorted(found + [(-int(s), int(i)) for s, i in zip(scores, self.ids[some], strict=True)])[:k]
-            at, step = at + step, step * 2
-        return found
-
-
-def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, scale: int = 256, block: int = 4096, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+class Grid:
+    """The cells of vectors of one length: component i is in cell (v - least[i]) // width[i]."""
+
+    def __init__(self, least: np.ndarray, most: np.ndarray) -> None:
+        self.least, self.width = least, (most - least) // CELLS + 1
+
+    def cells(self, vectors: np.ndarray) -> np.ndarray:
+        return ((vectors - self.least) // self.width).astype(np.uint8)
+
+    def bounds(self, queries: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of all inner products: each component is taken at its cell's worse and better edge."""
+        base = _inner(queries, self.least[None, :]) + _inner(queries * self.width, cells.astype(np.int64))
+        slack = (self.width - 1)[:, None]
+        return base + np.minimum(queries, 0) @ slack, base + np.maximum(queries, 0) @ slack
+
+
+def grids(vectors: DataFrame) -> dict[int, Grid]:
+    """One grid for each length of vectors that occurs: two numbers a component."""
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for n, some in batch.v.groupby(batch.v.map(len)):
+                v = np.stack(some.to_list()).reshape(len(some), n)
+                yield pd.DataFrame({"n": n, "i": np.arange(n), "least": v.min(axis=0), "most": v.max(axis=0)})
+
+    found = vectors.select("v").mapInPandas(ends, "n int, i int, least long, most long").groupBy("n", "i").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    table = found.toPandas().sort_values(["n", "i"])
+    return {int(n): Grid(g.least.to_numpy(), g.most.to_numpy()) for n, g in table.groupby("n")}
+
+
+def approximated(vectors: DataFrame, grid: dict[int, Grid]) -> DataFrame:
+    """row, id, n and cells (a byte a component)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes = batch.v.map(len)
+            for n, some in batch.groupby(sizes):
+                cells = grid[n].cells(np.stack(some.v.to_list()).reshape(len(some), n)) if n else np.zeros((len(some), 0), np.uint8)
+                yield pd.DataFrame({"row": some.row, "id": some.id, "n": n, "cells": [c.tobytes() for c in cells]})
+
+    return vectors.select("row", "id", "v").mapInPandas(run, "row long, id long, n int, cells binary")
+
+
+def _best(df: DataFrame, order: list[Column], k: int) -> DataFrame:
+    """The first k rows of each query; a task keeps no more than k of each before rows move."""
+    return df.withColumn("at", F.row_number().over(Window.partitionBy("q").orderBy(*order))).filter(F.col("at") <= k)
+
+
+def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, scale: int = 256, block: int = 8192, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k highest integer inner products of each query."""
 
     def whole(df: DataFrame) -> DataFrame:
@@ -71,27 +100,66 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, scale: int = 25
         ints = F.transform(v, lambda x: F.floor(x * scale).cast("long"))
         return df.filter(sound).select(F.col(vec_id).cast("long").alias("id"), ints.alias("v"))
 
-    asked, given = whole(queries).groupBy("id").agg(F.min("v").alias("v")), whole(candidates)
-    q_blocks, c_blocks = (max(1, -(-df.count() // block)) for df in (asked, given))
-    home = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
-    left = asked.withColumn("q", home(q_blocks)).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
-    right = given.withColumn("c", home(c_blocks)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    key = [F.col("q").cast("long"), F.col("c").cast("long"), F.size("v")]
-
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(a) and len(b) and len(a.v.iloc[0]):
-            file = ApproximationFile(b.id.to_numpy(), np.stack(b.v.to_list()))
-            for at in range(0, len(a), 256):
-                some = a.iloc[at : at + 256]
-                vectors = np.stack(some.v.to_list())
-                for i, v, bounds in zip(some.id, vectors, file.upper_bounds(vectors), strict=True):
-                    out += [(i, other, -score) for score, other in file.search(i, v, bounds, k)]
-        elif len(a) and len(b):
-            out = [(i, other, 0) for i in a.id for other in sorted(x for x in b.id if x != i)[:k]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    best = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, RESULT)
-    ordered = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id"))), 1, k)
-    ranked = best.groupBy("query_id").agg(ordered.alias("best")).select("query_id", F.posexplode("best").alias("rank", "one"))
-    return ranked.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "one.vec_id", (-F.col("one.less")).alias("score"))
+    # of equal vectors only those of the k + 1 smallest ids can be among the k best of a query
+    each = whole(candidates).withColumn("again", F.row_number().over(Window.partitionBy("v", "id").orderBy("id"))).filter(F.col("again") <= k)
+    each = each.withColumn("place", F.dense_rank().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("place") <= k + 1)
+    exact = written(each.select("id", "v", F.monotonically_increasing_id().alias("row")), "topk-vectors")
+    grid = grids(exact)
+    file = written(approximated(exact, grid), "topk-cells")
+    asked = written(whole(queries).groupBy("id").agg(F.min("v").alias("v")).select(F.col("id").alias("q"), "v"), "topk-queries")
+    q_blocks, c_blocks = (max(1, -(-df.count() // block)) for df in (asked, file))
+
+    def scan(asked: DataFrame, keep, kind: str) -> DataFrame:
+        """keep(query rows, file rows, lower and upper bounds without the query's own rows) over all pairs of blocks."""
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = asked.withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(q_blocks)).cast("int")).withColumn("cb", every(c_blocks))
+        right = file.withColumn("cb", F.pmod(F.xxhash64("row"), F.lit(c_blocks)).cast("int")).withColumn("qb", every(q_blocks))
+        names = [x.split()[0] for x in kind.split(", ")]
+
+        def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            if len(a) and len(b):
+                n = len(a.v.iloc[0])
+                cells = np.frombuffer(b"".join(b.cells), np.uint8).reshape(len(b), n)
+                for at in range(0, len(a), 128):
+                    some = a.iloc[at : at + 128]
+                    ends = grid[n].bounds(np.stack(some.v.to_list()).reshape(len(some), n), cells) if n else [np.zeros((len(some), len(b)), np.int64)] * 2
+                    other = some.q.to_numpy()[:, None] != b.id.to_numpy()[None, :]
+                    out.append(keep(some, b, *ends, other))
+            return pd.concat(out) if out else pd.DataFrame({x: [] for x in names}).astype("int64")
+
+        keys = ["qb", "cb", "n"]
+        return left.withColumn("n", F.size("v")).groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, kind)
+
+    def lows(some: pd.DataFrame, b: pd.DataFrame, low: np.ndarray, high: np.ndarray, other: np.ndarray) -> pd.DataFrame:
+        low = np.where(other, low, NO_LIMIT)
+        best = -np.partition(-low, min(k, low.shape[1]) - 1, axis=1)[:, :k]
+        found = pd.DataFrame({"q": np.repeat(some.q.to_numpy(), best.shape[1]), "low": best.ravel()})
+        return found[found.low > NO_LIMIT]
+
+    limits = _best(scan(asked, lows, "q long, low long"), [F.desc("low")], k).groupBy("q").agg(F.min("low").alias("low"), F.count("*").alias("n"))
+    limits = limits.select("q", F.when(F.col("n") == k, F.col("low")).otherwise(F.lit(NO_LIMIT)).alias("least"))
+    asked = written(asked.join(limits, "q"), "topk-limits")
+
+    def reach(some: pd.DataFrame, b: pd.DataFrame, low: np.ndarray, high: np.ndarray, other: np.ndarray) -> pd.DataFrame:
+        i, j = np.nonzero((high >= some.least.to_numpy()[:, None]) & other)
+        return pd.DataFrame({"q": some.q.to_numpy()[i], "row": b.row.to_numpy()[j], "id": b.id.to_numpy()[j], "high": high[i, j]})
+
+    near = written(scan(asked, reach, "q long, row long, id long, high long"), "topk-near")
+    product = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x)
+
+    def read(pairs: DataFrame) -> DataFrame:
+        """q, id, score by the exact vectors of the rows named, and no others."""
+        rows = written(pairs.select("row").distinct(), "topk-rows")
+        vectors = exact.join(few(rows), "row").select("row", F.col("v").alias("w"))
+        met = pairs.select("q", "row", "id").join(vectors, "row").join(asked.select("q", "v"), "q")
+        return met.select("q", "id", product.alias("score"))
+
+    ordered = near.withColumn("at", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("high"), "row")))
+    ordered = written(ordered, "topk-order")
+    first = written(read(ordered.filter(F.col("at") <= FIRST * k)), "topk-first")
+    certain = _best(first, [F.desc("score")], k).groupBy("q").agg(F.min("score").alias("sure"), F.count("*").alias("n")).filter(F.col("n") == k)
+    rest = ordered.filter(F.col("at") > FIRST * k).join(certain, "q", "left").filter("sure IS NULL OR high >= sure")
+    both = first.unionByName(read(written(rest.select("q", "row", "id"), "topk-rest")))
+    ranked = _best(both, [F.desc("score"), F.col("id")], k)
+    return ranked.select(F.col("q").alias("query_id"), F.col("at").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
