@@ -16,8 +16,8 @@ Candidates don't expand into all pairs of a bucket:
 Confirming reads the whole texts of both sides again. No bucket, class or component is gathered in one task.
 
 Defined cases: a null or blank text has an empty set, is linked with nothing and stands for itself. Fewer words than a
-shingle has make one shingle. Rows with a null doc_id are left out. Repeated rows are equal documents: each comes back
-with the same component. Ties go to the smaller doc_id. An empty table gives an empty result.
+shingle has make one shingle. Rows with a null doc_id are left out. Rows that share a doc_id are one document, of the
+smallest of their texts that isn't null; each row comes back with its result. Ties go to the smaller doc_id. An empty table gives an empty result.
 Shingles are compared by 64-bit hashes of their words.
 """
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import parted, whole, written
+from .common import few, parted, whole, written
 from .components import components
 
 PERMUTATIONS, ROWS = 64, 4
@@ -77,7 +77,7 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, set_a and set_b (a 128-bit hash of the set), bands."""
+    """docs: doc_id, text -> doc_id, n_shingles, set_a and set_b (a 128-bit hash of the set), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,8 +92,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             made = [batch["doc_id"], *(pa.array(x, pa.int64()) for x in (sizes, first, second)), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(made, ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL")
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -113,7 +112,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
                     b.append(j)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id IS NOT NULL AND text IS NOT NULL")
+    texts = docs.select(F.col("doc_id").alias("id"), "text").filter("text IS NOT NULL")
     side = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long").distinct()
 
@@ -130,7 +129,7 @@ def prefixes(ids: DataFrame, docs: DataFrame, words: int, percent: int) -> DataF
                     part = s[at : at + 10_000]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), i)), pa.array(part)], ["id", "token"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id")
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id")
     each = written(texts.mapInArrow(run, "id long, token long"), "minmax-shingles")
     counts = written(each.groupBy("token").agg(F.count("*").alias("df")), "minmax-counts")
     ordered = each.join(counts, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))
@@ -152,10 +151,15 @@ def _near_size(a: str, b: str, percent: int):
 def group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept, one row per row of docs."""
     one_set = ["set_a", "set_b", "n_shingles"]
-    signed = written(signatures(docs, words), "minmax-signatures")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL")
+    given = written(signatures(rows, words), "minmax-signatures")
+    again = written(given.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "minmax-again")
+    once = written(rows.join(few(again), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "minmax-once")
+    docs = rows.join(few(again), "doc_id", "left_anti").unionByName(once)
+    signed = given.join(few(again), "doc_id", "left_anti").unionByName(written(signatures(once, words), "minmax-signatures"))
     full = signed.filter("n_shingles > 0")
     classes = written(full.groupBy(*one_set).agg(F.min("doc_id").alias("rep")), "minmax-classes")
-    chosen = full.join(classes, one_set).filter("doc_id = rep").dropDuplicates(["doc_id"])
+    chosen = full.join(classes, one_set).filter("doc_id = rep")
 
     banded = chosen.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     ends = banded.groupBy("key").agg(F.min(F.struct("id", "n")).alias("low"), F.max(F.struct("id", "n")).alias("high")).filter("low.id <> high.id")
@@ -185,7 +189,9 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     labelled = classes.join(found, classes["rep"] == found["node"], "left").select(*one_set, F.coalesce("component", "rep").alias("component_id"))
     out = signed.drop("bands").join(labelled, one_set, "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    each = given.select("doc_id").join(few(again), "doc_id").join(written(out.join(few(again), "doc_id"), "minmax-repeated"), "doc_id")
+    return out.join(few(again), "doc_id", "left_anti").unionByName(each)
 
 
 def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -193,8 +199,8 @@ def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     text stays; rows without one all stay."""
     gone = group(docs, words, percent).filter("NOT kept").select("doc_id").distinct()
     again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("doc_id IS NOT NULL AND n > 1").select("doc_id")
-    again = written(again, "minmax-again")
+    again = few(written(again, "minmax-again"))
     left = whole(docs, "doc_id", "text").join(gone, "doc_id", "left_anti")
-    first = Window.partitionBy("doc_id").orderBy(F.col("text"), F.xxhash64("_doc"))
+    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), F.xxhash64("_doc"))
     once = left.join(again, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
     return parted(left.join(again, "doc_id", "left_anti").unionByName(once), docs)

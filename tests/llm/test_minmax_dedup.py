@@ -58,6 +58,20 @@ def test_matches_brute_force(documents, rows, k):
     assert got == plain(rows, k, 80)
 
 
+def test_repeated_rows_in_a_crowded_bucket(documents, words, monkeypatch):
+    # all documents fall into one bucket, so links come from its ends and from the prefix filter
+    monkeypatch.setattr(minmax_dedup, "band_keys", lambda s: np.zeros(1, np.int64))
+    base = words(100, 2)
+    rows = [(1, words(100, 1)), (3, base), (4, edited(base, 5, 2)), (9, words(100, 3)), (10, edited(words(100, 3), 1, 2)), (11, None)]
+    for repeated in ([], [(3, base)] * 3, [(3, base), (3, None), (4, words(120, 8) + "zzz"), (11, None)]):
+        given = [*rows, *repeated]
+        once = {i: min((t for j, t in given if j == i and t is not None), default=None) for i, _ in given}
+        want = plain(list(once.items()), 5, 80)
+        got = [(r.doc_id, (r.n_shingles, r.component_id, r.kept)) for r in minmax_dedup.group(documents(given), 5, 80).collect()]
+        assert sorted(got) == sorted((i, want[i]) for i, _ in given)
+        assert want[9][1] == want[10][1] and (want[3][1] == want[4][1] or len(repeated) > 3)
+
+
 def test_deduplicate_keeps_one_of_each(documents, rows):
     docs = documents([*rows, (505, "a b c"), (None, "no id"), (None, "no id")], {"n": 1, "component_id": "theirs"})
     left = minmax_dedup.deduplicate(docs, 5, 80).collect()
