@@ -28,9 +28,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import parted, whole, written
+from .common import parted, written
 
 _log = logging.getLogger(__name__)
 
@@ -45,8 +45,6 @@ ROUNDS, MOVED = 15, 1e-4
 UNIT, FINE = 1 << 14, 1 << 20
 #: Raking ends within TOLERANCE, or once SWEEPS more leave more than STALLED of the deviation.
 SWEEPS, TOLERANCE, STALLED = 4, 1e-3, 0.98
-#: Files of a table of cells; its rows are the combinations that occur.
-CELL_FILES = 8
 
 
 class Hasher:
@@ -75,7 +73,7 @@ class Hasher:
 
 
 def with_vectors(docs: DataFrame) -> DataFrame:
-    """docs with _vector (16-bit whole numbers of 1 / UNIT) and _tokens (words)."""
+    """docs (text and others) with _vector (16-bit whole numbers of 1 / UNIT) and _tokens (words)."""
 
     @F.pandas_udf("vector binary, tokens long")
     def vectors(texts: pd.Series) -> pd.DataFrame:
@@ -146,41 +144,54 @@ def with_topics(read: DataFrame, centers: np.ndarray) -> DataFrame:
     return read.select(*(c for c in read.columns if c not in ("_vector", "_tokens")), nearest("_vector").alias("_topic"), "_tokens")
 
 
-def _share(of: str, by: str | None = None) -> Column:
-    return F.sum(of).over(Window.partitionBy(by) if by else Window.partitionBy())
+def _targets(cells: DataFrame, m: str, given: DataFrame | None) -> DataFrame:
+    """value, target: the shares that a marginal's values with mass are to have; they sum to 1."""
+    sums = cells.groupBy(F.col(m).alias("value")).agg(F.sum("mass").cast("double").alias("mass")).filter("mass > 0")
+    if given is None:
+        shares = sums.select("value", F.pow("mass", F.lit(TEMPERING[m])).alias("share"))
+    else:
+        part = F.col("mass") / F.greatest(F.lit(float(sums.agg(F.sum("mass")).first()[0] or 0)), F.lit(1e-9))
+        asked = given.select("value", F.col("share").cast("double").alias("asked"))
+        shares = sums.join(asked, "value", "left").select("value", F.coalesce("asked", part).alias("share"))
+    total = float(shares.agg(F.sum("share")).first()[0] or 0)
+    return shares.select("value", (F.col("share") / F.lit(max(total, 1e-300))).alias("target"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """cells (source, lang, topic, mass) with weight: the raked share of each, the marginals at their targets.
 
-    targets: for a marginal a table (value, share); without one its observed shares are tempered."""
-    now = cells.withColumn("weight", F.col("mass") / F.greatest(_share("mass"), F.lit(1e-9)))
-    for m in MARGINS:
-        sums = cells.groupBy(m).agg(F.sum("mass").alias("_s"))
-        if targets and m in targets:
-            given = targets[m].select(F.col("value").alias(m), F.col("share").cast("double").alias("_given"))
-            part = F.col("_s") / F.greatest(F.sum("_s").over(Window.partitionBy()), F.lit(1e-9))
-            sums = sums.join(given, m, "left").withColumn("_p", F.coalesce("_given", part))
-        else:
-            sums = sums.withColumn("_p", F.when(F.col("_s") > 0, F.pow(F.col("_s").cast("double"), TEMPERING[m])).otherwise(0.0))
-        sums = sums.select(m, (F.col("_p") / F.greatest(F.sum("_p").over(Window.partitionBy()), F.lit(1e-300))).alias(f"to_{m}"))
-        now = now.join(sums, m)
-    now = written(now.coalesce(CELL_FILES), "mixing-cells")
-    last = float("inf")
+    targets: for a marginal a table (value, share); without one its observed shares are tempered. A cell's weight is its
+    mass times one factor for each of its three values. To scale a marginal, the cells' masses times the two other factors
+    are summed by its values: partial sums of cells, however many fall under one value."""
+    cells = written(cells, "mixing-cells")
+    factors = {m: written(_targets(cells, m, (targets or {}).get(m)).select("value", "target", F.lit(1.0).alias("factor")), "mixing-factors") for m in MARGINS}
+
+    def weighed(by: tuple[str, ...]) -> tuple[DataFrame, Column]:
+        met, weight = cells, F.col("mass").cast("double")
+        for m in by:
+            met = met.join(factors[m].select(F.col("value").alias(m), F.col("factor").alias(f"_{m}")), m, "left")
+            weight *= F.coalesce(f"_{m}", F.lit(0.0))
+        return met, weight
+
+    last, sweeps = float("inf"), 0
     while True:
-        for _ in range(SWEEPS):
-            for m in MARGINS:
-                now = now.withColumn("weight", F.when(F.col("weight") > 0, F.col("weight") * F.col(f"to_{m}") / _share("weight", m)).otherwise(0.0))
-        now = written(now.coalesce(CELL_FILES), "mixing-cells")
-        off = [F.max(F.when(F.col("weight") > 0, F.abs(_w / F.col(f"to_{m}") - 1))) for m in MARGINS for _w in [F.col(f"_{m}")]]
-        off = now.withColumns({f"_{m}": _share("weight", m) for m in MARGINS}).agg(F.greatest(*off).alias("off")).first().off or 0
-        if off < TOLERANCE:
+        off = 0.0
+        for m in MARGINS:
+            met, weight = weighed(tuple(x for x in MARGINS if x != m))
+            sums = met.groupBy(F.col(m).alias("value")).agg(F.sum(weight).alias("sum"))
+            scaled = factors[m].join(sums, "value").withColumn("off", F.when(F.col("sum") > 0, F.abs(F.col("factor") * F.col("sum") / F.col("target") - 1)))
+            factors[m] = written(scaled.select("value", "target", F.when(F.col("sum") > 0, F.col("target") / F.col("sum")).otherwise(0.0).alias("factor"), "off"), "mixing-factors")
+            off = max(off, factors[m].agg(F.max("off")).first()[0] or 0.0)
+        sweeps += 1
+        if sweeps > 1 and off < TOLERANCE:
             break
-        if off > STALLED * last:
-            _log.warning("raking ended with a marginal off its target by %.3g of it (tolerance %g)", off, TOLERANCE)
-            break
-        last = off
-    return now.select(*MARGINS, "mass", "weight")
+        if sweeps % SWEEPS == 0:
+            if off > STALLED * last:
+                _log.warning("raking ended with a marginal off its target by %.3g of it (tolerance %g)", off, TOLERANCE)
+                break
+            last = off
+    met, weight = weighed(MARGINS)
+    return written(met.select(*MARGINS, "mass", weight.alias("weight")), "mixing-raked")
 
 
 def calibrate(raked: DataFrame, keep: float = KEEP) -> DataFrame:
@@ -197,21 +208,28 @@ def calibrate(raked: DataFrame, keep: float = KEEP) -> DataFrame:
     return raked.withColumn("probability", F.when(F.col("mass") > 0, F.least(F.lit(1.0), F.col("weight") * F.lit(float(scale)) / F.col("mass"))).otherwise(F.lit(1.0)))
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP) -> DataFrame:
-    """docs with _topic, _tokens, _probability and _drawn."""
-    read = written(with_vectors(docs), "mixing-docs")
-    marked = with_topics(read, centroids(read))
-    key = {"source": F.coalesce("source", F.lit("\0")), "lang": F.coalesce("lang", F.lit("\0")), "topic": F.col("_topic")}
-    keyed = marked.withColumns({f"_key_{m}": c for m, c in key.items()})
-    cells = keyed.groupBy(*(F.col(f"_key_{m}").alias(m) for m in MARGINS)).agg(F.sum("_tokens").alias("mass"))
-    cells = written(cells, "mixing-mass")
-    chances = written(calibrate(rake(cells, targets), keep).select(*(F.col(m).alias(f"_key_{m}") for m in MARGINS), F.col("probability").alias("_probability")), "mixing-chances")
-    met = keyed.join(chances, [f"_key_{m}" for m in MARGINS])
+def _mixed(docs: DataFrame, carried: list[str], targets: dict[str, DataFrame] | None, keep: float) -> DataFrame:
+    """_doc (the carried columns), _topic, _tokens, _probability and _drawn."""
     id_hash = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text")), F.lit(11))
-    u = F.pmod(id_hash, F.lit(1 << 40)) / F.lit(float(1 << 40))
-    return met.select(*marked.columns, "_probability", (u < F.col("_probability")).alias("_drawn"))
+    keys = [F.coalesce(F.col(m).cast("string"), F.lit("\0")).alias(f"_{m}") for m in ("source", "lang")]
+    read = with_vectors(docs.select(F.struct(*carried).alias("_doc"), "text", *keys, id_hash.alias("_hash")))
+    read = written(read.drop("text"), "mixing-docs")
+    marked = with_topics(read, centroids(read))
+    cells = marked.groupBy(*(F.col(f"_{m}").alias(m) for m in MARGINS)).agg(F.sum("_tokens").alias("mass"))
+    chances = calibrate(rake(cells, targets), keep).select(*(F.col(m).alias(f"_{m}") for m in MARGINS), F.col("probability").alias("_probability"))
+    met = marked.join(written(chances, "mixing-chances"), [f"_{m}" for m in MARGINS])
+    u = F.pmod(F.col("_hash"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return met.select("_doc", "_topic", "_tokens", "_probability", (u < F.col("_probability")).alias("_drawn"))
+
+
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, carried: list[str] | None = None) -> DataFrame:
+    """The carried columns of docs (all, if not given) with _topic, _tokens, _probability and _drawn, which replace
+    columns of these names."""
+    made = ["_topic", "_tokens", "_probability", "_drawn"]
+    carried = [c for c in carried or docs.columns if c not in made]
+    return _mixed(docs, carried, targets, keep).select(*(F.col("_doc").getField(c).alias(c) for c in carried), *made)
 
 
 def draw(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP) -> DataFrame:
     """The documents drawn; the columns of docs."""
-    return parted(mix(whole(docs, "doc_id", "text", "source", "lang"), targets, keep).filter("_drawn"), docs)
+    return parted(_mixed(docs, docs.columns, targets, keep).filter("_drawn"), docs)

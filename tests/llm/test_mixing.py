@@ -3,6 +3,7 @@ import math
 
 import numpy as np
 import pytest
+import xxhash
 
 from tessella.llm import mixing
 
@@ -90,3 +91,79 @@ def test_raking_goes_on_until_it_holds_or_says_so(spark, caplog):
     with caplog.at_level(logging.WARNING, "tessella.llm.mixing"):
         assert mixing.rake(never, given).count() == 2
     assert "off its target" in caplog.text
+
+
+def signed(n):
+    return n - (1 << 64) if n >> 63 else n
+
+
+def plain_mix(rows, targets, keep):
+    """The whole operator over lists: topics, cells, raking, calibration and draw. rows: doc_id, text, lang, source."""
+    hasher, fine = mixing.Hasher(), mixing.FINE // mixing.UNIT
+    read = [hasher(t) for _, t, *_ in rows]
+    vectors = [np.rint(v * mixing.UNIT).astype("<i2") for _, v in read]
+    used = [v for (n, _), v in zip(read, vectors, strict=True) if n]
+    centers = []
+    while len(centers) < mixing.TOPICS:
+        races = []
+        for v in used:
+            x = v.astype(float) * fine
+            far = min((((x - c) ** 2).sum() / mixing.FINE**2 for c in centers), default=1.0)
+            u = ((signed(xxhash.xxh64_intdigest(v.tobytes(), 42)) >> 11) + 2.0**52 + 0.5) / 2.0**53
+            if far > 0:
+                races.append((-math.log(u) / far, v.tobytes()))
+        if not races:
+            break
+        centers.append(np.frombuffer(min(races)[1], "<i2").astype(float) * fine)
+
+    def nearest(v):
+        return int(np.argmin([((v.astype(float) * fine - c) ** 2).sum() for c in centers])) if centers else 0
+
+    for _ in range(mixing.ROUNDS):
+        before, members = centers, [[] for _ in centers]
+        for v in used:
+            members[nearest(v)].append(v.astype(float) * fine)
+        centers = [np.rint(sum(m) / len(m)) if m else c for m, c in zip(members, before, strict=True)]
+        if max((np.linalg.norm(a - b) for a, b in zip(centers, before, strict=True)), default=0) <= mixing.MOVED * mixing.FINE:
+            break
+    cell = [(source if source is not None else "\0", lang if lang is not None else "\0", nearest(v)) for (_, _, lang, source), v in zip(rows, vectors, strict=True)]
+    mass = {}
+    for c, (n, _) in zip(cell, read, strict=True):
+        mass[c] = mass.get(c, 0) + n
+    weight, total = {c: float(m) for c, m in mass.items() if m}, sum(mass.values())
+    aims = []
+    for axis, m in enumerate(mixing.MARGINS):
+        sums = {}
+        for c, x in weight.items():
+            sums[c[axis]] = sums.get(c[axis], 0) + x
+        aim = {v: targets[m].get(v, s / total) if m in targets else s ** mixing.TEMPERING[m] for v, s in sums.items()}
+        aims.append({v: a / sum(aim.values()) for v, a in aim.items()})
+    weight = raked(weight, aims)
+    low, high = 0.0, 1e9 * total
+    for _ in range(200):  # the scale at which the expected tokens are those to keep
+        middle = (low + high) / 2
+        low, high = (middle, high) if sum(min(mass[c], middle * x) for c, x in weight.items()) < keep * total else (low, middle)
+    chance = {c: min(1.0, weight[c] * high / mass[c]) if mass[c] else 1.0 for c in mass}
+    return [(r[0], c[2], n, chance[c]) for r, c, (n, _) in zip(rows, cell, read, strict=True)]
+
+
+@pytest.mark.parametrize("targets", [{}, {"lang": {"en": 0.6, "de": 0.2, "xx": 0.3}, "source": {"s1": 0.5}}])
+def test_whole_operator_matches_a_plain_version(spark, documents, words, targets):
+    rows = [(i, words(5 + i % 40, i % 90) + f" kind{i % 9} of{i % 9}", ("en", "de", "fr")[i % 7 % 3], "big" if i % 3 else f"s{i % 5}") for i in range(300)]
+    rows += [(900, None, None, None), (901, "", "en", "big"), (902, "a b c d", None, "s1")]
+    given = {m: spark.createDataFrame(list(t.items()), "value string, share double") for m, t in targets.items()}
+    got = {r.doc_id: r for r in mixing.mix(documents([(*r, 0) for r in rows]), given).collect()}
+    want = plain_mix(rows, targets, mixing.KEEP)
+    assert len(got) == len(want)
+    for i, topic, tokens, chance in want:
+        assert (got[i]._topic, got[i]._tokens) == (topic, tokens)
+        assert got[i]._probability == pytest.approx(chance, rel=1e-2)
+        u = (signed(xxhash.xxh64_intdigest((11).to_bytes(4, "little"), xxhash.xxh64_intdigest(str(i), 42))) % 2**40) / 2**40
+        assert got[i]._drawn == (u < got[i]._probability)
+
+
+def test_clashing_columns(documents):
+    docs = documents([(1, "a b", "en", "s", 1), (2, "c d", "de", "t", 1)], {"_topic": "theirs", "_key_source": 1, "_source": 2, "_doc": 3})
+    got = mixing.mix(docs).collect()
+    assert len(got) == 2 and {type(r._topic) for r in got} == {int} and all((r["_key_source"], r["_source"], r["_doc"]) == (1, 2, 3) for r in got)
+    assert mixing.draw(docs).columns == docs.columns
