@@ -33,6 +33,10 @@ def tokenizer_file() -> str:
 TOXIC_FROM = 0.3
 
 
+#: Shares of tokens that op5 rakes to; sources and topics, and languages not named, are tempered or keep their shares.
+MIX_TARGETS = {"lang": {"en": 0.55, "de": 0.15, "es": 0.15, "fr": 0.15}}
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~toxicity.held_out(F.col("doc_id")))
@@ -60,7 +64,8 @@ def op4_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    targets = {m: spark.createDataFrame(list(t.items()), "value string, share double") for m, t in MIX_TARGETS.items()}
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), targets, carried=["doc_id", "source", "lang"])
     return mixed.select(
         "doc_id",
         "source",
@@ -76,7 +81,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return chat.read_back(chat.segments(turns)).drop("valid")
+    return chat.read_back(chat.segments(turns), in_order=True)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,6 +129,7 @@ WITH v AS (
 SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 5
 """
 
+# valid: a system turn or none, then user and assistant in turn
 _OP6_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -135,7 +141,8 @@ WITH t AS (
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(chars)::BIGINT AS formatted_chars
+  sum(chars)::BIGINT AS formatted_chars,
+  regexp_full_match(string_agg(role || ';', '' ORDER BY turn, role, text), '(system;)?(user;assistant;)*(user;)?') AS valid
 FROM f GROUP BY conv_id
 """
 
@@ -157,8 +164,8 @@ WITH d AS (
   FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d)
 ), c AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM g WHERE n > 1) GROUP BY r
 ), k AS (
-  SELECT *, list_filter(s, lambda x: regexp_matches(right(rtrim(x, {_GAPS}), 8), {_quoted(quality.CLOSED)})
-    AND (length(x) > {quality.SHORT_LINE} OR NOT (regexp_matches(x, {_quoted(quality.NAVIGATION)}) OR regexp_matches(x, {_quoted(quality.BOILERPLATE)})))
+  SELECT *, list_filter(s, lambda x: regexp_matches(rtrim(x, {_GAPS}), {_quoted(quality.CLOSED)})
+    AND NOT (regexp_matches(x, {_quoted(quality.NAVIGATION)}) OR regexp_matches(x, {_quoted(quality.BOILERPLATE)}))
     AND 100 * (length(x) - length(regexp_replace(x, '[{quality.SYMBOLS}]', '', 'g'))) <= {quality.MAX_SYMBOL_PERCENT} * length(x)
     AND 100 * (length(x) - length(regexp_replace(x, '{quality.BARS}', '', 'g'))) <= {quality.MAX_BAR_PERCENT} * length(x)) AS stay
   FROM d
