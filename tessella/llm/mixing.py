@@ -45,6 +45,8 @@ ROUNDS, MOVED = 15, 1e-4
 UNIT, FINE = 1 << 14, 1 << 20
 #: Raking ends within TOLERANCE, or once SWEEPS more leave more than STALLED of the deviation.
 SWEEPS, TOLERANCE, STALLED = 4, 1e-3, 0.98
+#: Tables of cells up to this size are raked in one task.
+FEW_CELLS = 200_000
 
 
 class Hasher:
@@ -157,14 +159,69 @@ def _targets(cells: DataFrame, m: str, given: DataFrame | None) -> DataFrame:
     return shares.select("value", (F.col("share") / F.lit(max(total, 1e-300))).alias("target"))
 
 
+class Ending:
+    """Tells when raking is to end: within the tolerance, or once SWEEPS more leave most of the deviation."""
+
+    def __init__(self) -> None:
+        self.last, self.sweeps = float("inf"), 0
+
+    def reached(self, off: float) -> bool:
+        """off: the largest deviation of a marginal met in the sweep just done."""
+        self.sweeps += 1
+        if off < TOLERANCE:
+            return True
+        if self.sweeps % SWEEPS == 0:
+            if off > STALLED * self.last:
+                return True
+            self.last = off
+        return False
+
+
+def _raked_at_once(rows: pd.DataFrame) -> pd.DataFrame:
+    """All sweeps over the cells of one table, each with the targets of its three values."""
+    rows = rows.sort_values(list(MARGINS)).reset_index(drop=True)
+    codes = [rows[m].factorize()[0] for m in MARGINS]
+    aims = [np.zeros(c.max() + 1) for c in codes]
+    for aim, code, m in zip(aims, codes, MARGINS, strict=True):
+        aim[code] = rows[f"to_{m}"].fillna(0.0)
+    weight, ending = rows.mass.to_numpy(float), Ending()
+    while True:
+        off = 0.0
+        for aim, code in zip(aims, codes, strict=True):
+            sums = np.bincount(code, weight, len(aim))
+            at = (sums > 0) & (aim > 0)
+            off = max(off, float(np.abs(sums[at] / aim[at] - 1).max(initial=0)))
+            weight = weight * np.divide(aim, sums, out=np.zeros(len(aim)), where=at)[code]
+        if ending.reached(off):
+            break
+    return rows[[*MARGINS, "mass"]].assign(weight=weight, off=off)
+
+
 def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """cells (source, lang, topic, mass) with weight: the raked share of each, the marginals at their targets.
 
-    targets: for a marginal a table (value, share); without one its observed shares are tempered. A cell's weight is its
-    mass times one factor for each of its three values. To scale a marginal, the cells' masses times the two other factors
-    are summed by its values: partial sums of cells, however many fall under one value."""
+    targets: for a marginal a table (value, share); without one its observed shares are tempered. Up to FEW_CELLS cells,
+    however many documents they stand for, are raked in one task. Beyond that a cell's weight is its mass times one factor
+    for each of its three values: to scale a marginal, the cells' masses times the two other factors are summed by its
+    values, by partial sums, and only the factors are written anew. Both do the same sweeps."""
     cells = written(cells, "mixing-cells")
-    factors = {m: written(_targets(cells, m, (targets or {}).get(m)).select("value", "target", F.lit(1.0).alias("factor")), "mixing-factors") for m in MARGINS}
+    aims = {m: written(_targets(cells, m, (targets or {}).get(m)), "mixing-targets") for m in MARGINS}
+    if cells.limit(FEW_CELLS + 1).count() <= FEW_CELLS:
+        met = cells
+        for m in MARGINS:
+            met = met.join(aims[m].select(F.col("value").alias(m), F.col("target").alias(f"to_{m}")), m, "left")
+
+        def at_once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            rows = list(batches)
+            if sum(map(len, rows)):
+                yield _raked_at_once(pd.concat(rows))
+
+        kinds = dict(cells.dtypes)
+        schema = ", ".join([*(f"{m} {kinds[m]}" for m in MARGINS), "mass long", "weight double", "off double"])
+        done = written(written(met, "mixing-cells").coalesce(1).mapInPandas(at_once, schema), "mixing-raked")
+        _tell(done.agg(F.max("off")).first()[0] or 0.0)
+        return done.drop("off")
+    factors = {m: aims[m].withColumn("factor", F.lit(1.0)) for m in MARGINS}
 
     def weighed(by: tuple[str, ...]) -> tuple[DataFrame, Column]:
         met, weight = cells, F.col("mass").cast("double")
@@ -173,7 +230,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataF
             weight *= F.coalesce(f"_{m}", F.lit(0.0))
         return met, weight
 
-    last, sweeps = float("inf"), 0
+    ending = Ending()
     while True:
         off = 0.0
         for m in MARGINS:
@@ -182,18 +239,18 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataF
             scaled = factors[m].join(sums, "value").withColumn("off", F.when(F.col("sum") > 0, F.abs(F.col("factor") * F.col("sum") / F.col("target") - 1)))
             factors[m] = written(scaled.select("value", "target", F.when(F.col("sum") > 0, F.col("target") / F.col("sum")).otherwise(0.0).alias("factor"), "off"), "mixing-factors")
             off = max(off, factors[m].agg(F.max("off")).first()[0] or 0.0)
-        sweeps += 1
-        if sweeps > 1 and off < TOLERANCE:
+        if ending.reached(off):
             break
-        if sweeps % SWEEPS == 0:
-            if off > STALLED * last:
-                _log.warning("raking ended with a marginal off its target by %.3g of it (tolerance %g)", off, TOLERANCE)
-                break
-            last = off
+    _tell(off)
     met, weight = weighed(MARGINS)
     return written(met.select(*MARGINS, "mass", weight.alias("weight")), "mixing-raked")
 
 
+def _tell(off: float) -> None:
+    if off >= TOLERANCE:
+        _log.warning("raking ended with a marginal off its target by %.3g of it (tolerance %g)", off, TOLERANCE)
+
+
 def calibrate(raked: DataFrame, keep: float = KEEP) -> DataFrame:
     """raked with probability: weight / mass, scaled to the expected tokens and held at 1."""
     total = raked.agg(F.sum("mass")).first()[0] or 0

@@ -19,7 +19,9 @@ def raked(cells, targets):
     return w
 
 
-def test_raking_meets_the_marginals(spark):
+@pytest.mark.parametrize("few", [mixing.FEW_CELLS, 0])
+def test_raking_meets_the_marginals(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW_CELLS", few)
     cells = {(s, g, t): 10 + 7 * i + 3 * j * t for i, s in enumerate("abc") for j, g in enumerate(["en", "de"]) for t in range(3)}
     targets = [{"a": 0.5, "b": 0.3, "c": 0.2}, {"en": 0.6, "de": 0.4}, {0: 0.2, 1: 0.3, 2: 0.5}]
     df = spark.createDataFrame([(*c, m) for c, m in cells.items()], "source string, lang string, topic int, mass long")
@@ -79,7 +81,9 @@ def test_few_documents_have_topics(documents):
     assert len({r._topic for r in mixing.mix(documents(rows)).collect()}) == 3
 
 
-def test_raking_goes_on_until_it_holds_or_says_so(spark, caplog):
+@pytest.mark.parametrize("few", [mixing.FEW_CELLS, 0])
+def test_raking_goes_on_until_it_holds_or_says_so(spark, caplog, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW_CELLS", few)
     df = spark.createDataFrame([("a", "en", 0, 1000), ("a", "de", 0, 1), ("b", "en", 0, 1), ("b", "de", 0, 2000), ("c", "en", 0, 5), ("c", "de", 0, 3)], "source string, lang string, topic int, mass long")
     given = {m: spark.createDataFrame(rows, "value string, share double") for m, rows in {"source": [("a", 0.3), ("b", 0.6), ("c", 0.1)], "lang": [("en", 0.7), ("de", 0.3)]}.items()}
     got = mixing.rake(df, given).collect()
