@@ -4,33 +4,40 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .distributions import zscores
+from tessella.sources.scratch import written
 
 
-def _vectors(df: DataFrame, columns: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=columns, outputCol="_f").transform(zscores(df.na.drop(subset=columns), columns))
+def _vectors(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """key, _f: the columns standardised by their population deviations; rows with a missing value are left out."""
+    raw = df.select(key, F.array(*(F.col(c).cast("double") for c in columns)).alias("_a")).filter(F.forall("_a", lambda x: x.isNotNull() & ~F.isnan(x)))
+    x = written(raw.select(key, array_to_vector("_a").alias("_r")), "cluster-vectors")
+    n = x.count()
+    scaler = StandardScaler(inputCol="_r", outputCol="_z", withMean=True, withStd=True).fit(x)
+    by = [((n / (n - 1)) ** 0.5 if n > 1 else 1.0)] * len(columns)
+    return ElementwiseProduct(scalingVec=Vectors.dense(by), inputCol="_z", outputCol="_f").transform(scaler.transform(x)).select(key, "_f")
 
 
 def principal_components(df: DataFrame, key: str, columns: list[str], k: int = 2) -> DataFrame:
     """component, feature, loading (absolute), explained: of the standardised columns. Signs are arbitrary, hence none."""
-    model = PCA(k=k, inputCol="_f", outputCol="_p").fit(_vectors(df, columns))
+    model = PCA(k=k, inputCol="_f", outputCol="_p").fit(_vectors(df, key, columns))
     rows = [(i, c, float(abs(model.pc[j, i])), float(model.explainedVariance[i])) for i in range(k) for j, c in enumerate(columns)]
     return df.sparkSession.createDataFrame(rows, "component int, feature string, loading double, explained double")
 
 
 def component_scores(df: DataFrame, key: str, columns: list[str], k: int = 2) -> DataFrame:
-    x = _vectors(df, columns)
+    x = _vectors(df, key, columns)
     scored = PCA(k=k, inputCol="_f", outputCol="_p").fit(x).transform(x).withColumn("_p", vector_to_array("_p"))
     return scored.select(key, *(F.col("_p")[i].alias(f"pc{i + 1}") for i in range(k)))
 
 
 def kmeans(df: DataFrame, key: str, columns: list[str], k: int = 3, seed: int = 42, starts: int = 10) -> DataFrame:
     """key, cluster: the best of several starts by the within-cluster sum of squares."""
-    x = _vectors(df, columns).select(key, "_f").cache()
+    x = written(_vectors(df, key, columns), "kmeans-vectors")
     models = [KMeans(k=k, seed=seed + s, featuresCol="_f", predictionCol="cluster").fit(x) for s in range(starts)]
     best = min(models, key=lambda m: m.summary.trainingCost)
     return best.transform(x).select(key, "cluster")
@@ -65,7 +72,7 @@ def leaves(merges: list[tuple[int, int, float, int]], n: int) -> list[int]:
     return walk(n + len(merges) - 1) if merges else list(range(n))
 
 
-def feature_tree(correlations: DataFrame, how: str = "complete", most: int = 20) -> DataFrame:
+def feature_tree(correlations: DataFrame, how: str = "complete", most: int = 200) -> DataFrame:
     """step, left_node, right_node, distance, size of a correlation matrix's rows (for ward, of 1 - r).
 
     The matrix is the one thing collected: at most `most` features, or it is an error."""
@@ -81,6 +88,15 @@ def feature_tree(correlations: DataFrame, how: str = "complete", most: int = 20)
     return _frame(correlations.sparkSession, rows, "step int, left_node int, right_node int, distance double, size int")
 
 
+def in_leaf_order(correlations: DataFrame, how: str = "complete", most: int = 200) -> DataFrame:
+    """The cells of a correlation matrix with the places of their row and column in the tree's order: row_place, col_place."""
+    names = sorted(r.a for r in correlations.select("a").distinct().limit(most + 1).collect())
+    merges = [(r.left_node, r.right_node, r.distance, r.size) for r in feature_tree(correlations, how, most).orderBy("step").collect()]
+    order = _frame(correlations.sparkSession, [(names[leaf], place) for place, leaf in enumerate(leaves(merges, len(names)))], "name string, place int")
+    side = lambda c: order.select(F.col("name").alias(c), F.col("place").alias({"a": "row_place", "b": "col_place"}[c]))
+    return correlations.join(side("a"), "a").join(side("b"), "b")
+
+
 def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 

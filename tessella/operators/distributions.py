@@ -3,11 +3,16 @@ spans the whole table."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessella.functions.special import normal_quantile
+from tessella.sources.scratch import written
 
+from .blocks import meet
 from .quantiles import quantiles
+from .ranks import numbered
 
 
 def with_stats(df: DataFrame, *stats: Column) -> DataFrame:
@@ -97,8 +102,9 @@ def boxes(df: DataFrame, by: list[str], column: str) -> DataFrame:
 
 
 def density_1d(df: DataFrame, group: str, column: str, low: float, high: float, points: int, factor: float | None = None, least: int = 3) -> DataFrame:
-    """group, g, x, density: Gaussian kernel estimate on a grid; the width is factor (Scott's rule if none) times the
-    sample deviation. Groups of fewer rows, or without spread, are left out. Equal values are summed before the grid."""
+    """group, g, x, density, scaled (to the group's peak): Gaussian kernel estimate on a grid; the width is factor (Scott's
+    rule if none) times the sample deviation. Groups of fewer rows, or without spread, are left out. Equal values are
+    summed before the grid."""
     stats = df.groupBy(group).agg(F.count(column).alias("n"), F.stddev_samp(column).alias("s")).filter((F.col("n") >= least) & (F.col("s") > 0))
     width = F.col("s") * (F.lit(factor) if factor else F.pow(F.col("n").cast("double"), F.lit(-0.2)))
     weights = df.filter(F.col(column).isNotNull()).groupBy(group, F.col(column).alias("v")).agg(F.count("*").alias("c"))
@@ -107,36 +113,48 @@ def density_1d(df: DataFrame, group: str, column: str, low: float, high: float,
     x = F.lit(low) + F.col("g") * F.lit((high - low) / (points - 1))
     kernel = F.exp(-0.5 * F.pow((x - F.col("v")) / F.col("h"), F.lit(2)))
     mass = placed.groupBy(group, "g").agg(F.sum(F.col("c") * kernel).alias("k"), F.first("n").alias("n"), F.first("h").alias("h"))
-    return mass.select(group, "g", x.alias("x"), (F.col("k") / (F.col("n") * F.col("h") * F.sqrt(F.lit(2 * 3.141592653589793)))).alias("density"))
-
-
-def density_3d(df: DataFrame, key: str, columns: list[str], factor: float = 0.15, first: int = 300) -> DataFrame:
-    """key, density at the first points by key: Gaussian kernel with the points' covariance times factor squared.
-
-    The number of points is the operator's own limit: each meets each. Without a full covariance, density is 1."""
-    a, b, c = columns
-    points = df.select(F.col(key).alias("k"), *(F.col(x).cast("double").alias(n) for x, n in zip(columns, "abc", strict=True))).na.drop().orderBy("k").limit(first)
-    cov = points.agg(*(F.covar_samp(x, y).alias(x + y) for x, y in ("aa", "bb", "cc", "ab", "ac", "bc")), F.count("*").alias("n"))
-    aa, bb, cc, ab, ac, bc = (F.col(x) * factor**2 for x in ("aa", "bb", "cc", "ab", "ac", "bc"))
-    det = aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac)
-    minors = {"iaa": bb * cc - bc * bc, "ibb": aa * cc - ac * ac, "icc": aa * bb - ab * ab, "iab": ac * bc - ab * cc, "iac": ab * bc - ac * bb, "ibc": ab * ac - aa * bc}
-    inverse = cov.select("n", det.alias("det"), *(F.try_divide(m, det).alias(n) for n, m in minors.items()))
-    other = points.select(*(F.col(x).alias(f"o{x}") for x in "abc"))
-    met = points.join(F.broadcast(other)).join(F.broadcast(inverse))
-    da, db, dc = (F.col(x) - F.col(f"o{x}") for x in "abc")
-    form = F.col("iaa") * da * da + F.col("ibb") * db * db + F.col("icc") * dc * dc + 2 * (F.col("iab") * da * db + F.col("iac") * da * dc + F.col("ibc") * db * dc)
-    out = met.groupBy("k").agg(F.sum(F.exp(-0.5 * form)).alias("s"), F.first("n").alias("n"), F.first("det").alias("det"))
-    scale = F.col("n") * F.sqrt(F.lit((2 * 3.141592653589793) ** 3) * F.col("det"))
-    return out.select(F.col("k").alias(key), F.when(F.col("det") > 0, F.col("s") / scale).otherwise(F.lit(1.0)).alias("density"))
+    made = mass.select(group, "g", x.alias("x"), (F.col("k") / (F.col("n") * F.col("h") * F.sqrt(F.lit(2 * 3.141592653589793)))).alias("density"))
+    return made.withColumn("scaled", F.col("density") / F.max("density").over(Window.partitionBy(group)))
+
+
+def density_3d(df: DataFrame, key: str, columns: list[str], factor: float = 0.15) -> DataFrame:
+    """key, density at every row: Gaussian kernel over all rows, with their covariance times factor squared.
+
+    Equal points are one, with their number as weight; points meet in blocks and only sums leave a block. Without a full
+    covariance, density is 1."""
+    given = df.select(F.col(key).alias("k"), *(F.col(x).cast("double").alias(n) for x, n in zip(columns, "abc", strict=True))).na.drop()
+    cov = given.agg(*(F.covar_samp(x, y).alias(x + y) for x, y in ("aa", "bb", "cc", "ab", "ac", "bc")), F.count("*").alias("n")).first()
+    if cov.n < 2:
+        return given.select(F.col("k").alias(key), F.lit(1.0).alias("density"))
+    m = factor**2 * np.array([[cov.aa, cov.ab, cov.ac], [cov.ab, cov.bb, cov.bc], [cov.ac, cov.bc, cov.cc]])
+    det = float(np.linalg.det(m))
+    if not det > 0:
+        return given.select(F.col("k").alias(key), F.lit(1.0).alias("density"))
+    inverse, scale = np.linalg.inv(m), cov.n * float(np.sqrt((2 * np.pi) ** 3 * det))
+
+    def sums(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        at, of, weight = x[["a", "b", "c"]].to_numpy(), y[["a", "b", "c"]].to_numpy(), y["w"].to_numpy()
+        out = []
+        for i in range(0, len(at), 256):
+            d = at[i : i + 256, None, :] - of[None, :, :]
+            out.append(np.exp(-0.5 * np.einsum("ijk,kl,ijl->ij", d, inverse, d)) @ weight)
+        return x[["a", "b", "c"]].assign(s=np.concatenate(out))
+
+    points = written(given.groupBy("a", "b", "c").agg(F.count("*").cast("double").alias("w")), "density-points")
+    parts = meet(points.drop("w"), points, sums, "a double, b double, c double, s double")
+    made = parts.groupBy("a", "b", "c").agg((F.sum("s") / scale).alias("density"))
+    return given.join(made, ["a", "b", "c"]).select(F.col("k").alias(key), "density")
 
 
 def normal_plot(df: DataFrame, group: str, value: str, key: str) -> DataFrame:
-    """group, i, p, sample, theoretical: ordered values against normal quantiles at Filliben's medians of ranks."""
-    ranked = df.filter(F.col(value).isNotNull()).withColumn("i", F.row_number().over(Window.partitionBy(group).orderBy(value, key)))
-    ranked = ranked.join(df.groupBy(group).agg(F.count(value).alias("n")), group)
-    end = F.pow(F.lit(0.5), 1 / F.col("n"))
-    p = F.when(F.col("i") == F.col("n"), end).when(F.col("i") == 1, 1 - end).otherwise((F.col("i") - 0.3175) / (F.col("n") + 0.365))
-    return ranked.select(group, F.col("i").cast("long").alias("i"), p.alias("p"), F.col(value).alias("sample")).withColumn("theoretical", normal_quantile(F.col("p")))
+    """group, i, p, sample, theoretical: ordered values against normal quantiles at Filliben's medians of ranks. The order
+    is a range sort, so a group is spread over as many tasks as it fills."""
+    given = df.filter(F.col(value).isNotNull()).select(group, F.col(value).alias("_v"), F.col(key).alias("_key"))
+    ranked = numbered(given, ["_v", "_key"], [group])
+    n, i = F.col("_n"), F.col("i")
+    end = F.pow(F.lit(0.5), 1 / n)
+    p = F.when(i == n, end).when(i == 1, 1 - end).otherwise((i - 0.3175) / (n + 0.365))
+    return ranked.select(group, "i", p.alias("p"), F.col("_v").alias("sample")).withColumn("theoretical", normal_quantile(F.col("p")))
 
 
 def normal_fit(plot: DataFrame, group: str) -> DataFrame:
@@ -151,8 +169,9 @@ DRAW_A, DRAW_B, DRAW_C, DRAW_D, DRAW_M = 48271, 16807, 11, 69621, 2147483647
 def bootstrap(df: DataFrame, group: str, value: str, key: str, draws: int, least: int = 6) -> DataFrame:
     """Percentile interval of the mean from `draws` resamples of each group, whose indices come from fixed arithmetic.
 
-    Groups below `least` rows get nulls. The work is draws times the rows, so it's for groups of a bounded size."""
-    ranked = df.filter(F.col(value).isNotNull()).select(group, F.col(value).alias("v"), (F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1).cast("long").alias("r"))
+    Groups below `least` rows get nulls. The work is draws times the rows; a group is spread over tasks by draw and index."""
+    given = df.filter(F.col(value).isNotNull()).select(group, F.col(value).alias("v"), F.col(key).alias("_key"))
+    ranked = written(numbered(given, ["_key"], [group]).select(group, "v", (F.col("i") - 1).alias("r")), "bootstrap-ranks")
     sizes = df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
     asked = ranked.select(group, "r").join(sizes.filter(F.col("n") >= least), group).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
     index = ((F.col("b") * DRAW_A + F.col("r") * DRAW_B + DRAW_C) * DRAW_D) % DRAW_M % F.col("n")

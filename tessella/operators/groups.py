@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tessella.functions.safe import cv_pop, cv_samp
 
 from .quantiles import by_sorting, few_values
+from .ranks import numbered
 
 
 def describe(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
@@ -96,10 +97,27 @@ def mean_over_most(df: DataFrame, by: list[str], columns: list[str]) -> DataFram
 
 def factorial_design(*factors: DataFrame) -> DataFrame:
     """Every combination of the factors' levels; meant for dimension tables of a few rows."""
-    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), factors)
+    return reduce(lambda a, b: a.crossJoin(b), factors)
 
 
 def most_variable(df: DataFrame, columns: list[str], k: int = 10) -> DataFrame:
     """The k columns of the largest absolute coefficient of variation."""
     wide = df.agg(*(F.abs(cv_samp(c)).alias(c) for c in columns)).withColumn("_", F.lit(0))
     return wide.unpivot(["_"], columns, "feature", "cv_pct").select("feature", "cv_pct").orderBy(F.desc_nulls_last("cv_pct"), "feature").limit(k)
+
+
+def by_mean(means: DataFrame, mean: str, key: str) -> DataFrame:
+    """Group means with their place from 1 in the order of the means, largest first; ties by key, null means last."""
+    order = means.withColumn("_last", F.col(mean).isNull()).withColumn("_less", -F.col(mean))
+    return numbered(order, ["_last", "_less", key], name="place").select(*means.columns, "place")
+
+
+def profile(df: DataFrame, by: list[str], scores: dict[str, str]) -> DataFrame:
+    """by..., metric, score: a radar vector of scores of different kinds, by column: "max", the mean over the largest
+    value; "spread", 1 less the coefficient of variation; "rate", the share of rows above 0. Null where undefined."""
+    kinds = {
+        "max": lambda c: F.try_divide(F.avg(c), F.max(c)),
+        "spread": lambda c: 1 - F.try_divide(F.stddev_samp(c), F.avg(c)),
+        "rate": lambda c: F.avg((F.col(c) > 0).cast("double")),
+    }
+    return df.groupBy(*by).agg(*(kinds[k](c).alias(c) for c, k in scores.items())).unpivot(by, list(scores), "metric", "score")

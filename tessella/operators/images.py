@@ -49,10 +49,24 @@ def basic_stats(images: DataFrame) -> DataFrame:
     """Mean, population deviation, and entropy (nats) of the 256-bin histogram."""
     px = _spread(images).select("image_id", "lo", "hi", F.explode("v").alias("v"))
     px = px.withColumn("b", F.coalesce(F.least(F.floor(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")) * 256), F.lit(255)), F.lit(0)))
-    bins = px.groupBy("image_id", "b").agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("ss"))
-    total = bins.groupBy("image_id").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum(F.col("n") * F.ln("n")).alias("nln"))
-    mean = F.col("s") / F.col("n")
-    return total.select("image_id", mean.alias("brightness"), F.sqrt(F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(0.0))).alias("contrast"), (F.ln("n") - F.col("nln") / F.col("n")).alias("entropy"))
+    bins = px.groupBy("image_id", "b").agg(F.count("*").alias("n"))
+    logs = bins.groupBy("image_id").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.ln("n")).alias("nln"))
+    return _moments(images, "v", "brightness", "contrast").join(logs, "image_id").select("image_id", "brightness", "contrast", (F.ln("n") - F.col("nln") / F.col("n")).alias("entropy"))
+
+
+def _moments(images: DataFrame, v: str, mean: str, deviation: str) -> DataFrame:
+    """Mean and population deviation of an array, in the row: deviations are summed, not squares."""
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(v)
+    met = images.select("image_id", v).withColumn(mean, total(F.col(v)))
+    return met.select("image_id", mean, F.sqrt(total(F.transform(v, lambda x: (x - F.col(mean)) * (x - F.col(mean))))).alias(deviation))
+
+
+def channel_stats(channels: DataFrame) -> DataFrame:
+    """Mean and population deviation of the three channels of each image, and of their mean: red_mean, red_std, ..."""
+    out = _moments(grey(channels, channel_mean), "v", "grey_mean", "grey_std")
+    for c, name in zip("rgb", ("red", "green", "blue"), strict=True):
+        out = out.join(_moments(channels, c, f"{name}_mean", f"{name}_std"), "image_id")
+    return out
 
 
 def modality_ratios(stats_a: DataFrame, stats_b: DataFrame) -> DataFrame:

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, functions as F
 
 from tessella.functions.safe import safe_corr, within_levels
 from tessella.functions.special import f_p_value, r_p_value
+from tessella.sources.scratch import written
+
+from .quantiles import quantiles
 
 
 def correlation(df: DataFrame, x: str, y: str, by: list[str] | None = None, p_value: bool = False) -> DataFrame:
@@ -27,6 +33,15 @@ def matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     return wide.select(F.inline(F.array(*cells)))
 
 
+def wide_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
+    """matrix() of many columns, from one pass that sums their products; rows with a missing value are left out."""
+    values = F.array(*(F.col(c).cast("double") for c in columns))
+    x = df.select(values.alias("_a")).filter(F.forall("_a", lambda v: v.isNotNull() & ~F.isnan(v))).select(array_to_vector("_a").alias("_f"))
+    r = Correlation.corr(x, "_f").first()[0].toArray()
+    cells = [(a, b, None if np.isnan(r[i, j]) else float(r[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns)]
+    return df.sparkSession.createDataFrame(cells, "a string, b string, r double")
+
+
 def network(correlations: DataFrame, threshold: float) -> DataFrame:
     """Undirected edges a < b whose |r| is above the threshold."""
     return correlations.filter((F.col("a") < F.col("b")) & (F.abs("r") > threshold)).select("a", "b", F.col("r").alias("correlation"), F.abs("r").alias("weight"))
@@ -46,11 +61,11 @@ def paired(df: DataFrame, pairs: list[tuple[str, str]], by: list[str] | None = N
 def anova(df: DataFrame, group: str, value: str, p_value: bool = False) -> DataFrame:
     """One-way: k, n, F, eta_squared, and with p_value the upper tail. Null where there's nothing to compare."""
     per = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.coalesce(F.var_pop(value), F.lit(0.0)).alias("v"))
-    total = per.agg(
-        F.count("*").alias("k"),
-        F.sum("n").alias("n"),
-        (F.sum(F.col("n") * F.col("m") * F.col("m")) - F.try_divide(F.pow(F.sum(F.col("n") * F.col("m")), F.lit(2)), F.sum("n"))).alias("ssb"),
-        F.sum(F.col("n") * F.col("v")).alias("ssw"),
+    # deviations from the grand mean, not a difference of large squares
+    grand = per.agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand"))
+    apart = F.col("m") - F.col("grand")
+    total = per.join(F.broadcast(grand)).agg(
+        F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * apart * apart).alias("ssb"), F.sum(F.col("n") * F.col("v")).alias("ssw")
     )
     between, within = F.col("k") - 1, F.col("n") - F.col("k")
     out = total.select(
@@ -70,16 +85,23 @@ def adjacent(levels: DataFrame, key: str, first: str, second: str) -> DataFrame:
 
 
 def distances(df: DataFrame, key: str, vector: str, first: int = 50) -> DataFrame:
-    """i, j, distance, similarity 1 / (1 + d) of every ordered pair of the first rows by key, itself included.
+    """i, j, distance, similarity 1 / (1 + d) of the first rows by key with every row, itself included.
 
-    The number of rows is the operator's own limit: the result has first * first rows."""
-    some = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).orderBy("k").limit(first)
-    a, b = some.select(F.col("k").alias("i"), F.col("v").alias("vi")), some.select(F.col("k").alias("j"), F.col("v").alias("vj"))
-    squares = F.aggregate(F.zip_with("vi", "vj", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    return a.join(F.broadcast(b)).select("i", "j", F.sqrt(squares).alias("distance")).withColumn("similarity", 1 / (1 + F.col("distance")))
+    Components are standardised over all rows first, missing ones count as their mean; constant ones are 0. How many rows
+    are asked for is the operator's own parameter, so the work and the result grow with the rows alone."""
+    given = written(df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).filter("k IS NOT NULL AND v IS NOT NULL"), "distance-vectors")
+    stats = given.select(F.posexplode("v").alias("at", "x")).groupBy("at").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+    stats = F.broadcast(stats.agg(F.sort_array(F.collect_list(F.struct("at", "m", "s"))).alias("stats")))  # one row of the vectors' length
+    z = F.transform("v", lambda x, i: F.coalesce(F.try_divide(x - F.col("stats")[i]["m"], F.col("stats")[i]["s"]), F.lit(0.0)))
+    scaled = given.join(stats).select("k", z.alias("v"))
+    asked = scaled.orderBy("k").limit(first).select(F.col("k").alias("i"), F.col("v").alias("vi"))
+    squares = F.aggregate(F.zip_with("vi", "v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    met = scaled.withColumnRenamed("k", "j").join(F.broadcast(asked))
+    return met.select("i", "j", F.sqrt(squares).alias("distance")).withColumn("similarity", 1 / (1 + F.col("distance")))
 
 
 def similarity_edges(pairs: DataFrame, quantile: float = 0.8) -> DataFrame:
-    """Edges i < j whose similarity is above a quantile of the whole matrix, its diagonal included."""
-    edge = pairs.agg(F.percentile("similarity", F.lit(quantile)).alias("threshold"))
+    """Edges i < j whose similarity is above an exact quantile of all pairs, those of a row with itself included."""
+    pairs = written(pairs, "similarity-pairs")
+    edge = quantiles(pairs, "similarity", [quantile]).select(F.col("quantiles")[0].alias("threshold"))
     return pairs.join(F.broadcast(edge)).filter("i < j AND similarity > threshold").select("i", "j", F.col("similarity").alias("weight"))

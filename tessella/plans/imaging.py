@@ -22,9 +22,10 @@ def _tiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pair(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Tiles below 250 beside the tiles 250 further on, as two modalities of one image."""
+    """Every even tile beside the next, odd one, as two modalities of one image."""
     every = _tiles(spark, d)
-    return every.filter("image_id < 250"), every.filter("image_id BETWEEN 250 AND 499").withColumn("image_id", F.col("image_id") - 250)
+    of = lambda odd: every.filter(F.col("image_id") % 2 == odd).withColumn("image_id", F.floor(F.col("image_id") / 2))
+    return of(0), of(1)
 
 
 @query(f"SELECT image_id, y, x, round(v, 6) AS v FROM ({_PX})")
@@ -43,8 +44,8 @@ def tile_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 WITH p AS ({_PX}), s AS (SELECT image_id, avg(v) AS m, stddev_pop(v) AS s FROM p GROUP BY 1)
-SELECT a.image_id, round(CASE WHEN b.m > 0 THEN a.m / b.m ELSE 0 END, 4) AS brightness_ratio, round(CASE WHEN b.s > 0 THEN a.s / b.s ELSE 0 END, 4) AS contrast_ratio
-FROM s a JOIN s b ON a.image_id < 250 AND b.image_id = a.image_id + 250
+SELECT a.image_id // 2 AS image_id, round(CASE WHEN b.m > 0 THEN a.m / b.m ELSE 0 END, 4) AS brightness_ratio, round(CASE WHEN b.s > 0 THEN a.s / b.s ELSE 0 END, 4) AS contrast_ratio
+FROM s a JOIN s b ON a.image_id % 2 = 0 AND b.image_id = a.image_id + 1
 """)
 def modality_ratios(spark: SparkSession, d: str) -> DataFrame:
     a, b = _pair(spark, d)
@@ -66,6 +67,24 @@ def grey_conversions(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out)
 
 
+def _channel(n: int) -> str:
+    return f"embedding[{16 * n + 1}:{16 * n + 16}]::DOUBLE[]"
+
+
+_CHANNELS = {"red": _channel(0), "green": _channel(1), "blue": _channel(2)}
+_CHANNEL_SQL = ", ".join(f"round(list_avg({v}), 6) AS {c}_mean, round(list_stddev_pop({v}), 6) AS {c}_std" for c, v in _CHANNELS.items())
+
+
+@query(f"""
+SELECT image_id, grey_mean, grey_std, {", ".join(f"{c}_{m}" for c in _CHANNELS for m in ("mean", "std"))} FROM (SELECT vec_id AS image_id, {_CHANNEL_SQL},
+  round(list_avg(list_transform(range(1, 17), lambda i: (embedding[i]::DOUBLE + embedding[i + 16] + embedding[i + 32]) / 3)), 6) AS grey_mean,
+  round(list_stddev_pop(list_transform(range(1, 17), lambda i: (embedding[i]::DOUBLE + embedding[i + 16] + embedding[i + 32]) / 3)), 6) AS grey_std FROM embeddings)
+""")
+def channel_stats(spark: SparkSession, d: str) -> DataFrame:
+    v = _tiles(spark, d).select("image_id", F.lit(4).alias("h"), F.lit(4).alias("w"), *(F.slice("v", 16 * i + 1, 16).alias(c) for i, c in enumerate("rgb")))
+    return rounded(images.channel_stats(v))
+
+
 @query(f"SELECT image_id, (8 * y + x)::BIGINT AS i, floor((v - lo) * 255 / (hi - lo))::BIGINT AS q FROM ({_PX}) p JOIN ({_BOX}) b USING (image_id)")
 def tile_quantise(spark: SparkSession, d: str) -> DataFrame:
     return rounded(images.quantised(_tiles(spark, d)).select("image_id", F.posexplode("q").alias("i", "q")))
@@ -145,7 +164,7 @@ def components(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 WITH p AS (SELECT image_id, y, x, (v - lo) / (hi - lo + 1e-8) AS v FROM ({_PX}) JOIN ({_BOX}) USING (image_id)),
-m AS (SELECT a.image_id, a.y, a.x, a.v AS s, b.v AS t FROM p a JOIN p b ON b.image_id = a.image_id + 250 AND a.y = b.y AND a.x = b.x AND a.image_id < 250),
+m AS (SELECT a.image_id // 2 AS image_id, a.y, a.x, a.v AS s, b.v AS t FROM p a JOIN p b ON b.image_id = a.image_id + 1 AND a.y = b.y AND a.x = b.x AND a.image_id % 2 = 0),
 g AS (SELECT unnest(range(3, 5)) AS gy), w AS (SELECT image_id, gy, gx, avg(s) AS ms, avg(t) AS mt, var_samp(s) AS vs, var_samp(t) AS vt, covar_samp(s, t) AS c
   FROM m JOIN g ON abs(y - gy) <= 3 JOIN (SELECT unnest(range(3, 5)) AS gx) ON abs(x - gx) <= 3 GROUP BY ALL)
 SELECT image_id, round(avg((2 * ms * mt + 0.0001) * (2 * c + 0.0009) / ((ms * ms + mt * mt + 0.0001) * (vs + vt + 0.0009))), 6) AS ssim FROM w GROUP BY image_id

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.functions import safe
+from tessella.functions import names, safe
 from tessella.operators import clusters, distributions as dist, groups, relations
+from tessella.operators.ranks import numbered
 from tessella.sources.tables import table
 
 from .registry import Registry
@@ -44,8 +45,7 @@ def weighted_composition(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events")
     long = events.groupBy(safe.sample_block("user_id").alias("sample_id"), "event_type").agg(F.sum("value").alias("amount"))
     kinds = events.select("event_type").distinct()
-    before = kinds.select(F.col("event_type").alias("other"))
-    factors = kinds.join(F.broadcast(before), F.col("other") <= F.col("event_type")).groupBy("event_type").agg(F.count("*").alias("factor"))
+    factors = numbered(kinds, ["event_type"], name="factor").select("event_type", "factor")
     return rounded(groups.weighted_sum(long, factors, "sample_id", "event_type", "amount", "factor"), 4)
 
 
@@ -142,28 +142,25 @@ def distinct_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT (floor((user_id - 1) / 5.0) + 1)::BIGINT AS sample_id, count(*) AS n, round(avg(value), 6) AS value_mean, round(stddev_samp(value), 6) AS value_std, round(min(value), 6) AS value_min, round(max(value), 6) AS value_max
-FROM events WHERE user_id BETWEEN 1 AND 500 GROUP BY 1
+FROM events GROUP BY 1
 """)
 def block_summary(spark: SparkSession, d: str) -> DataFrame:
-    some = table(spark, d, "events").filter(F.col("user_id").between(1, 500)).withColumn("sample_id", safe.sample_block("user_id"))
-    return rounded(groups.summary(some, ["sample_id"], ["value"]))
+    return rounded(groups.summary(table(spark, d, "events").withColumn("sample_id", safe.sample_block("user_id")), ["sample_id"], ["value"]))
 
 
-@query("""
-SELECT user_id % 9 AS condition, round(avg(value) FILTER (event_type = 'click'), 6) AS click, round(avg(value) FILTER (event_type = 'purchase'), 6) AS purchase, round(avg(value) FILTER (event_type = 'view'), 6) AS "view"
-FROM events GROUP BY 1
-""")
+EVENT_TYPES = ["click", "purchase", "scroll", "search", "view"]
+PRIORITIES = ["p1", "p2", "p3", "p4", "p5"]
+
+
+@query("SELECT user_id % 9 AS condition, " + ", ".join(f"round(avg(value) FILTER (event_type = '{t}'), 6) AS \"{t}\"" for t in EVENT_TYPES) + " FROM events GROUP BY 1")
 def pivot_mean(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(groups.pivot_mean(table(spark, d, "events").withColumn("condition", F.col("user_id") % 9), "condition", "event_type", ["click", "purchase", "view"], "value"))
+    return rounded(groups.pivot_mean(table(spark, d, "events").withColumn("condition", F.col("user_id") % 9), "condition", "event_type", EVENT_TYPES, "value"))
 
 
-@query("""
-SELECT o_orderstatus, round(avg(o_totalprice) FILTER (p = 1), 4) AS p1, round(avg(o_totalprice) FILTER (p = 2), 4) AS p2, round(avg(o_totalprice) FILTER (p = 3), 4) AS p3
-FROM (SELECT *, left(o_orderpriority, 1)::INT AS p FROM orders) GROUP BY o_orderstatus
-""")
+@query("SELECT o_orderstatus, " + ", ".join(f"round(avg(o_totalprice) FILTER (p = '{p}'), 4) AS {p}" for p in PRIORITIES) + " FROM (SELECT *, 'p' || left(o_orderpriority, 1) AS p FROM orders) GROUP BY o_orderstatus")
 def pivot_3x3(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").withColumn("p", F.concat(F.lit("p"), F.substring("o_orderpriority", 1, 1)))
-    return rounded(groups.pivot_mean(orders, "o_orderstatus", "p", ["p1", "p2", "p3"], "o_totalprice"), 4)
+    return rounded(groups.pivot_mean(orders, "o_orderstatus", "p", PRIORITIES, "o_totalprice"), 4)
 
 
 _MEANS = ", ".join(f"avg({c}) AS {c}" for c in NUMBERS)
@@ -217,7 +214,7 @@ def corr_matrix_long(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_matrix(spark, d))
 
 
-_EMB_PAIRS = [(i, i + 32) for i in range(8)]
+_EMB_PAIRS = [(i, i + 32) for i in range(32)]
 _EMB_R = ", ".join(_R.format(f"embedding[{a + 1}]::DOUBLE", f"embedding[{b + 1}]::DOUBLE") for a, b in _EMB_PAIRS)
 
 
@@ -245,7 +242,7 @@ def graph_density(spark: SparkSession, d: str) -> DataFrame:
 
 _ANOVA = """
 WITH g AS (SELECT {g} AS g, count(*) AS n, avg({v}) AS m, coalesce(var_pop({v}), 0) AS v FROM {t} WHERE {v} IS NOT NULL GROUP BY 1),
-s AS (SELECT count(*) AS k, sum(n)::BIGINT AS n, sum(n * m * m) - power(sum(n * m), 2) / sum(n) AS ssb, sum(n * v) AS ssw FROM g)
+s AS (SELECT count(*) AS k, sum(n)::BIGINT AS n, sum(n * power(m - (SELECT sum(n * m) / sum(n) FROM g), 2)) AS ssb, sum(n * v) AS ssw FROM g)
 SELECT k, n, round((ssb / (k - 1)) / (ssw / (n - k)), 4) AS f, round(ssb / (ssb + ssw), 6) AS eta_squared FROM s
 """
 
@@ -386,25 +383,27 @@ def topk_cv_features(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH s AS (SELECT event_type, count(value) AS n, stddev_samp(value) * power(count(value), -0.2) AS h FROM events GROUP BY 1 HAVING count(value) >= 3),
-v AS (SELECT event_type, value AS v, count(*) AS c FROM events GROUP BY ALL), g AS (SELECT unnest(range(0, 50)) AS g)
-SELECT event_type, g, round(g * (100.0 / 49), 6) AS x, round(sum(c * exp(-0.5 * power((g * (100.0 / 49) - v) / h, 2))) / (min(n) * min(h) * sqrt(2 * 3.141592653589793)), 6) AS density
-FROM v JOIN s USING (event_type) CROSS JOIN g GROUP BY event_type, g
+v AS (SELECT event_type, value AS v, count(*) AS c FROM events GROUP BY ALL), g AS (SELECT unnest(range(0, 300)) AS g),
+k AS (SELECT event_type, g, g * (100.0 / 299) AS x, sum(c * exp(-0.5 * power((g * (100.0 / 299) - v) / h, 2))) / (min(n) * min(h) * sqrt(2 * 3.141592653589793)) AS density
+  FROM v JOIN s USING (event_type) CROSS JOIN g GROUP BY event_type, g)
+SELECT event_type, g, round(x, 6) AS x, round(density, 6) AS density, round(density / max(density) OVER (PARTITION BY event_type), 6) AS scaled FROM k
 """)
 def kde_1d_ridge(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(dist.density_1d(table(spark, d, "events"), "event_type", "value", 0.0, 100.0, 50))
+    return rounded(dist.density_1d(table(spark, d, "events"), "event_type", "value", 0.0, 100.0, 300))
 
 
 @query("""
-WITH p AS (SELECT l_orderkey * 10 + l_linenumber AS k, l_quantity AS a, l_discount AS b, l_tax AS c FROM lineitem ORDER BY 1 LIMIT 100),
+WITH p AS (SELECT l_orderkey * 10 + l_linenumber AS k, l_quantity AS a, l_discount AS b, l_tax AS c FROM lineitem), w AS (SELECT a, b, c, count(*) AS w FROM p GROUP BY ALL),
 m AS (SELECT count(*) AS n, 0.0225 * covar_samp(a, a) AS aa, 0.0225 * covar_samp(b, b) AS bb, 0.0225 * covar_samp(c, c) AS cc, 0.0225 * covar_samp(a, b) AS ab, 0.0225 * covar_samp(a, c) AS ac, 0.0225 * covar_samp(b, c) AS bc FROM p),
 i AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM m),
-f AS (SELECT x.k, n, det, ((bb * cc - bc * bc) * power(x.a - y.a, 2) + (aa * cc - ac * ac) * power(x.b - y.b, 2) + (aa * bb - ab * ab) * power(x.c - y.c, 2)
-  + 2 * ((ac * bc - ab * cc) * (x.a - y.a) * (x.b - y.b) + (ab * bc - ac * bb) * (x.a - y.a) * (x.c - y.c) + (ab * ac - aa * bc) * (x.b - y.b) * (x.c - y.c))) / det AS q FROM p x CROSS JOIN p y CROSS JOIN i)
-SELECT k, round(sum(exp(-0.5 * q)) / (min(n) * sqrt(power(2 * 3.141592653589793, 3) * min(det))), 4) AS density FROM f GROUP BY k
+f AS (SELECT x.a, x.b, x.c, y.w, n, det, ((bb * cc - bc * bc) * power(x.a - y.a, 2) + (aa * cc - ac * ac) * power(x.b - y.b, 2) + (aa * bb - ab * ab) * power(x.c - y.c, 2)
+  + 2 * ((ac * bc - ab * cc) * (x.a - y.a) * (x.b - y.b) + (ab * bc - ac * bb) * (x.a - y.a) * (x.c - y.c) + (ab * ac - aa * bc) * (x.b - y.b) * (x.c - y.c))) / det AS q FROM w x CROSS JOIN w y CROSS JOIN i),
+s AS (SELECT a, b, c, round(sum(w * exp(-0.5 * q)) / (min(n) * sqrt(power(2 * 3.141592653589793, 3) * min(det))), 4) AS density FROM f GROUP BY ALL)
+SELECT k, density FROM p JOIN s USING (a, b, c)
 """)
 def kde_3d_at_points(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "lineitem").withColumn("k", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    return rounded(dist.density_3d(items, "k", ["l_quantity", "l_discount", "l_tax"], first=100), 4)
+    return rounded(dist.density_3d(items, "k", ["l_quantity", "l_discount", "l_tax"]), 4)
 
 
 @query("""
@@ -422,19 +421,22 @@ def qq_normal_fit(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH r AS (SELECT label, vec_id, embedding[1]::DOUBLE AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
-d AS (SELECT label, b, ((b * 48271 + r * 16807 + 11) * 69621) % 2147483647 % n AS r FROM r CROSS JOIN (SELECT unnest(range(0, 200)) AS b)),
+d AS (SELECT label, b, ((b * 48271 + r * 16807 + 11) * 69621) % 2147483647 % n AS r FROM r CROSS JOIN (SELECT unnest(range(0, 1000)) AS b)),
 m AS (SELECT label, b, avg(v) AS m FROM d JOIN r USING (label, r) GROUP BY ALL)
 SELECT label::BIGINT AS label, (SELECT count(*) FROM embeddings e WHERE e.label = m.label) AS n, round((SELECT avg(embedding[1]::DOUBLE) FROM embeddings e WHERE e.label = m.label), 6) AS mean,
   round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY label
 """)
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     firsts = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("v"))
-    return rounded(dist.bootstrap(firsts, "label", "v", "vec_id", 200))
+    return rounded(dist.bootstrap(firsts, "label", "v", "vec_id", 1000))
 
 
 _DISTANCES = """
-WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings ORDER BY vec_id LIMIT 50)
-SELECT a.vec_id AS i, b.vec_id AS j, list_distance(a.v, b.v) AS distance, 1 / (1 + list_distance(a.v, b.v)) AS similarity FROM p a CROSS JOIN p b
+WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+m AS (SELECT list(m ORDER BY i) AS m, list(s ORDER BY i) AS s FROM (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM x GROUP BY i)),
+z AS (SELECT vec_id, list_transform(range(1, len(embedding) + 1), lambda i: coalesce((embedding[i]::DOUBLE - m[i]) / s[i], 0)) AS v FROM embeddings CROSS JOIN m),
+p AS (SELECT * FROM z ORDER BY vec_id LIMIT 50)
+SELECT a.vec_id AS i, b.vec_id AS j, list_distance(a.v, b.v) AS distance, 1 / (1 + list_distance(a.v, b.v)) AS similarity FROM p a CROSS JOIN z b
 """
 
 
@@ -453,7 +455,7 @@ def similarity_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _wide(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
-    columns = [f"e{i}" for i in range(8)]
+    columns = [f"e{i}" for i in range(64)]
     return table(spark, d, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(columns))), columns
 
 
@@ -474,12 +476,71 @@ def kmeans_three(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def linkage_complete(spark: SparkSession, d: str) -> DataFrame:
-    return clusters.feature_tree(relations.matrix(*_wide(spark, d)), "complete")
+    return clusters.feature_tree(relations.wide_matrix(*_wide(spark, d)), "complete")
 
 
 @query()
 def linkage_ward(spark: SparkSession, d: str) -> DataFrame:
-    return clusters.feature_tree(relations.matrix(*_wide(spark, d)), "ward")
+    return clusters.feature_tree(relations.wide_matrix(*_wide(spark, d)), "ward")
+
+
+@query()
+def matrix_in_leaf_order(spark: SparkSession, d: str) -> DataFrame:
+    """The correlation matrix with its rows and columns placed by the tree."""
+    return clusters.in_leaf_order(relations.wide_matrix(*_wide(spark, d)), "complete")
+
+
+@query("""
+SELECT r_name, n_name, count(*) AS n, round(avg(o_totalprice), 4) AS o_totalprice_mean, round(avg(c_acctbal), 4) AS c_acctbal_mean
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL
+""")
+def means_by_dimension(spark: SparkSession, d: str) -> DataFrame:
+    """Facts looked up in their dimensions: orders by customer, customers by nation, nations by region."""
+    places = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    people = table(spark, d, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+    met = table(spark, d, "orders").join(people, F.col("o_custkey") == F.col("c_custkey"))
+    return rounded(met.groupBy("r_name", "n_name").agg(F.count("*").alias("n"), F.avg("o_totalprice").alias("o_totalprice_mean"), F.avg("c_acctbal").alias("c_acctbal_mean")), 4)
+
+
+@query("""
+SELECT s_nationkey, n, round(mean, 4) AS mean, row_number() OVER (ORDER BY round(mean, 4) DESC, s_nationkey) AS place
+FROM (SELECT s_nationkey, count(*) AS n, avg(l_extendedprice) AS mean FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1)
+""")
+def groups_by_mean(spark: SparkSession, d: str) -> DataFrame:
+    """Groups in the order of their means, largest first."""
+    met = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    means = met.groupBy("s_nationkey").agg(F.count("*").alias("n"), F.round(F.avg("l_extendedprice"), 4).alias("mean"))
+    return groups.by_mean(means, "mean", "s_nationkey").orderBy("place")
+
+
+_RADAR = [("l_quantity", "max"), ("l_extendedprice", "max"), ("l_discount", "spread"), ("l_tax", "spread")]
+
+
+@query(" UNION ALL ".join(
+    f"SELECT l_returnflag, '{c}' AS metric, round({f'avg({c}) / max({c})' if how == 'max' else f'1 - stddev_samp({c}) / avg({c})'}, 6) AS score FROM lineitem GROUP BY 1" for c, how in _RADAR
+))
+def radar_vector(spark: SparkSession, d: str) -> DataFrame:
+    """A profile of several kinds of scores: levels against their largest value, and evenness as 1 - variation."""
+    return rounded(groups.profile(table(spark, d, "lineitem"), ["l_returnflag"], dict(_RADAR)))
+
+
+@query(f"""
+SELECT feature, round(avg(value), 6) AS mean, count(value) AS n FROM (UNPIVOT (SELECT l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem) ON {", ".join(NUMBERS)} INTO NAME feature VALUE value) GROUP BY feature
+""")
+def matching_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Numeric columns picked by their names, as far as they exist, in long form."""
+    items = table(spark, d, "lineitem")
+    picked = names.matching(items, r"^l_(quantity|extendedprice|discount|tax|unknown)$")
+    long = names.existing(items, [*picked, "l_absent"]).unpivot([], picked, "feature", "value")
+    return rounded(long.groupBy("feature").agg(F.avg("value").alias("mean"), F.count("value").alias("n")))
+
+
+@query(f"WITH p AS (SELECT unnest([{_EMB_R}]) AS r FROM embeddings) SELECT round(avg(r), 6) AS r_mean, round(stddev_pop(r), 6) AS r_std, count(r) AS n FROM p")
+def derived_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Columns of two modalities paired by their names."""
+    vectors = table(spark, d, "embeddings")
+    wide = vectors.select(*(F.col("embedding")[i].cast("double").alias(f"{'normal' if i < 32 else 'sem'}_e{i % 32}") for i in range(64)), F.lit(1.0).alias("normal_alone"))
+    return rounded(relations.paired(wide, names.pairs(wide, "normal_", "sem_")))
 
 
 @query("""
@@ -503,9 +564,7 @@ def label_format(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_orderkey, o_orderpriority, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS code FROM orders")
 def category_codes(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
-    kinds = orders.select("o_orderpriority").distinct()
-    smaller = kinds.select(F.col("o_orderpriority").alias("other"))
-    codes = kinds.join(F.broadcast(smaller), F.col("other") < F.col("o_orderpriority"), "left").groupBy("o_orderpriority").agg(F.count("other").alias("code"))
+    codes = numbered(orders.select("o_orderpriority").distinct(), ["o_orderpriority"]).select("o_orderpriority", (F.col("i") - 1).alias("code"))
     return orders.join(codes, "o_orderpriority").select("o_orderkey", "o_orderpriority", "code")
 
 

@@ -40,6 +40,24 @@ def image_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     )
 
 
+def csv_or(spark: SparkSession, path: str, otherwise: str, schema: str) -> DataFrame:
+    """csv() of path, or of the other path if nothing is there."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    return csv(spark, path if there else otherwise, schema)
+
+
+def element_files(spark: SparkSession, path: str, conditions: DataFrame, elements: DataFrame, replicates: int = 5) -> DataFrame:
+    """condition, replicate, element, image: the signal maps <path>/<condition>/<replicate>/<element>.png of the whole
+    design; image is null where a map is missing. conditions, elements: dimension tables of that one column."""
+    read = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", True).option("pathGlobFilter", "*.png").load(path)
+    part = lambda i: F.regexp_extract("image.origin", r"([^/]+)/(\d+)/([^/]+)\.png$", i)
+    maps = read.select(part(1).alias("condition"), part(2).cast("int").alias("replicate"), part(3).alias("element"), "image").filter("condition <> ''")
+    design = conditions.select("condition").withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).crossJoin(elements.select("element"))
+    return design.join(maps, ["condition", "replicate", "element"], "left")
+
+
 def image_pairs(images: DataFrame, first: str, second: str) -> DataFrame:
     """Pairs of both modalities of an image; halves without the other are left out."""
     side = lambda m: images.filter(F.col("modality") == m).select("condition", "image_id", F.col("image").alias(m))
