@@ -11,7 +11,7 @@ from tessella.functions.special import normal_quantile
 from tessella.sources.scratch import written
 
 from .blocks import meet
-from .quantiles import quantiles
+from .quantiles import by_sorting, few_values, quantiles
 from .ranks import numbered
 
 
@@ -45,9 +45,14 @@ def minmax(df: DataFrame, column: str, low: float = 0.0, high: float = 1.0) -> D
 
 def below_quantile(df: DataFrame, columns: list[str], q: float = 0.99) -> DataFrame:
     """The rows strictly below the quantile in every column."""
-    met = df
+    met, few = df, few_values(df, columns)
+    if all(few.values()):
+        met = with_stats(df, *(F.percentile(c, F.lit(q)).alias(f"_q_{c}") for c in columns))
+    else:
+        for c in columns:
+            met = met.join(F.broadcast(by_sorting(df, c, [q], []).select(F.col("quantiles")[0].alias(f"_q_{c}"))))
     for c in columns:
-        met = met.join(F.broadcast(quantiles(df, c, [q]).select(F.col("quantiles")[0].alias(f"_q_{c}")))).filter(F.col(c) < F.col(f"_q_{c}"))
+        met = met.filter(F.col(c) < F.col(f"_q_{c}"))
     return met.select(*df.columns)
 
 

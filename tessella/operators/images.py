@@ -1,13 +1,16 @@
 """Image operators on the relation image_id, h, w, v (row-major doubles): one row per image, no joins between pixels.
 
-A pixel's neighbours are looked up by index in its own image's array, so nothing is shuffled but one partial sum per
-image. Full-size images go through `kernels`, which gives the same numbers.
+A pixel's neighbours are slices of its own image's array, or numpy works on the array inside its task (spectra and
+morphology), so nothing is shuffled but one partial sum per image. `kernels` gives the same numbers as one pass.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessella.functions.safe import safe_ratio
@@ -81,18 +84,15 @@ def quantised(images: DataFrame) -> DataFrame:
     return _spread(images).withColumn("q", level).drop("lo", "hi")
 
 
-def _at(array: str, y: Column, x: Column) -> Column:
-    """The value at y, x; null outside the image."""
-    inside = (y >= 0) & (y < F.col("h")) & (x >= 0) & (x < F.col("w"))
-    return F.when(inside, F.get(F.col(array), (y * F.col("w") + x).cast("int")))
-
-
 def texture(images: DataFrame, offsets: dict[tuple[int, int], tuple[int, int]] | None = None) -> DataFrame:
     """image_id, d, a, contrast, dissimilarity, homogeneity, energy of the symmetric co-occurrences; flat images are left out."""
     shifts = F.array(*(F.struct(F.lit(d).alias("d"), F.lit(a).alias("a"), F.lit(y).alias("dy"), F.lit(x).alias("dx")) for (d, a), (y, x) in (offsets or OFFSETS).items()))
-    q = quantised(images).filter("q IS NOT NULL").select("image_id", "h", "w", "q", F.explode(shifts).alias("o"))
-    px = q.select("image_id", "h", "w", "q", "o.*", F.posexplode("q").alias("p", "i"))
-    pairs = px.withColumn("j", _at("q", F.floor(F.col("p") / F.col("w")) + F.col("dy"), F.col("p") % F.col("w") + F.col("dx"))).filter("j IS NOT NULL")
+    q = quantised(images).filter("q IS NOT NULL").select("image_id", "h", "w", "q", F.explode(shifts).alias("o")).select("image_id", "h", "w", "q", "o.*")
+    # the overlap of the image with itself, shifted: its rows are slices of the array
+    first, rows, width = F.greatest(-F.col("dy"), F.lit(0)), F.col("h") - F.abs("dy"), F.col("w") - F.abs("dx")
+    q = q.filter((rows > 0) & (width > 0)).withColumn("y", F.sequence(first, first + rows - 1))
+    cut = lambda down, right: F.flatten(F.transform("y", lambda y: F.slice("q", (y + down) * F.col("w") + F.greatest(right, F.lit(0)) + 1, width)))
+    pairs = q.select("image_id", "d", "a", F.inline(F.arrays_zip(cut(F.lit(0), -F.col("dx")).alias("i"), cut(F.col("dy"), F.col("dx")).alias("j"))))
     key = ["image_id", "d", "a"]
     counts = pairs.groupBy(*key, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.count("*").alias("c"))
     apart = (F.col("j") - F.col("i")).cast("double")
@@ -107,14 +107,16 @@ def texture(images: DataFrame, offsets: dict[tuple[int, int], tuple[int, int]] |
 
 
 def spectrum(images: DataFrame) -> DataFrame:
-    """image_id, u, k, power: squared magnitudes of the discrete Fourier transform, by its definition; for small tiles."""
-    n = F.array_max(F.array("h", "w"))
-    freq = images.select("image_id", "h", "w", "v", F.explode(F.sequence(F.lit(0), F.col("h") * F.col("w") - 1)).alias("f")).withColumn("n", n)
-    u, k = F.floor(F.col("f") / F.col("w")), F.col("f") % F.col("w")
-    px = freq.select("image_id", "h", "w", u.alias("u"), k.alias("k"), F.posexplode("v").alias("p", "v"))
-    angle = 2 * math.pi * ((F.col("u") * F.floor(F.col("p") / F.col("w"))) / F.col("h") + (F.col("k") * (F.col("p") % F.col("w"))) / F.col("w"))
-    parts = px.groupBy("image_id", "h", "w", "u", "k").agg(F.sum(F.col("v") * F.cos(angle)).alias("re"), F.sum(F.col("v") * F.sin(angle)).alias("im"))
-    return parts.select("image_id", "h", "w", "u", "k", (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("power"))
+    """image_id, h, w, u, k, power: squared magnitudes of the discrete Fourier transform."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i, h, w, v in zip(batch.image_id, batch.h, batch.w, batch.v, strict=True):
+                power = np.abs(np.fft.fft2(np.asarray(v, dtype=float).reshape(h, w))) ** 2
+                u, k = np.divmod(np.arange(h * w), w)
+                yield pd.DataFrame({"image_id": i, "h": h, "w": w, "u": u, "k": k, "power": power.ravel()})
+
+    return images.select("image_id", "h", "w", "v").mapInPandas(run, "image_id long, h int, w int, u int, k int, power double")
 
 
 def bands(power: DataFrame) -> DataFrame:
@@ -151,20 +153,23 @@ def foreground(images: DataFrame) -> DataFrame:
 
 def morphology(bits: DataFrame) -> DataFrame:
     """Shares of foreground, and of its erosion and dilation by a disk of radius 3; pixels outside don't count."""
-    disk = F.array(*(F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in DISK))
-
-    def near(p: Column, pick) -> Column:
-        y, x = F.floor(p / F.col("w")), p % F.col("w")
-        return pick(F.transform(F.col("disk"), lambda o: _at("bits", y + o["y"], x + o["x"])))
-
-    places = F.sequence(F.lit(0), F.size("bits") - 1)
-    share = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size("bits")
-    return bits.withColumn("disk", disk).select(
-        "image_id",
-        share(F.col("bits")).alias("object_area_ratio"),
-        share(F.transform(places, lambda p: near(p, F.array_min))).alias("erosion_area_ratio"),
-        share(F.transform(places, lambda p: near(p, F.array_max))).alias("dilation_area_ratio"),
-    )
+
+    def shares(bits: np.ndarray) -> tuple[float, float, float]:
+        h, w = bits.shape
+        grown, worn = np.zeros_like(bits), np.ones_like(bits)
+        for dy, dx in DISK:
+            to = (slice(max(0, -dy), min(h, h - dy)), slice(max(0, -dx), min(w, w - dx)))
+            of = (slice(max(0, dy), min(h, h + dy)), slice(max(0, dx), min(w, w + dx)))
+            grown[to] |= bits[of]
+            worn[to] &= bits[of]
+        return float(bits.mean()), float(worn.mean()), float(grown.mean())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [shares(np.asarray(b, dtype=bool).reshape(h, w)) for h, w, b in zip(batch.h, batch.w, batch.bits, strict=True)]
+            yield pd.DataFrame(made, columns=["object_area_ratio", "erosion_area_ratio", "dilation_area_ratio"]).assign(image_id=batch.image_id)
+
+    return bits.select("image_id", "h", "w", "bits").mapInPandas(run, "image_id long, object_area_ratio double, erosion_area_ratio double, dilation_area_ratio double")
 
 
 def similarity(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -217,3 +222,23 @@ def features(first: DataFrame, second: DataFrame, names: tuple[str, str] = ("nor
         for df, kind in parts:
             out = out.join(df.select("image_id", *(F.col(c).alias(f"{name}_{kind}{c}") for c in df.columns if c != "image_id")), "image_id", "left")
     return out
+
+
+def white_balanced(channels: DataFrame) -> DataFrame:
+    """image_id, h, w, r, g, b with each channel scaled to the mean of all three (grey world), cut off at 255; a channel
+    without light stays."""
+    mean = lambda c: F.aggregate(F.col(c), F.lit(0.0), lambda s, x: s + x) / F.size(c)
+    met = channels.withColumns({f"_{c}": mean(c) for c in "rgb"})
+    grey_level = (F.col("_r") + F.col("_g") + F.col("_b")) / 3
+
+    def scaled(c: str) -> Column:
+        by = F.when(F.col(f"_{c}") > 0, grey_level / F.col(f"_{c}")).otherwise(1.0)
+        return F.transform(c, lambda x: F.least(x * by, F.lit(255.0)))
+
+    return met.select("image_id", "h", "w", *(scaled(c).alias(c) for c in "rgb"))
+
+
+def gamma_corrected(channels: DataFrame, gamma: float = 1.2) -> DataFrame:
+    """Channels from 0 to 255 raised to 1 / gamma on the scale from 0 to 1."""
+    lift = lambda c: F.transform(c, lambda x: F.pow(F.greatest(x, F.lit(0.0)) / 255, F.lit(1 / gamma)) * 255)
+    return channels.select("image_id", "h", "w", *(lift(c).alias(c) for c in "rgb"))

@@ -85,6 +85,23 @@ def channel_stats(spark: SparkSession, d: str) -> DataFrame:
     return rounded(images.channel_stats(v))
 
 
+def _light(n: int) -> str:
+    return f"list_transform({_channel(n)}, lambda x: least(greatest(x * 40 + 128, 0), 255))"
+
+
+@query(f"""
+WITH c AS (SELECT vec_id AS image_id, {_light(0)} AS r, {_light(1)} AS g, {_light(2)} AS b FROM embeddings),
+m AS (SELECT *, (list_avg(r) + list_avg(g) + list_avg(b)) / 3 AS grey FROM c)
+SELECT image_id, {", ".join(f"round(list_avg(list_transform({c}, lambda x: power(least(x * grey / list_avg({c}), 255) / 255, 1 / 1.2) * 255)), 4) AS {c}" for c in "rgb")} FROM m
+""")
+def preprocessed(spark: SparkSession, d: str) -> DataFrame:
+    """Mean channels after grey-world white balance and gamma."""
+    lit = lambda i: F.transform(F.slice("v", 16 * i + 1, 16), lambda x: F.least(F.greatest(x * 40 + 128, F.lit(0.0)), F.lit(255.0)))
+    v = _tiles(spark, d).select("image_id", F.lit(4).alias("h"), F.lit(4).alias("w"), *(lit(i).alias(c) for i, c in enumerate("rgb")))
+    made = images.gamma_corrected(images.white_balanced(v))
+    return rounded(made.select("image_id", *((F.aggregate(c, F.lit(0.0), lambda s, x: s + x) / F.size(c)).alias(c) for c in "rgb")), 4)
+
+
 @query(f"SELECT image_id, (8 * y + x)::BIGINT AS i, floor((v - lo) * 255 / (hi - lo))::BIGINT AS q FROM ({_PX}) p JOIN ({_BOX}) b USING (image_id)")
 def tile_quantise(spark: SparkSession, d: str) -> DataFrame:
     return rounded(images.quantised(_tiles(spark, d)).select("image_id", F.posexplode("q").alias("i", "q")))

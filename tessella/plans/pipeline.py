@@ -18,9 +18,15 @@ def all_sql() -> dict[str, str]:
 
 
 def run_all(spark: SparkSession, folder: str, names: list[str] | None = None) -> dict[str, DataFrame]:
-    """The named queries' results, or all. What a step lacks is an empty result, not an error."""
-    known = all_queries()
-    return {n: known[n](spark, folder) for n in names or known}
+    """The named queries' results, or all, in the order given. The first that fails ends the run, and the error names it;
+    what a step lacks is an empty result, not an error."""
+    known, results = all_queries(), {}
+    for step, n in enumerate(names or known, 1):
+        try:
+            results[n] = known[n](spark, folder)
+        except Exception as e:
+            raise RuntimeError(f"step {step}, {n}, failed; {len(results)} were done") from e
+    return results
 
 
 def save(results: dict[str, DataFrame], folder: str) -> None:

@@ -9,18 +9,28 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own_folder: list[str] = []
+_own_folder: dict[str, str] = {}
 _kept: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a temporary one only where the setting is missing."""
+    """The folder of spark.checkpoint.dir, which all executors share. Where the setting is missing, a folder inside the
+    warehouse, which they share as well; a temporary one only if driver and executors are one local process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="tessella-"))
-    return _own_folder[0]
+    context = spark.sparkContext
+    if context.applicationId not in _own_folder:
+        alone = context.master == "local" or context.master.startswith("local[")
+        own = tempfile.mkdtemp(prefix="tessella-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tessella-{uuid.uuid4().hex}"
+        _own_folder[context.applicationId] = own
+    return _own_folder[context.applicationId]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a table that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -45,7 +55,5 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _kept.remove(scope)
-        jvm = spark.sparkContext._jvm
         for path in scope:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            remove(spark, path)
