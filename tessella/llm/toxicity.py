@@ -34,6 +34,8 @@ SAMPLE = 3000
 EPOCHS, RATE, SPARE = 160, 0.05, 3e-4
 #: Features of fewer documents get no weight.
 MIN_DOCUMENTS = 8
+#: The log-odds of a probability of 0.3.
+OFFENDING = math.log(0.3 / 0.7)
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -75,7 +77,7 @@ class Scorer:
             if words:
                 z = max(-30.0, min(30.0, self.bias + sum(map(weight, words))))
                 total += math.log1p(math.exp(z))
-                if z > -0.85:  # a probability of 0.3
+                if z >= OFFENDING:
                     found.append((m.start(), len(m[0]), 1 / (1 + math.exp(-z))))
         return -math.expm1(-total), found
 
