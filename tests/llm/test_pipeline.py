@@ -36,3 +36,19 @@ def test_each_stage_against_a_plain_version(spark, documents, words, tmp_path):
     assert np.all([p.length <= packing.LENGTH for p in steps[4].collect()])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == steps[4].count()
     assert quality.clean(docs).count() == len(texts[1])
+
+
+def test_odd_tables(spark, documents, words, tmp_path):
+    documents([]).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+    def prose(seed):
+        return "\n".join(words(14, 100 * seed + i).capitalize() + "." for i in range(8))
+
+    rows = [(i, prose(i), "en", f"s{i % 3}", 1) for i in range(12)] * 2 + [(None, prose(50), None, None, None), (20, None, "en", "s", 0), (21, " \n", "en", "s", 1)]
+    extra = dict.fromkeys(["_doc", "_gone", "line", "key", "topic", "mass", "kept", "component_id", "row", "curve", "_tokens"], "theirs")
+    documents(rows, extra).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    pieces = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    ids = [p.doc_id for p in pieces if not p.start]
+    assert len(ids) == len(set(ids)) and {None, 20, 21} & set(ids) <= {None} and len(ids) >= 6
+    assert sum(p.length for p in pieces) == sum(p.doc_tokens for p in pieces if not p.start)
