@@ -65,3 +65,26 @@ def test_like_documents_are_neighbours(spark, documents):
     places = packing.pack(documents(rows), FILE, 1 << 20).orderBy("offset").collect()
     order = [p.doc_id % 2 for p in sorted(places, key=lambda p: (p.sequence_id, p.offset))]
     assert sum(a != b for a, b in zip(order, order[1:], strict=False)) <= 6
+
+
+def test_order_is_the_curves(spark, documents, encoder, words):
+    rows = [(i, words(5 + 13 * i % 70, i % 37)) for i in range(120)] + [(i, "equal text") for i in range(500, 530)] + [(-3, None)]
+    histograms = np.array([np.bincount(np.array([*encoder.plain(t or ""), 0]) % packing.BUCKETS, minlength=packing.BUCKETS) for _, t in rows])
+    order = sorted(zip(packing.curve_keys(histograms), (i for i, _ in rows), histograms.sum(axis=1), strict=True))
+    want = dict(zip((i for _, i, _ in order), np.cumsum([0, *(n for *_, n in order)]), strict=False))
+    pieces = packing.pack(documents(rows).repartition(5), FILE, 256).collect()
+    sizes = {}
+    for p in pieces:
+        sizes[p.sequence_id] = sizes.get(p.sequence_id, 0) + p.length
+    before = dict(zip(sorted(sizes), np.cumsum([0, *(sizes[s] for s in sorted(sizes))]), strict=False))
+    assert {p.doc_id: before[p.sequence_id] + p.offset for p in pieces if p.start == 0} == want
+
+
+def test_other_tokenizer_files_are_left_to_their_library(tmp_path):
+    import json
+
+    file = json.loads(open(FILE).read())
+    file["normalizer"] = {"type": "Lowercase"}
+    (tmp_path / "low.json").write_text(json.dumps(file))
+    low = packing.Encoder(str(tmp_path / "low.json"))
+    assert low.quick is None and low.ids("HELLO There") == low.plain("hello there")
