@@ -58,7 +58,7 @@ def judged(docs, long):
     return {(r.doc_id, r.line_no): (r.class_doc, r.class_line, r.n_links, r.kept) for r in line_dedup.judge(docs, long).collect()}
 
 
-@pytest.mark.parametrize(("long", "together"), [(10**6, 8), (0, 8), (30, 8), (10**6, 1), (0, 1), (30, 2)])
+@pytest.mark.parametrize(("long", "together"), [(10**6, 8), (0, 1), (30, 2)])
 def test_matches_brute_force(documents, rows, long, together, monkeypatch):
     monkeypatch.setattr(line_dedup, "TOGETHER", together)
     rows = [r for r in rows if r[0] is None or r[0] < 104]
@@ -77,10 +77,10 @@ def test_short_and_counted_lines(documents):
 @pytest.mark.parametrize("long", [10**6, 200])
 def test_lines_that_share_a_part_do_not_all_meet(spark, words, long):
     half = words(40, 1)[:150]
-    lines = [f"{half}{words(60, 10 + i)[:150]}" for i in range(4000)] + [f"{words(60, 7)[:60]} {i:04d}" for i in range(1000)]
+    lines = [f"{half}{words(60, 10 + i)[:150]}" for i in range(2000)] + [f"{words(60, 7)[:60]} {i:04d}" for i in range(1000)]
     rows = spark.createDataFrame([(i, 0, x) for i, x in enumerate(lines)], "doc long, line_no int, line string").withColumns({c: e for c, e in zip("abn", line_dedup._identity(F.col("line")), strict=True)})
     pairs, crowded = line_dedup.met(line_dedup.first_keys(rows, long))
-    assert pairs.count() < 2000 and crowded.count() > 4000
+    assert pairs.count() < 1000 and crowded.select("a").distinct().count() > 2500
     later = line_dedup.later_keys(rows.join(crowded, "a"), long, 1)
     assert later.count() < 20 * crowded.count()
     pairs, crowded = line_dedup.met(later)
