@@ -160,21 +160,22 @@ WITH d AS (
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS s
   FROM documents
 ), g AS (
-  SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(w[i:i + 4], ' ')) AS n
-  FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d)
+  SELECT r, i, count(*) OVER (PARTITION BY r, five) AS n
+  FROM (SELECT r, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS five FROM d)
 ), c AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM g WHERE n > 1) GROUP BY r
 ), k AS (
-  SELECT *, list_filter(s, lambda x: regexp_matches(rtrim(x, {_GAPS}), {_quoted(quality.CLOSED)})
+  SELECT r, length(x) AS chars, regexp_matches(rtrim(x, {_GAPS}), {_quoted(quality.CLOSED)})
     AND NOT (regexp_matches(x, {_quoted(quality.NAVIGATION)}) OR regexp_matches(x, {_quoted(quality.BOILERPLATE)}))
     AND 100 * (length(x) - length(regexp_replace(x, '[{quality.SYMBOLS}]', '', 'g'))) <= {quality.MAX_SYMBOL_PERCENT} * length(x)
-    AND 100 * (length(x) - length(regexp_replace(x, '{quality.BARS}', '', 'g'))) <= {quality.MAX_BAR_PERCENT} * length(x)) AS stay
-  FROM d
+    AND 100 * (length(x) - length(regexp_replace(x, '{quality.BARS}', '', 'g'))) <= {quality.MAX_BAR_PERCENT} * length(x) AS stays
+  FROM (SELECT r, unnest(s) AS x FROM d)
+), l AS (SELECT r, sum(chars) AS line_chars, coalesce(sum(chars) FILTER (stays), 0) AS kept_chars FROM k GROUP BY r
 ), b AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
     (length(text) - length(regexp_replace(text, '[{quality.SYMBOLS}]', '', 'g')))::BIGINT AS n_symbols,
     (len(s) - len(list_distinct(s)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
-    length(array_to_string(s, '')) AS line_chars, length(array_to_string(stay, '')) AS kept_chars
-  FROM k LEFT JOIN c USING (r)
+    coalesce(line_chars, 0) AS line_chars, coalesce(kept_chars, 0) AS kept_chars
+  FROM d LEFT JOIN c USING (r) LEFT JOIN l USING (r)
 ), f AS (
   SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM b
 )
