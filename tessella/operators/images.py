@@ -109,12 +109,25 @@ def texture(images: DataFrame, offsets: dict[tuple[int, int], tuple[int, int]] |
 def spectrum(images: DataFrame) -> DataFrame:
     """image_id, h, w, u, k, power: squared magnitudes of the discrete Fourier transform."""
 
+    def frame(images: list[tuple[int, int, int, np.ndarray]]) -> pd.DataFrame:
+        ids, heights, widths, powers = zip(*images, strict=True)
+        sizes = [h * w for h, w in zip(heights, widths, strict=True)]
+        at = np.concatenate([np.arange(n) for n in sizes])
+        h, w = (np.repeat(x, sizes) for x in (heights, widths))
+        return pd.DataFrame({"image_id": np.repeat(ids, sizes), "h": h, "w": w, "u": at // w, "k": at % w, "power": np.concatenate(powers)})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            done, size = [], 0
             for i, h, w, v in zip(batch.image_id, batch.h, batch.w, batch.v, strict=True):
                 power = np.abs(np.fft.fft2(np.asarray(v, dtype=float).reshape(h, w))) ** 2
-                u, k = np.divmod(np.arange(h * w), w)
-                yield pd.DataFrame({"image_id": i, "h": h, "w": w, "u": u, "k": k, "power": power.ravel()})
+                done.append((i, h, w, power.ravel()))
+                size += h * w
+                if size >= 1 << 18:
+                    yield frame(done)
+                    done, size = [], 0
+            if done:
+                yield frame(done)
 
     return images.select("image_id", "h", "w", "v").mapInPandas(run, "image_id long, h int, w int, u int, k int, power double")
 
