@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, html_wrappers, line_dedup, minmax_dedup, mixing, packing, quality, topk, toxicity, url_rules
+from . import centroids, chat, html_wrappers, line_dedup, minmax_dedup, mixing, packing, prefix_trie, quality, token_counts, topk, toxicity, url_rules
 from .common import table
 
 #: The rules that op10 judges by.
@@ -102,6 +102,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv")
+    head = F.crc32(conv.cast("string").cast("binary")) % 4
+    return prefix_trie.prefix_nodes(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), conv - conv % 20, head, most=3)
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file())
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=16, rounds=3, scale=64, length=64)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -115,6 +129,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_hilbert_packing,
         op9_line_dedup,
         op10_url_filter,
+        op11_prefix_trie,
+        op12_token_counts,
+        op13_centroids,
     )
 }
 
@@ -236,6 +253,64 @@ WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, inst
 SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN f USING (page_id)
 """
 
+# crc32 by bits: each byte is mixed in and shifted out eight times
+_OP11_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), h AS (
+  SELECT c, c - c % 20 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+    lambda s, x: list_reduce([xor(s, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, (y & 1) * 3988292384))), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT c FROM t)
+), r AS (
+  SELECT h.c, t.i, role, text FROM h JOIN t ON t.c = base AND t.i <= h UNION ALL
+  SELECT h.c, t.i - h + (SELECT count(*) FROM t b WHERE b.c = base AND b.i <= h), role, text FROM h JOIN t ON t.c = h.c AND t.i > h
+), p AS (
+  SELECT c, i AS d, string_agg(md5(role) || md5(text), '') OVER (PARTITION BY c ORDER BY i) AS p,
+    len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS w FROM r
+  UNION ALL SELECT c, 0, '', 0 FROM h
+), l AS (SELECT c, max(d) AS n FROM p GROUP BY c
+), n AS (
+  SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, min(w) AS w, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = n), '')) AS ends_sha256 FROM p JOIN l USING (c) GROUP BY p, d
+), k AS (SELECT left(p, 64 * (d - 1)) AS p, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL
+), m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (p)
+), b AS (
+  SELECT u.p, sum((v.n_children = 0)::INT) AS n_leaves, sum((v.n_convs - 1) * v.w) AS saved FROM m u JOIN m v ON starts_with(v.p, u.p) GROUP BY u.p
+)
+SELECT m.conv_id, m.d AS depth, o.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, m.ends_sha256
+FROM m JOIN b USING (p) LEFT JOIN n o ON m.d > 0 AND o.p = left(m.p, 64 * (m.d - 1))
+"""
+
+
+def _op13_sql(rounds: int) -> str:
+    """Each round is the table of centroids after it; the last table's assignment is the result."""
+    assign = """
+  SELECT r, vec_id, v, first(j ORDER BY d, j) AS j, min(d) AS d FROM (
+    SELECT v.r, v.vec_id, v.v, c.j, list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v CROSS JOIN {c} c
+  ) GROUP BY ALL"""
+    move = """
+  SELECT j, list(floor_of ORDER BY i) AS v FROM (
+    SELECT j, i, (s - ((s % n) + n) % n) // n AS floor_of FROM (
+      SELECT j, i, sum(x)::BIGINT AS s, count(*)::BIGINT AS n FROM (SELECT j, unnest(v) AS x, unnest(range(1, 65)) AS i FROM {a}) GROUP BY j, i)
+  ) GROUP BY j UNION ALL SELECT j, v FROM {c} WHERE j NOT IN (SELECT j FROM {a})"""
+    steps = [
+        """v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS j, v FROM v WHERE vec_id IS NOT NULL ORDER BY j LIMIT 16)"""
+    ]
+    for n in range(rounds):
+        steps += [f"a{n} AS ({assign.format(c=f'c{n}')})", f"c{n + 1} AS ({move.format(a=f'a{n}', c=f'c{n}')})"]
+    last = f"c{rounds}"
+    steps.append(f"a AS ({assign.format(c=last)})")
+    return (
+        "WITH "
+        + ", ".join(steps)
+        + f""" SELECT vec_id, a.j::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.j))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM a JOIN {last} c ON c.j = a.j"""
+    )
+
+
 SQL: dict[str, str] = {
     "op2_exact_topk": _OP2_SQL,
     "op4_minmax_dedup": _OP4_SQL,
@@ -243,6 +318,8 @@ SQL: dict[str, str] = {
     "op7_quality_rules": _OP7_SQL,
     "op9_line_dedup": _OP9_SQL,
     "op10_url_filter": _OP10_SQL,
+    "op11_prefix_trie": _OP11_SQL,
+    "op13_centroids": _op13_sql(3),
 }
 
 
