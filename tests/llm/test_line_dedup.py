@@ -74,22 +74,62 @@ def test_short_and_counted_lines(documents):
     assert judged(documents(rows), 50) == plain(rows, 50)
 
 
+def told(spark, lines):
+    return spark.createDataFrame([(i, 0, x) for i, x in enumerate(lines)], "doc long, line_no int, line string").withColumns({c: e for c, e in zip("abn", line_dedup._identity(F.col("line")), strict=True)})
+
+
 @pytest.mark.parametrize("long", [10**6, 200])
 def test_lines_that_share_a_part_do_not_all_meet(spark, words, long):
     half = words(40, 1)[:150]
     lines = [f"{half}{words(60, 10 + i)[:150]}" for i in range(2000)] + [f"{words(60, 7)[:60]} {i:04d}" for i in range(1000)]
-    rows = spark.createDataFrame([(i, 0, x) for i, x in enumerate(lines)], "doc long, line_no int, line string").withColumns({c: e for c, e in zip("abn", line_dedup._identity(F.col("line")), strict=True)})
+    rows = told(spark, lines)
     pairs, crowded = line_dedup.met(line_dedup.first_keys(rows, long))
     assert pairs.count() < 1000 and crowded.select("a").distinct().count() > 2500
-    later = line_dedup.later_keys(rows.join(crowded, "a"), long, 1)
-    assert later.count() < 20 * crowded.count()
-    pairs, crowded = line_dedup.met(later)
-    assert pairs.count() < 20_000 and crowded.select("a").distinct().count() < 1100
     got = line_dedup.links(rows, long)
     assert got.filter("n < 100").agg(F.sum("n_links")).first()[0] == 1000 * 27  # one of three changing digits, 0 to 9
     assert got.filter("n > 100").count() == 0
 
 
+@pytest.fixture
+def pairs_written(monkeypatch):
+    """The tables of pairs that are written on the way."""
+    found = []
+    real = line_dedup.written
+
+    def keep(df, label):
+        out = real(df, label)
+        if label == "line-pairs":
+            found.append(out)
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", keep)
+    return found
+
+
+@pytest.mark.parametrize(("length", "slot"), [(1200, 30), (1200, 0), (900, 30), (900, 0)])
+def test_templated_lines_make_few_pairs(spark, words, pairs_written, length, slot):
+    """Lines of one template: with a random slot none are linked, with a number all those a digit (or two) apart."""
+    many = 4000 if slot else 700
+    text = words(400, 3)[:length]
+    fill = lambda i: words(12, i)[:slot].ljust(slot) if slot else f"{(i * 7919) % 100_000:05d}"
+    lines = [f"{text[:500]}{fill(i)}{text[500:]}" for i in range(many)]
+    got = line_dedup.links(told(spark, lines))
+    n = sum(p.distinct().count() for p in pairs_written)
+    if slot:
+        assert n < 2 * len(lines) and got.count() == 0
+        return
+    k = 2 if length >= line_dedup.LONG else 1
+    numbers = {fill(i) for i in range(many)}
+    r = random.Random(1)
+    asked = r.sample(range(many), 5)
+    expected = {i: sum(distance(fill(i), x) <= k for x in numbers) - 1 for i in asked}
+    by_line = {r.a: r.n_links for r in got.collect()}
+    hashed = {r.doc: r.a for r in told(spark, lines).select("doc", "a").collect()}
+    assert {i: by_line.get(hashed[i], 0) for i in asked} == expected
+    total = sum(by_line.values())
+    assert n < 2 * len(lines) + 2 * total
+
+
 @pytest.mark.parametrize("k", [1, 2, 3])
 def test_automaton_is_the_edit_distance(spark, k):
     r = random.Random(k)
