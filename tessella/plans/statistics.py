@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessella.functions import names, safe
-from tessella.operators import clusters, distributions as dist, groups, relations
+from tessella.operators import clusters, distributions as dist, groups, relations, surfaces
 from tessella.operators.ranks import numbered
 from tessella.sources.tables import table
 
@@ -553,6 +553,30 @@ def nearest_surface(spark: SparkSession, d: str) -> DataFrame:
     return rounded(clusters.nearest_surface(table(spark, d, "lineitem"), "l_quantity", "l_discount", "l_tax", 30))
 
 
+@query("""
+WITH p AS (SELECT avg(c_acctbal)::DOUBLE AS x, avg(c_custkey) AS y, count(*)::DOUBLE AS v, row_number() OVER (ORDER BY c_nationkey, c_mktsegment) AS i FROM customer GROUP BY c_nationkey, c_mktsegment),
+t AS (SELECT a.i AS i, b.i AS j, c.i AS k, a.x AS ax, a.y AS ay, a.v AS av, b.x AS bx, b.y AS by_, b.v AS bv, c.x AS cx, c.y AS cy, c.v AS cv,
+  b.x - a.x AS ux, b.y - a.y AS uy, c.x - a.x AS wx, c.y - a.y AS wy FROM p a JOIN p b ON a.i < b.i JOIN p c ON b.i < c.i),
+o AS (SELECT *, ux * wy - uy * wx AS d, (wy * (ux * ux + uy * uy) - uy * (wx * wx + wy * wy)) / (2 * (ux * wy - uy * wx)) AS ox, (ux * (wx * wx + wy * wy) - wx * (ux * ux + uy * uy)) / (2 * (ux * wy - uy * wx)) AS oy FROM t),
+e AS (SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.i <> o.i AND p.i <> o.j AND p.i <> o.k AND power(p.x - ax - ox, 2) + power(p.y - ay - oy, 2) < ox * ox + oy * oy)),
+q AS (SELECT gy, gx, x0 + gx * (x1 - x0) / 14 AS x, y0 + gy * (y1 - y0) / 14 AS y FROM (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p) CROSS JOIN (SELECT unnest(range(0, 15)) AS gx) CROSS JOIN (SELECT unnest(range(0, 15)) AS gy)),
+h AS (SELECT gy, gx, av, bv, cv, ((x - ax) * wy - (y - ay) * wx) / d AS r, (ux * (y - ay) - uy * (x - ax)) / d AS s FROM q CROSS JOIN e),
+l AS (SELECT gy, gx, min(av + r * (bv - av) + s * (cv - av)) AS value FROM h WHERE r >= -1e-9 AND s >= -1e-9 AND r + s <= 1 + 1e-9 GROUP BY ALL),
+n AS (SELECT gy, gx, arg_min(v, (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y)) AS value FROM q CROSS JOIN p GROUP BY ALL)
+SELECT gy, gx, round(coalesce(l.value, n.value), 4) AS value FROM n LEFT JOIN l USING (gy, gx)
+""")
+def linear_surface(spark: SparkSession, d: str) -> DataFrame:
+    """Customers a cell of nation and segment, over the cells' mean balance and key."""
+    cells = table(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.avg("c_acctbal").cast("double").alias("x"), F.avg("c_custkey").alias("y"), F.count("*").cast("double").alias("v"))
+    return rounded(surfaces.linear_surface(cells, "x", "y", "v", 15), 4)
+
+
+@query()
+def feature_surface(spark: SparkSession, d: str) -> DataFrame:
+    """The third component of every vector as a surface over the first two."""
+    return surfaces.linear_surface(_wide(spark, d)[0], "e0", "e1", "e2", 40)
+
+
 @query("""
 SELECT DISTINCT p_type, array_to_string(list_transform(string_split(replace(regexp_replace('optical_' || lower(replace(p_type, ' ', '_')), '_d([0-9])', ' D\\1'), '_', ' '), ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') AS label FROM part
 """)
