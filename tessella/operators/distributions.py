@@ -3,8 +3,12 @@ spans the whole table."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessella.functions.special import normal_quantile
@@ -106,20 +110,42 @@ def boxes(df: DataFrame, by: list[str], column: str) -> DataFrame:
     return named.join(fences, by)
 
 
+#: Kernels reach so many widths (beyond, exp(-32) is left out); buckets are a quarter of a width, expanded to so many terms.
+REACH, PARTS, TERMS = 8, 4, 14
+
+
 def density_1d(df: DataFrame, group: str, column: str, low: float, high: float, points: int, factor: float | None = None, least: int = 3) -> DataFrame:
     """group, g, x, density, scaled (to the group's peak): Gaussian kernel estimate on a grid; the width is factor (Scott's
-    rule if none) times the sample deviation. Groups of fewer rows, or without spread, are left out. Equal values are
-    summed before the grid."""
-    stats = df.groupBy(group).agg(F.count(column).alias("n"), F.stddev_samp(column).alias("s")).filter((F.col("n") >= least) & (F.col("s") > 0))
+    rule if none) times the sample deviation. Groups of fewer rows, or without spread, are left out.
+
+    Values meet the grid as buckets: a bucket's values are TERMS sums of powers of their distances d to its middle, since at
+    a distance r (both in widths) exp(-(r - d)^2 / 2) = exp(-r^2 / 2) * exp(-d^2 / 2) * sum of (r * d)^k / k!, where |r * d| is 1 at most. What
+    is cut off is below 3 / TERMS! of the kernel's peak a value. So the rows are read once, into partial sums, and what meets
+    the grid are buckets, within reach only: their number depends on the range and the width, not on the rows."""
+    stats = df.groupBy(F.col(group).alias("_of")).agg(F.count(column).alias("n"), F.stddev_samp(column).alias("s")).filter((F.col("n") >= least) & (F.col("s") > 0))
     width = F.col("s") * (F.lit(factor) if factor else F.pow(F.col("n").cast("double"), F.lit(-0.2)))
-    weights = df.filter(F.col(column).isNotNull()).groupBy(group, F.col(column).alias("v")).agg(F.count("*").alias("c"))
-    grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
-    placed = weights.join(stats.withColumn("h", width), group).withColumn("g", grid)
-    x = F.lit(low) + F.col("g") * F.lit((high - low) / (points - 1))
-    kernel = F.exp(-0.5 * F.pow((x - F.col("v")) / F.col("h"), F.lit(2)))
-    mass = placed.groupBy(group, "g").agg(F.sum(F.col("c") * kernel).alias("k"), F.first("n").alias("n"), F.first("h").alias("h"))
-    made = mass.select(group, "g", x.alias("x"), (F.col("k") / (F.col("n") * F.col("h") * F.sqrt(F.lit(2 * 3.141592653589793)))).alias("density"))
-    return made.withColumn("scaled", F.col("density") / F.max("density").over(Window.partitionBy(group)))
+    stats = written(stats.select("_of", "n", width.alias("h")), "density-widths")
+    middle = F.lit(low) + (F.col("bucket") + 0.5) * F.col("h") / PARTS
+    placed = df.filter(F.col(column).isNotNull()).select(F.col(group).alias("_of"), F.col(column).cast("double").alias("v")).join(stats, "_of")
+    placed = placed.withColumn("bucket", F.floor((F.col("v") - low) / F.col("h") * PARTS))
+    placed = placed.withColumn("d", (F.col("v") - middle) / F.col("h")).withColumn("m0", F.exp(-0.5 * F.col("d") * F.col("d")))
+    powers = [F.col("m0")]
+    for k in range(1, TERMS):
+        powers.append(powers[-1] * F.col("d") / k)
+    buckets = placed.groupBy("_of", "bucket").agg(F.array(*(F.sum(p) for p in powers)).alias("m"))
+    step = (high - low) / (points - 1)
+    buckets = buckets.join(stats, "_of").withColumn("c", middle)
+    first = F.greatest(F.ceil((F.col("c") - low - REACH * F.col("h")) / step), F.lit(0))
+    last = F.least(F.floor((F.col("c") - low + REACH * F.col("h")) / step), F.lit(points - 1))
+    met = buckets.filter(first <= last).withColumn("g", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    r = (F.lit(low) + F.col("g") * step - F.col("c")) / F.col("h")
+    value = F.aggregate(F.reverse("m"), F.lit(0.0), lambda s, m: s * r + m) * F.exp(-0.5 * r * r)
+    mass = met.groupBy("_of", "g").agg(F.sum(value).alias("k"))
+    grid = stats.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).join(mass, ["_of", "g"], "left")
+    density = F.coalesce("k", F.lit(0.0)) / (F.col("n") * F.col("h") * F.sqrt(F.lit(2 * 3.141592653589793)))
+    made = grid.select("_of", "g", (F.lit(low) + F.col("g") * F.lit(step)).alias("x"), density.alias("density"))
+    scaled = F.try_divide(F.col("density"), F.max("density").over(Window.partitionBy("_of")))
+    return made.select(F.col("_of").alias(group), "g", "x", "density", scaled.alias("scaled"))
 
 
 def density_3d(df: DataFrame, key: str, columns: list[str], factor: float = 0.15) -> DataFrame:
@@ -167,20 +193,46 @@ def normal_fit(plot: DataFrame, group: str) -> DataFrame:
     return plot.groupBy(group).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
 
 
-#: Multipliers and modulus of the index generator of the bootstrap.
-DRAW_A, DRAW_B, DRAW_C, DRAW_D, DRAW_M = 48271, 16807, 11, 69621, 2147483647
+#: Multipliers and modulus of the generator of resampling weights.
+DRAW_A, DRAW_B, DRAW_C, DRAW_M = 48271, 16807, 11, 2147483647
+#: From these values of the generator on, a row counts once, twice and so on: the shares of a Poisson distribution of mean 1.
+DRAW_LIMITS = [int(DRAW_M * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(9)]
+
+
+def draw_weights(key: Column, draws: int) -> Column:
+    """How often a row counts in each of the draws, from fixed arithmetic on its key and the draw's number."""
+    limits = F.array(*map(F.lit, DRAW_LIMITS))
+
+    def weights(x: Column) -> Column:
+        def weight(b: Column) -> Column:
+            y = (b * DRAW_A + DRAW_C) % DRAW_M
+
+            def mixed(u: Column) -> Column:
+                return F.size(F.filter(limits, lambda t: t <= (u * u + x + y) % DRAW_M)).cast("double")
+
+            return F.transform(F.array((x * y) % DRAW_M), mixed)[0]
+
+        return F.transform(F.sequence(F.lit(1).cast("long"), F.lit(draws).cast("long")), weight)
+
+    return F.transform(F.array((F.pmod(key.cast("long"), F.lit(DRAW_M)) * DRAW_B + DRAW_C) % DRAW_M), weights)[0]
 
 
 def bootstrap(df: DataFrame, group: str, value: str, key: str, draws: int, least: int = 6) -> DataFrame:
-    """Percentile interval of the mean from `draws` resamples of each group, whose indices come from fixed arithmetic.
+    """Percentile interval of the mean from `draws` resamples of each group, in one pass.
 
-    Groups below `least` rows get nulls. The work is draws times the rows; a group is spread over tasks by draw and index."""
-    given = df.filter(F.col(value).isNotNull()).select(group, F.col(value).alias("v"), F.col(key).alias("_key"))
-    ranked = written(numbered(given, ["_key"], [group]).select(group, "v", (F.col("i") - 1).alias("r")), "bootstrap-ranks")
+    In a draw every row counts as often as its weight says: independent Poisson weights of mean 1, which is what drawing n
+    of n rows comes to for each row. A row becomes one vector, its weights and its weighted values, and vectors are summed by
+    partial aggregation, so no draw is ever a row. Groups below `least` rows get nulls; rows without a
+    key count as if it were 0."""
+    given = df.filter(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("v"), F.coalesce(F.col(key), F.lit(0)).alias("r"))
     sizes = df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
-    asked = ranked.select(group, "r").join(sizes.filter(F.col("n") >= least), group).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
-    index = ((F.col("b") * DRAW_A + F.col("r") * DRAW_B + DRAW_C) * DRAW_D) % DRAW_M % F.col("n")
-    counts = asked.groupBy(group, "b", index.alias("r")).agg(F.count("*").alias("c"))
-    means = counts.join(ranked, [group, "r"]).groupBy(group, "b").agg((F.sum(F.col("c") * F.col("v")) / F.sum("c")).alias("m"))
-    ends = means.groupBy(group).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("e"))
-    return sizes.join(ends, group, "left").select(group, "n", "mean", F.col("e")[0].alias("low"), F.col("e")[1].alias("high"))
+    weighted = given.withColumn("w", draw_weights(F.col("r"), draws)).select(group, array_to_vector(F.concat("w", F.transform("w", lambda w: w * F.col("v")))).alias("x"))
+    sums = weighted.groupBy(group).agg(vector_to_array(Summarizer.sum(F.col("x"))).alias("x"))
+    means = F.array_sort(F.filter(F.zip_with(F.slice("x", 1, draws), F.slice("x", draws + 1, draws), lambda w, s: F.try_divide(s, w)), lambda m: m.isNotNull()))
+    at = lambda q: q * (F.size("m") - 1)
+    low = lambda q: F.get("m", F.floor(at(q)).cast("int"))
+    end = lambda q: low(q) + (at(q) - F.floor(at(q))) * (F.get("m", F.ceil(at(q)).cast("int")) - low(q))
+    ends = sums.select(F.col(group).alias("_g"), means.alias("m")).select("_g", end(0.025).alias("low"), end(0.975).alias("high"))
+    met = sizes.join(ends, F.col(group).eqNullSafe(F.col("_g")), "left")
+    enough = F.col("n") >= least
+    return met.select(group, "n", "mean", F.when(enough, F.col("low")).alias("low"), F.when(enough, F.col("high")).alias("high"))

@@ -1,7 +1,7 @@
 """Image operators on the relation image_id, h, w, v (row-major doubles): one row per image, no joins between pixels.
 
-A pixel's neighbours are slices of its own image's array, or numpy works on the array inside its task (spectra and
-morphology), so nothing is shuffled but one partial sum per image. `kernels` gives the same numbers as one pass.
+A pixel's neighbours are slices of its own image's array or bits of its packed rows, or numpy works on the array inside its
+task (spectra), so nothing is shuffled but one partial sum per image. `kernels` gives the same numbers as one pass.
 """
 
 from __future__ import annotations
@@ -164,25 +164,74 @@ def foreground(images: DataFrame) -> DataFrame:
     return met.withColumn("bits", F.transform("b", lambda x: F.coalesce((x > F.col("t")).cast("int"), F.lit(0)))).select(*images.columns, "bits")
 
 
-def morphology(bits: DataFrame) -> DataFrame:
-    """Shares of foreground, and of its erosion and dilation by a disk of radius 3; pixels outside don't count."""
-
-    def shares(bits: np.ndarray) -> tuple[float, float, float]:
-        h, w = bits.shape
-        grown, worn = np.zeros_like(bits), np.ones_like(bits)
-        for dy, dx in DISK:
-            to = (slice(max(0, -dy), min(h, h - dy)), slice(max(0, -dx), min(w, w - dx)))
-            of = (slice(max(0, dy), min(h, h + dy)), slice(max(0, dx), min(w, w + dx)))
-            grown[to] |= bits[of]
-            worn[to] &= bits[of]
-        return float(bits.mean()), float(worn.mean()), float(grown.mean())
+def _let(value: Column, body) -> Column:
+    """body(value), with value worked out once however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def packed(bits: str | Column = "bits") -> Column:
+    """Rows of 64-pixel words, pixel j of a word at bit j; the last word of a row may be part empty. Needs h, w."""
+    words = F.ceil(F.col("w") / 64).cast("int")
+
+    def word(i: Column) -> Column:
+        y, k = F.floor(i / words), i % words
+        some = F.slice(bits, (y * F.col("w") + k * 64 + 1).cast("int"), F.least(F.lit(64), F.col("w") - k * 64).cast("int"))
+        return F.aggregate(F.reverse(some), F.lit(0).cast("long"), lambda s, b: F.shiftleft(s, 1).bitwiseOR(b.cast("long")))
+
+    return F.transform(F.sequence(F.lit(0), F.col("h") * words - 1), word)
+
+
+def _wider(words: Column, n: Column, reach: int) -> Column:
+    """Every pixel spread over `reach` pixels to both sides of its row; n: words of a row."""
+
+    def spread(x: Column, i: Column) -> Column:
+        before = F.when(i % n > 0, F.get(words, i - 1)).otherwise(F.lit(0).cast("long"))
+        after = F.when(i % n < n - 1, F.get(words, i + 1)).otherwise(F.lit(0).cast("long"))
+        out = x
+        for s in range(1, reach + 1):
+            out = out.bitwiseOR(F.shiftleft(x, s)).bitwiseOR(F.shiftrightunsigned(before, 64 - s)).bitwiseOR(F.shiftrightunsigned(x, s)).bitwiseOR(F.shiftleft(after, 64 - s))
+        return out
+
+    return F.transform(words, spread) if reach else words
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = [shares(np.asarray(b, dtype=bool).reshape(h, w)) for h, w, b in zip(batch.h, batch.w, batch.bits, strict=True)]
-            yield pd.DataFrame(made, columns=["object_area_ratio", "erosion_area_ratio", "dilation_area_ratio"]).assign(image_id=batch.image_id)
 
-    return bits.select("image_id", "h", "w", "bits").mapInPandas(run, "image_id long, object_area_ratio double, erosion_area_ratio double, dilation_area_ratio double")
+def dilated(words: Column, n: Column) -> Column:
+    """Packed rows under a disk of radius 3: rows that far apart are or-ed, each spread as wide as the disk is there."""
+    reach = {dy: max(x for y, x in DISK if y == dy) for dy in range(-3, 4)}
+    spread = F.struct(*(_wider(words, n, r).alias(f"r{r}") for r in sorted(set(reach.values()))))
+
+    def rows(a: Column) -> Column:
+        def cell(i: Column) -> Column:
+            out = F.lit(0).cast("long")
+            for dy, r in reach.items():
+                at = i + dy * n
+                out = out.bitwiseOR(F.coalesce(F.when(at >= 0, F.get(a[f"r{r}"], at.cast("int"))), F.lit(0).cast("long")))
+            return out
+
+        return F.transform(F.sequence(F.lit(0), F.size(words) - 1), cell)
+
+    return _let(spread, rows)
+
+
+def morphology(bits: DataFrame) -> DataFrame:
+    """Shares of foreground, and of its erosion and dilation by a disk of radius 3; pixels outside don't count.
+
+    Images are packed into 64-pixel words, so a row's shift is a shift of words. What erosion leaves is what the dilation of
+    the background doesn't reach."""
+    n = F.col("n")
+    # the pixels that a row's last word has
+    full = F.when((F.col("w") % 64) == 0, F.lit(-1).cast("long")).otherwise(F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), (64 - F.col("w") % 64).cast("int")))
+    inside = lambda a: F.transform(a, lambda x, i: F.when(i % n == n - 1, x.bitwiseAND(F.col("full"))).otherwise(x))
+    count = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + F.bit_count(x))
+    size = F.col("h") * F.col("w")
+    met = bits.filter(size > 0).select("image_id", "h", "w", packed().alias("p"), F.ceil(F.col("w") / 64).cast("int").alias("n"), full.alias("full"))
+    met = met.withColumn("rest", inside(F.transform("p", lambda x: F.bitwise_not(x))))
+    return met.select(
+        "image_id",
+        (count(F.col("p")) / size).alias("object_area_ratio"),
+        (1 - count(inside(dilated(F.col("rest"), n))) / size).alias("erosion_area_ratio"),
+        (count(inside(dilated(F.col("p"), n))) / size).alias("dilation_area_ratio"),
+    )
 
 
 def similarity(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -199,15 +248,29 @@ def similarity(a: DataFrame, b: DataFrame) -> DataFrame:
         return F.transform(v, lambda x: (x - F.array_min(v)) / (F.array_max(v) - F.array_min(v) + 1e-8))
 
     met = met.withColumns({"v": scaled("v"), "v2": scaled("v2")})
-    r = SSIM_RADIUS
-    rows = met.filter((F.col("ch") > 2 * r) & (F.col("cw") > 2 * r))
-    rows = rows.withColumn("y", F.explode(F.sequence(F.lit(r), F.col("ch") - r - 1))).withColumn("x", F.explode(F.sequence(F.lit(r), F.col("cw") - r - 1)))
-    window = lambda v: F.flatten(F.transform(F.sequence(F.col("y") - r, F.col("y") + r), lambda y: F.slice(F.col(v), (y * F.col("cw") + F.col("x") - r + 1).cast("int"), F.lit(2 * r + 1))))
-    px = rows.select("image_id", "y", "x", F.inline(F.arrays_zip(window("v").alias("s"), window("v2").alias("t"))))
-    at = px.groupBy("image_id", "y", "x").agg(F.avg("s").alias("ms"), F.avg("t").alias("mt"), F.var_samp("s").alias("vs"), F.var_samp("t").alias("vt"), F.covar_samp("s", "t").alias("c"))
-    top = (2 * F.col("ms") * F.col("mt") + SSIM_C1) * (2 * F.col("c") + SSIM_C2)
-    bottom = (F.col("ms") ** 2 + F.col("mt") ** 2 + SSIM_C1) * (F.col("vs") + F.col("vt") + SSIM_C2)
-    return at.groupBy("image_id").agg(F.avg(top / bottom).alias("ssim"))
+    side = 2 * SSIM_RADIUS + 1
+    met = met.filter((F.col("ch") >= side) & (F.col("cw") >= side))
+
+    def windows(values: Column) -> Column:
+        """Sums over all windows: along rows, then of rows; a window's sums follow each other as its corners do."""
+        width, across = F.col("cw"), F.col("cw") - side + 1
+        every = lambda n: F.sequence(F.lit(0), (n - 1).cast("int"))
+        total = lambda a, at, step: sum((F.get(a, (at + step * k).cast("int")) for k in range(1, side)), F.get(a, at.cast("int")))
+        rows = F.transform(every(F.col("ch") * across), lambda i: total(values, F.floor(i / across) * width + i % across, F.lit(1)))
+        return _let(rows, lambda a: F.transform(every((F.col("ch") - side + 1) * across), lambda i: total(a, i, across)))
+
+    product = lambda a, b: F.zip_with(a, b, lambda x, y: x * y)
+    sums = {"s": F.col("v"), "t": F.col("v2"), "ss": product("v", "v"), "tt": product("v2", "v2"), "st": product("v", "v2")}
+    n = side * side
+    met = met.select("image_id", F.arrays_zip(*(windows(a).alias(c) for c, a in sums.items())).alias("sums"))
+
+    def likeness(x: Column) -> Column:
+        ms, mt = x["s"] / n, x["t"] / n
+        spread = lambda c, a, b: (x[c] - n * a * b) / (n - 1)
+        top = (2 * ms * mt + SSIM_C1) * (2 * spread("st", ms, mt) + SSIM_C2)
+        return top / ((ms * ms + mt * mt + SSIM_C1) * (spread("ss", ms, ms) + spread("tt", mt, mt) + SSIM_C2))
+
+    return met.select("image_id", (F.aggregate("sums", F.lit(0.0), lambda a, x: a + likeness(x)) / F.size("sums")).alias("ssim"))
 
 
 def coverage(images: DataFrame, above: float = 5.0, least: int = 50) -> DataFrame:
@@ -225,7 +288,7 @@ def texture_wide(textures: DataFrame) -> DataFrame:
 
 def features(first: DataFrame, second: DataFrame, names: tuple[str, str] = ("normal", "sem")) -> DataFrame:
     """The 91 features of each pair: texture 32, spectrum 7 and morphology 6 of either image, and their similarity."""
-    from .kernels import objects
+    from .regions import objects
 
     out = similarity(first, second).withColumnRenamed("ssim", "cross_modal_ssim")
     for images, name in zip((first, second), names, strict=True):

@@ -47,24 +47,6 @@ def regions(bits: np.ndarray) -> np.ndarray:
     return np.array(sorted(total.values()), dtype=np.int64)
 
 
-def objects(bits: DataFrame) -> DataFrame:
-    """image_id, num_objects, mean_object_area, largest_object_area; zeros where there are none."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [regions(np.asarray(b, dtype=bool).reshape(h, w)) for b, h, w in zip(batch.bits, batch.h, batch.w, strict=True)]
-            yield pd.DataFrame(
-                {
-                    "image_id": batch.image_id,
-                    "num_objects": [len(f) for f in found],
-                    "mean_object_area": [float(f.mean()) if len(f) else 0.0 for f in found],
-                    "largest_object_area": [float(f.max()) if len(f) else 0.0 for f in found],
-                }
-            )
-
-    return bits.select("image_id", "h", "w", "bits").mapInPandas(run, "image_id long, num_objects long, mean_object_area double, largest_object_area double")
-
-
 def texture_of(image: np.ndarray) -> dict[str, float]:
     """texture_<property>_d<distance>_a<angle> of a grey image; empty if it is flat."""
     low, high = image.min(), image.max()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.operators import groups, images, kernels
+from tessella.operators import groups, images, kernels, regions
 from tessella.sources.tables import pixels, table, tiles
 
 from .registry import Registry
@@ -176,7 +176,7 @@ c AS (SELECT image_id, p, min(root) AS c FROM r GROUP BY ALL), s AS (SELECT imag
 SELECT image_id, count(*) AS num_objects, round(avg(n), 6) AS mean_object_area, max(n)::DOUBLE AS largest_object_area FROM s GROUP BY image_id
 """)
 def components(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(kernels.objects(images.foreground(_tiles(spark, d))))
+    return rounded(regions.objects(images.foreground(_tiles(spark, d))))
 
 
 @query(f"""

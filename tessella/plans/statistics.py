@@ -419,10 +419,12 @@ def qq_normal_fit(spark: SparkSession, d: str) -> DataFrame:
     return dist.normal_fit(dist.normal_plot(table(spark, d, "events"), "event_type", "value", "event_id"), "event_type")
 
 
-@query("""
-WITH r AS (SELECT label, vec_id, embedding[1]::DOUBLE AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
-d AS (SELECT label, b, ((b * 48271 + r * 16807 + 11) * 69621) % 2147483647 % n AS r FROM r CROSS JOIN (SELECT unnest(range(0, 1000)) AS b)),
-m AS (SELECT label, b, avg(v) AS m FROM d JOIN r USING (label, r) GROUP BY ALL)
+@query(f"""
+WITH r AS (SELECT label, embedding[1]::DOUBLE AS v, (vec_id * {dist.DRAW_B} + {dist.DRAW_C}) % {dist.DRAW_M} AS x FROM embeddings),
+b AS (SELECT b, (b * {dist.DRAW_A} + {dist.DRAW_C}) % {dist.DRAW_M} AS y FROM (SELECT unnest(range(1, 1001)) AS b)),
+u AS (SELECT label, b, v, x, y, (x * y) % {dist.DRAW_M} AS u FROM r CROSS JOIN b),
+w AS (SELECT label, b, v, len(list_filter({dist.DRAW_LIMITS}, lambda t: t <= (u * u + x + y) % {dist.DRAW_M})) AS w FROM u),
+m AS (SELECT label, b, sum(w * v) / sum(w) AS m FROM w GROUP BY ALL)
 SELECT label::BIGINT AS label, (SELECT count(*) FROM embeddings e WHERE e.label = m.label) AS n, round((SELECT avg(embedding[1]::DOUBLE) FROM embeddings e WHERE e.label = m.label), 6) AS mean,
   round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY label
 """)

@@ -112,6 +112,24 @@ def test_bootstrap_interval_covers_the_mean(spark):
     assert got[7].low is None and all(got[g].low < got[g].mean < got[g].high for g in (0, 1))
 
 
+def test_resampling_weights_are_poisson_and_unrelated(spark):
+    w = np.array([r.w for r in spark.range(1000).select(dist.draw_weights(F.col("id"), 60).alias("w")).collect()])
+    assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.05
+    r = np.corrcoef(w.T)[~np.eye(60, dtype=bool)]
+    assert abs(r.mean()) < 0.01 and np.abs(r).max() < 0.2
+
+
+@pytest.mark.parametrize("factor", [0.01, 0.4, None])
+def test_density_by_buckets_equals_the_sum_over_values(spark, factor):
+    rng = np.random.default_rng(8)
+    v = np.concatenate([rng.normal(30, 5, 150), rng.normal(70, 1, 50), [-400.0, 900.0, 50.0, 50.0]])
+    df = spark.createDataFrame([("a", float(x)) for x in v] + [("b", 1.0), ("b", 2.0), ("c", 5.0)] + [("c", 5.0)] * 3 + [("a", None)], "g string, v double")
+    got = {(r.g, r.i): r.density for r in dist.density_1d(df.withColumnRenamed("g", "k"), "k", "v", 0.0, 100.0, 101, factor).withColumnsRenamed({"g": "i", "k": "g"}).collect()}
+    h = v.std(ddof=1) * (factor or len(v) ** -0.2)
+    plain = np.exp(-0.5 * ((np.arange(101)[:, None] - v) / h) ** 2).sum(1) / (len(v) * h * np.sqrt(2 * np.pi))
+    assert len(got) == 101 and np.abs(np.array([got["a", i] for i in range(101)]) - plain).max() < 1e-9
+
+
 def test_p_labels(spark):
     df = spark.createDataFrame([(0.0005,), (0.003,), (0.04,), (0.3,), (None,)], "p double")
     got = [(r.a, r.b) for r in df.select(safe.p_value_text(F.col("p")).alias("a"), safe.p_value_stars(F.col("p")).alias("b")).collect()]

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tessella.operators import images, kernels
+from tessella.operators import images, kernels, regions
 from tessella.sources import tables
 
 KIND = "image_id long, h int, w int, v array<double>"
@@ -31,7 +31,7 @@ def test_relational_forms_equal_kernels(spark, arrays):
     for r in kernels.image_features(df).collect():
         wanted[(r.image_id, r.feature)] = r.value
     bits = images.foreground(df)
-    parts = [(images.texture_wide(images.texture(df)), ""), (images.bands(images.spectrum(df)), "freq_"), (images.morphology(bits).join(kernels.objects(bits), "image_id"), "morph_")]
+    parts = [(images.texture_wide(images.texture(df)), ""), (images.bands(images.spectrum(df)), "freq_"), (images.morphology(bits).join(regions.objects(bits), "image_id"), "morph_")]
     seen = 0
     for part, prefix in parts:
         for r in part.collect():
@@ -46,7 +46,7 @@ def test_flat_image(spark):
     assert images.texture(df).count() == 0
     assert images.quantised(df).first().q is None
     bits = images.foreground(df)
-    assert sum(bits.first().bits) == 0 and kernels.objects(bits).first().num_objects == 0
+    assert sum(bits.first().bits) == 0 and regions.objects(bits).first().num_objects == 0
     stats = images.basic_stats(df).first()
     assert (stats.brightness, stats.contrast, stats.entropy) == (3.0, 0.0, 0.0)
 
@@ -61,7 +61,7 @@ def test_morphology_is_ordered_and_regions_add_up(spark, arrays):
     bits = images.foreground(frame(spark, arrays))
     for r in images.morphology(bits).collect():
         assert r.erosion_area_ratio <= r.object_area_ratio <= r.dilation_area_ratio
-    of = {r.image_id: r for r in kernels.objects(bits).collect()}
+    of = {r.image_id: r for r in regions.objects(bits).collect()}
     for r in bits.collect():
         assert of[r.image_id].num_objects * of[r.image_id].mean_object_area == pytest.approx(sum(r.bits))
     assert of[4].num_objects == 2 and of[4].largest_object_area == 8
