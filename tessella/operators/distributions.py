@@ -6,7 +6,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -14,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tessella.functions.special import normal_quantile
 from tessella.sources.scratch import written
 
-from .blocks import meet
+from .kernel_sums import kernel_sums
 from .quantiles import by_sorting, few_values, quantiles
 from .ranks import numbered
 
@@ -149,32 +148,27 @@ def density_1d(df: DataFrame, group: str, column: str, low: float, high: float,
 
 
 def density_3d(df: DataFrame, key: str, columns: list[str], factor: float = 0.15) -> DataFrame:
-    """key, density at every row: Gaussian kernel over all rows, with their covariance times factor squared.
-
-    Equal points are one, with their number as weight; points meet in blocks and only sums leave a block. Without a full
-    covariance, density is 1."""
-    given = df.select(F.col(key).alias("k"), *(F.col(x).cast("double").alias(n) for x, n in zip(columns, "abc", strict=True))).na.drop()
-    cov = given.agg(*(F.covar_samp(x, y).alias(x + y) for x, y in ("aa", "bb", "cc", "ab", "ac", "bc")), F.count("*").alias("n")).first()
+    """key, density at every row: Gaussian kernel over all rows, with their covariance times factor squared, within
+    kernel_sums.BOUND of the kernel's peak.
+
+    Equal points are one, with their number as weight. Without a full covariance, density is 1."""
+    given = df.select(F.col(key).alias("key"), *(F.col(x).cast("double").alias(n) for x, n in zip(columns, "abc", strict=True))).na.drop()
+    means = [F.avg(n).alias(f"m{n}") for n in "abc"]
+    cov = given.agg(*(F.covar_samp(x, y).alias(x + y) for x, y in ("aa", "bb", "cc", "ab", "ac", "bc")), *means, F.count("*").alias("n")).first()
+    flat = given.select(F.col("key").alias(key), F.lit(1.0).alias("density"))
     if cov.n < 2:
-        return given.select(F.col("k").alias(key), F.lit(1.0).alias("density"))
+        return flat
     m = factor**2 * np.array([[cov.aa, cov.ab, cov.ac], [cov.ab, cov.bb, cov.bc], [cov.ac, cov.bc, cov.cc]])
     det = float(np.linalg.det(m))
     if not det > 0:
-        return given.select(F.col("k").alias(key), F.lit(1.0).alias("density"))
-    inverse, scale = np.linalg.inv(m), cov.n * float(np.sqrt((2 * np.pi) ** 3 * det))
-
-    def sums(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        at, of, weight = x[["a", "b", "c"]].to_numpy(), y[["a", "b", "c"]].to_numpy(), y["w"].to_numpy()
-        out = []
-        for i in range(0, len(at), 256):
-            d = at[i : i + 256, None, :] - of[None, :, :]
-            out.append(np.exp(-0.5 * np.einsum("ijk,kl,ijl->ij", d, inverse, d)) @ weight)
-        return x[["a", "b", "c"]].assign(s=np.concatenate(out))
-
-    points = written(given.groupBy("a", "b", "c").agg(F.count("*").cast("double").alias("w")), "density-points")
-    parts = meet(points.drop("w"), points, sums, "a double, b double, c double, s double")
-    made = parts.groupBy("a", "b", "c").agg((F.sum("s") / scale).alias("density"))
-    return given.join(made, ["a", "b", "c"]).select(F.col("k").alias(key), "density")
+        return flat
+    whiten, scale = np.linalg.inv(np.linalg.cholesky(m)), cov.n * float(np.sqrt((2 * np.pi) ** 3 * det))
+    from_mean = [F.col(n) - F.lit(cov[f"m{n}"]) for n in "abc"]
+    axes = [sum((float(whiten[i, j]) * from_mean[j] for j in range(1, i + 1)), float(whiten[i, 0]) * from_mean[0]).alias(n) for i, n in enumerate("xyz")]
+    points = given.groupBy("a", "b", "c").agg(F.count("*").cast("double").alias("w"))
+    made = kernel_sums(points.select("a", "b", "c", *axes, "w"))
+    made = made.groupBy("a", "b", "c").agg((F.max("s") / scale).alias("density"))
+    return given.join(made, ["a", "b", "c"]).select(F.col("key").alias(key), "density")
 
 
 def normal_plot(df: DataFrame, group: str, value: str, key: str) -> DataFrame:
