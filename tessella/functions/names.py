@@ -32,3 +32,18 @@ def abbreviated(name: Column) -> Column:
     for long, short in ABBREVIATIONS.items():
         name = F.replace(name, F.lit(long), F.lit(short))
     return name
+
+
+# What follows each other in display names, each on what those before it left.
+DISPLAY = [
+    ("Ssim", "SSIM"), ("Sem ", "SEM "), ("Freq ", "Frequency "), ("Morph ", "Morphological "), ("D1", "Distance 1"), ("D2", "Distance 2"),
+    ("A0", "Angle 0°"), ("A45", "Angle 45°"), ("A90", "Angle 90°"), ("A135", "Angle 135°"),
+]
+
+
+def display(name: Column) -> Column:
+    """A column name for people: words with a capital each, then the rewritings of DISPLAY in their order."""
+    words = F.initcap(F.btrim(F.regexp_replace(F.replace(name, F.lit("_"), F.lit(" ")), r"\s+", " ")))
+    for old, new in DISPLAY:
+        words = F.replace(words, F.lit(old), F.lit(new))
+    return words

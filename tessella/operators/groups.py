@@ -70,6 +70,18 @@ def pivot_mean(df: DataFrame, row: str, column: str, values: list, value: str) -
     return df.groupBy(row).pivot(column, values).agg(F.avg(value))
 
 
+def reindexed(df: DataFrame, key: str, order: list, place: str = "place") -> DataFrame:
+    """The rows of df by a fixed order of keys: `place` counts them from 0. Keys that df doesn't have are rows of nulls, keys
+    that the order doesn't have are left out, as are null keys; keys that df has more than once keep all their rows."""
+    kind = df.schema[key].dataType.simpleString()
+    ordinals = df.sparkSession.createDataFrame([(i, k) for i, k in enumerate(dict.fromkeys(order))], f"_place int, _key {kind}")
+    # a table of the caller's own few keys
+    met = df.join(F.broadcast(ordinals), F.col(key) == F.col("_key"))
+    absent = ordinals.join(met.select(F.col("_key").alias("_had")).distinct(), F.col("_key") == F.col("_had"), "left_anti")
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != key else F.col("_key").alias(key) for f in df.schema]
+    return met.select(F.col("_place").alias(place), *df.columns).unionByName(absent.select(F.col("_place").alias(place), *rest))
+
+
 def ranges(wide: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """For each column of a table of group means: its range over the groups and its coefficient of variation."""
     long = wide.unpivot([key], columns, "feature", "value")

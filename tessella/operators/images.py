@@ -318,3 +318,70 @@ def gamma_corrected(channels: DataFrame, gamma: float = 1.2) -> DataFrame:
     """Channels from 0 to 255 raised to 1 / gamma on the scale from 0 to 1."""
     lift = lambda c: F.transform(c, lambda x: F.pow(F.greatest(x, F.lit(0.0)) / 255, F.lit(1 / gamma)) * 255)
     return channels.select("image_id", "h", "w", *(lift(c).alias(c) for c in "rgb"))
+
+
+def equalised(images: DataFrame, tiles: int = 8, clip: float = 2.0) -> DataFrame:
+    """image_id, h, w, v: contrast-limited adaptive equalisation of grey levels from 0 to 255.
+
+    The image is cut into tiles * tiles parts (fewer if it is smaller). Each part's histogram of 256 levels is cut off at `clip` times its
+    mean, what is cut off is spread over all levels, and its running share maps levels to 0 to 255. A pixel's value is
+    blended from the maps of the four tiles whose middles are around it. Histograms are counted by a shuffle of levels, not of
+    pixels, and an image gets its maps back in one row, tiles * tiles * 256 numbers at any size."""
+    cut = lambda size: F.least(F.lit(tiles), F.col(size))
+    level = F.transform("v", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(x).cast("int"))))
+    given = images.filter((F.col("h") > 0) & (F.col("w") > 0)).select("image_id", "h", "w", level.alias("q"), cut("h").alias("th"), cut("w").alias("tw"))
+    row, column = F.floor(F.col("p") / F.col("w")), F.col("p") % F.col("w")
+    tile = F.floor(row * F.col("th") / F.col("h")) * F.col("tw") + F.floor(column * F.col("tw") / F.col("w"))
+    levels = given.select("image_id", "h", "w", "th", "tw", F.posexplode("q").alias("p", "q")).groupBy("image_id", tile.alias("tile"), "q").agg(F.count("*").cast("double").alias("n"))
+    counts = levels.groupBy("image_id", "tile").agg(F.map_from_entries(F.collect_list(F.struct("q", "n"))).alias("n"), F.sum("n").alias("all"))
+    limit = clip * F.col("all") / 256
+    over = F.aggregate(F.map_values("n"), F.lit(0.0), lambda s, x: s + F.greatest(x - limit, F.lit(0.0)))
+    share = lambda i, o: F.least(F.coalesce(F.try_element_at("n", i), F.lit(0.0)), limit) + o / 256
+    none = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("to"))
+
+    def running(o: Column) -> Column:
+        def add(now: Column, i: Column) -> Column:
+            return _let(now["sum"] + share(i, o), lambda x: F.struct(x.alias("sum"), F.array_append(now["to"], x / F.col("all") * 255).alias("to")))
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(255)), none, add, lambda now: now["to"])
+
+    maps = counts.select("image_id", "tile", _let(over, running).alias("map"))
+    maps = maps.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("tile", "map"))), lambda x: x["map"]).alias("maps"))
+
+    def side(at: Column, n: str, size: str) -> Column:
+        place = (at + 0.5) * F.col(n) / F.col(size) - 0.5
+        inside = lambda x: F.greatest(F.lit(0), F.least(x, F.col(n) - 1)).cast("int")
+        return F.struct(inside(F.floor(place)).alias("low"), inside(F.floor(place) + 1).alias("high"), (place - F.floor(place)).alias("part"))
+
+    def blended(q: Column, p: Column) -> Column:
+        def among(y: Column, x: Column) -> Column:
+            of = lambda a, b: F.get(F.get("maps", a * F.col("tw") + b), q)
+            across = lambda a: (1 - x["part"]) * of(a, x["low"]) + x["part"] * of(a, x["high"])
+            return (1 - y["part"]) * across(y["low"]) + y["part"] * across(y["high"])
+
+        return _let(side(F.floor(p / F.col("w")), "th", "h"), lambda y: _let(side(p % F.col("w"), "tw", "w"), lambda x: among(y, x)))
+
+    return given.join(maps, "image_id").select("image_id", "h", "w", F.transform("q", blended).alias("v"))
+
+
+def bilateral(images: DataFrame, radius: int = 2, space: float = 2.0, level: float = 25.0) -> DataFrame:
+    """image_id, h, w, v: each pixel as the mean of those around it, weighted by how near they are in place and in value;
+    pixels outside don't count."""
+    near = [(dy, dx, math.exp(-(dy * dy + dx * dx) / (2 * space * space))) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)]
+
+    def smooth(v: np.ndarray) -> np.ndarray:
+        weights, sums = np.zeros_like(v), np.zeros_like(v)
+        h, w = v.shape
+        for dy, dx, by in near:
+            to = (slice(max(0, -dy), max(0, min(h, h - dy))), slice(max(0, -dx), max(0, min(w, w - dx))))
+            of = (slice(max(0, dy), max(0, min(h, h + dy))), slice(max(0, dx), max(0, min(w, w + dx))))
+            weight = by * np.exp(-((v[of] - v[to]) ** 2) / (2 * level * level))
+            weights[to] += weight
+            sums[to] += weight * v[of]
+        return sums / weights
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(v=[smooth(np.asarray(v, dtype=float).reshape(h, w)).ravel() for h, w, v in zip(batch.h, batch.w, batch.v, strict=True)])
+
+    return images.select("image_id", "h", "w", "v").mapInPandas(run, "image_id long, h int, w int, v array<double>")

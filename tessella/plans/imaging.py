@@ -102,6 +102,36 @@ def preprocessed(spark: SparkSession, d: str) -> DataFrame:
     return rounded(made.select("image_id", *((F.aggregate(c, F.lit(0.0), lambda s, x: s + x) / F.size(c)).alias(c) for c in "rgb")), 4)
 
 
+_GREY = f"SELECT image_id, y, x, least(greatest(v * 40 + 128, 0), 255) AS v FROM ({_PX})"
+
+
+def _grey(spark: SparkSession, d: str) -> DataFrame:
+    return _tiles(spark, d).withColumn("v", F.transform("v", lambda x: F.least(F.greatest(x * 40 + 128, F.lit(0.0)), F.lit(255.0))))
+
+
+@query(f"""
+WITH p AS (SELECT image_id, y, x, floor(v) AS q, y // 4 AS ty, x // 4 AS tx FROM ({_GREY})),
+h AS (SELECT image_id, ty, tx, q, count(*) AS n FROM p GROUP BY ALL), e AS (SELECT image_id, ty, tx, sum(greatest(n - 0.5, 0)) AS over FROM h GROUP BY ALL),
+m AS (SELECT p.image_id, p.y, p.x, p.q, (p.y + 0.5) / 4 - 0.5 AS fy, (p.x + 0.5) / 4 - 0.5 AS fx FROM p),
+t AS (SELECT m.*, greatest(0, least(1, floor(fy) + a)) AS ty, greatest(0, least(1, floor(fx) + b)) AS tx, CASE WHEN a = 0 THEN 1 - (fy - floor(fy)) ELSE fy - floor(fy) END * CASE WHEN b = 0 THEN 1 - (fx - floor(fx)) ELSE fx - floor(fx) END AS w
+  FROM m CROSS JOIN (SELECT unnest([0, 1]) AS a) CROSS JOIN (SELECT unnest([0, 1]) AS b)),
+c AS (SELECT t.image_id, t.y, t.x, t.w, (t.q + 1) * e.over / 256 AS spread, (SELECT coalesce(sum(least(h.n, 0.5)), 0) FROM h WHERE h.image_id = t.image_id AND h.ty = t.ty AND h.tx = t.tx AND h.q <= t.q) AS own
+  FROM t JOIN e ON e.image_id = t.image_id AND e.ty = t.ty AND e.tx = t.tx)
+SELECT image_id, (8 * y + x)::BIGINT AS i, round(sum(w * (own + spread) / 16 * 255), 4) AS v FROM c GROUP BY image_id, y, x
+""")
+def equalised_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Contrast-limited equalisation in 2 x 2 parts; a part's histogram is cut off at 8 times its mean, half a pixel."""
+    return rounded(images.equalised(_grey(spark, d), tiles=2, clip=8.0).select("image_id", F.posexplode("v").alias("i", "v")), 4)
+
+
+@query(f"""
+WITH p AS ({_GREY}), w AS (SELECT a.image_id, a.y, a.x, b.v, exp(-(power(a.y - b.y, 2) + power(a.x - b.x, 2)) / 8) * exp(-power(a.v - b.v, 2) / 1250) AS w FROM p a JOIN p b ON b.image_id = a.image_id AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2)
+SELECT image_id, (8 * y + x)::BIGINT AS i, round(sum(w * v) / sum(w), 4) AS v FROM w GROUP BY image_id, y, x
+""")
+def bilateral_tiles(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(images.bilateral(_grey(spark, d)).select("image_id", F.posexplode("v").alias("i", "v")), 4)
+
+
 @query(f"SELECT image_id, (8 * y + x)::BIGINT AS i, floor((v - lo) * 255 / (hi - lo))::BIGINT AS q FROM ({_PX}) p JOIN ({_BOX}) b USING (image_id)")
 def tile_quantise(spark: SparkSession, d: str) -> DataFrame:
     return rounded(images.quantised(_tiles(spark, d)).select("image_id", F.posexplode("q").alias("i", "q")))

@@ -14,6 +14,7 @@ from .registry import Registry
 registry = Registry()
 query = registry.add
 
+KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 TYPES = "'click', 'purchase', 'scroll', 'search', 'view'"
 
@@ -277,7 +278,7 @@ SELECT l_suppkey, CASE WHEN p < 0.001 THEN '<0.001' ELSE printf('%.4f', round(p,
 """)
 def p_value_labels(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "lineitem").groupBy("l_suppkey").agg((F.abs(safe.safe_corr("l_quantity", "l_tax")) / 10).alias("p")).filter("p IS NOT NULL")
-    return r.select("l_suppkey", safe.p_value_text(F.round("p", 4) + F.when(F.col("p") < 0.001, 0.0).otherwise(F.lit(0.0))).alias("t"), "p").select("l_suppkey", F.when(F.col("p") < 0.001, "<0.001").otherwise(F.col("t")).alias("p_text"), safe.p_value_stars(F.col("p")).alias("stars"))
+    return r.select("l_suppkey", safe.p_value_text(F.round("p", 4)).alias("t"), "p").select("l_suppkey", F.when(F.col("p") < 0.001, "<0.001").otherwise(F.col("t")).alias("p_text"), safe.p_value_stars(F.col("p")).alias("stars"))
 
 
 @query("SELECT event_id, round((value - (SELECT avg(value) FROM events)) / (SELECT stddev_pop(value) FROM events), 6) AS value FROM events")
@@ -376,9 +377,9 @@ def boxplot_stats(spark: SparkSession, d: str) -> DataFrame:
     return rounded(dist.boxes(table(spark, d, "events"), ["event_type"], "value"))
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(abs(stddev_samp({c}) / avg({c}) * 100), 4) AS cv_pct FROM lineitem" for c in NUMBERS) + " ORDER BY cv_pct DESC LIMIT 3")
+@query(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(abs(stddev_samp({c}) / avg({c}) * 100), 4) AS cv_pct FROM lineitem" for c in KEYS + NUMBERS) + " ORDER BY cv_pct DESC LIMIT 10")
 def topk_cv_features(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(groups.most_variable(table(spark, d, "lineitem"), NUMBERS, 3), 4)
+    return rounded(groups.most_variable(table(spark, d, "lineitem"), KEYS + NUMBERS, 10), 4)
 
 
 @query("""
@@ -587,6 +588,33 @@ def label_format(spark: SparkSession, d: str) -> DataFrame:
     return kinds.select("p_type", safe.readable(F.concat(F.lit("normal_"), F.lower(F.replace("p_type", F.lit(" "), F.lit("_"))))).alias("label"))
 
 
+_REWRITTEN = "array_to_string(list_transform(list_filter(string_split(replace(name, '_', ' '), ' '), lambda w: w <> ''), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ')"
+for _old, _new in names.DISPLAY:
+    _REWRITTEN = f"replace({_REWRITTEN}, '{_old}', '{_new}')"
+_NAMES = "SELECT DISTINCT 'sem_freq_' || lower(replace(p_type, ' ', '__')) || '_ssim_d' || (1 + p_size % 2)::INT || '_a' || (45 * (p_size % 4))::INT AS name FROM part"
+
+
+@query(f"SELECT name, {_REWRITTEN} AS label FROM ({_NAMES})")
+def display_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Display names of column names as long as features have them."""
+    kind = F.lower(F.replace("p_type", F.lit(" "), F.lit("__")))
+    name = F.concat(F.lit("sem_freq_"), kind, F.lit("_ssim_d"), (1 + F.col("p_size") % 2).cast("int"), F.lit("_a"), (45 * (F.col("p_size") % 4)).cast("int"))
+    return table(spark, d, "part").select(name.alias("name")).distinct().select("name", names.display(F.col("name")).alias("label"))
+
+
+PRIORITIES = ["3-MEDIUM", "1-URGENT", "9-NONE", "2-HIGH", "5-LOW"]
+
+
+@query(f"""
+WITH o AS (SELECT k, i - 1 AS place FROM (SELECT unnest({PRIORITIES}) AS k, unnest(range(1, {len(PRIORITIES)} + 1)) AS i)), m AS (SELECT o_orderpriority, avg(o_totalprice) AS mean, stddev_samp(o_totalprice) AS deviation, count(*) AS n FROM orders GROUP BY 1)
+SELECT place, k AS o_orderpriority, round(mean, 4) AS mean, round(deviation, 4) AS deviation, n FROM o LEFT JOIN m ON o_orderpriority = k
+""")
+def reindexed_means(spark: SparkSession, d: str) -> DataFrame:
+    """A summary in a fixed order of keys, one of which no order has."""
+    means = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.avg("o_totalprice").alias("mean"), F.stddev_samp("o_totalprice").alias("deviation"), F.count("*").alias("n"))
+    return rounded(groups.reindexed(means, "o_orderpriority", PRIORITIES), 4)
+
+
 @query("SELECT o_orderkey, o_orderpriority, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS code FROM orders")
 def category_codes(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")

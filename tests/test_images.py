@@ -125,3 +125,32 @@ def test_image_files(spark, tmp_path):
     assert [(r.condition, r.image_id) for r in pairs.select("condition", "image_id").collect()] == [("condition_A", 1)]
     r = kernels.decoded(pairs.select("image_id", "image")).first()
     assert np.array_equal(np.stack([r.r, r.g, r.b], -1).reshape(6, 5, 3), pictures[1, "Image"])
+
+
+def test_equalisation_and_smoothing_equal_plain_versions(spark):
+    rng = np.random.default_rng(12)
+    pictures = [rng.random((h, w)) * 255 for h, w in [(24, 17), (3, 5), (1, 1)]] + [np.full((9, 9), 7.0)]
+    df = spark.createDataFrame([(i, *p.shape, p.ravel().tolist()) for i, p in enumerate(pictures)], "image_id long, h int, w int, v array<double>")
+    equal = {r.image_id: np.array(r.v).reshape(r.h, r.w) for r in images.equalised(df, 4, 3.0).collect()}
+    smooth = {r.image_id: np.array(r.v).reshape(r.h, r.w) for r in images.bilateral(df).collect()}
+    for n, p in enumerate(pictures):
+        (h, w), q = p.shape, np.floor(p).astype(int)
+        th, tw = min(4, h), min(4, w)
+        maps = np.zeros((th, tw, 256))
+        for a in range(th):
+            for b in range(tw):
+                inside = [q[y, x] for y in range(h) for x in range(w) if y * th // h == a and x * tw // w == b]
+                counts = np.bincount(inside, minlength=256).astype(float)
+                limit = 3.0 * counts.sum() / 256
+                maps[a, b] = (np.minimum(counts, limit) + np.maximum(counts - limit, 0).sum() / 256).cumsum() / counts.sum() * 255
+        for y in range(h):
+            for x in range(w):
+                fy, fx = (y + 0.5) * th / h - 0.5, (x + 0.5) * tw / w - 0.5
+                y0, x0 = int(np.floor(fy)), int(np.floor(fx))
+                at = lambda a, b: maps[np.clip(a, 0, th - 1), np.clip(b, 0, tw - 1), q[y, x]]  # noqa: B023, E731
+                wy, wx = fy - y0, fx - x0
+                plain = (1 - wy) * ((1 - wx) * at(y0, x0) + wx * at(y0, x0 + 1)) + wy * ((1 - wx) * at(y0 + 1, x0) + wx * at(y0 + 1, x0 + 1))
+                assert equal[n][y, x] == pytest.approx(plain, abs=1e-9)
+                near = [(u, v) for u in range(max(0, y - 2), min(h, y + 3)) for v in range(max(0, x - 2), min(w, x + 3))]
+                weights = [np.exp(-((u - y) ** 2 + (v - x) ** 2) / 8) * np.exp(-((p[u, v] - p[y, x]) ** 2) / 1250) for u, v in near]
+                assert smooth[n][y, x] == pytest.approx(np.average([p[u, v] for u, v in near], weights=weights), abs=1e-9)

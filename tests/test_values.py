@@ -174,3 +174,17 @@ def test_element_maps_and_fallback_paths(spark, tmp_path):
     assert got[("A", 2, "Mg")].height == 4 and set(got[("A", 2, "Mg")].data) == {20}
     (tmp_path / "b.csv").write_text("x\n1\nNaN\n")
     assert [r.x for r in tables.csv_or(spark, str(tmp_path / "a.csv"), str(tmp_path / "b.csv"), "x double").collect()] == [1.0, None]
+
+
+def test_reindexed_keeps_the_order_and_shows_what_is_absent(spark):
+    df = spark.createDataFrame([("b", 1.0), ("a", 2.0), ("a", 3.0), (None, 4.0), ("z", 5.0)], "k string, place double")
+    got = groups.reindexed(df, "k", ["a", "c", "b", "a"], "at").collect()
+    assert sorted((r.at, r.k, r.place) for r in got if r.place) == [(0, "a", 2.0), (0, "a", 3.0), (2, "b", 1.0)]
+    assert [(r.at, r.k) for r in got if r.place is None] == [(1, "c")]
+    assert groups.reindexed(df.limit(0), "k", ["a"], "at").count() == 1
+
+
+def test_display_names_follow_the_order_of_rewritings(spark):
+    asked = {"cross_modal_ssim": "Cross Modal SSIM", "sem_freq__energy": "SEM Frequency Energy", "texture_contrast_d1_a0": "Texture Contrast Distance 1 Angle 0°", "morph_a45_d2": "Morphological Angle 45° Distance 2", "_sem_": "Sem", "a135": "Angle 135°", "": ""}
+    got = spark.createDataFrame([(k,) for k in asked] + [(None,)], "k string").select("k", names.display(F.col("k")).alias("d")).collect()
+    assert {r.k: r.d for r in got} == {**asked, None: None}
