@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     bag = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select(F.lit(0).alias("bag"), "doc_id", "text", "toxic", "mass")
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
+        rows = rows.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
         model = fit(rows.text.to_list(), rows.toxic.to_numpy(), rows.mass.to_numpy())
         return pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [model.bias]})
 

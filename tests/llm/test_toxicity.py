@@ -52,3 +52,45 @@ def test_defined_cases(spark, documents):
         assert all(r.score == 0 for r in got if r.doc_id in (1, 2, 3))
     empty = documents([])
     assert toxicity.score(empty, toxicity.train(empty, nothing)).count() == 0
+
+
+def test_texts_that_share_an_id_give_the_same_model_in_any_order(spark, documents, words):
+    rows, labels = corpus(120, words)
+    rows += [(i, words(20, 9000 + i)) for i in range(0, 120, 3)]
+    given = spark.createDataFrame(labels, "doc_id long, toxic int")
+    models = [toxicity.train(documents(r).repartition(n), given) for r, n in ((rows, 1), (rows[::-1], 5))]
+    assert models[0].bias == models[1].bias and (models[0].weights == models[1].weights).all()
+
+
+def plain_score(text, model):
+    left = 1.0
+    for sentence in toxicity._SENTENCE.findall(text):
+        found = toxicity._WORD.findall(sentence.lower())
+        if found:
+            z = model.bias + sum(float(model.weights[f]) for w in found for f in toxicity.word_features(w))
+            left *= 1 - 1 / (1 + np.exp(-z))
+    return 1 - left
+
+
+def test_scores_and_training_against_plain_loops(words):
+    """Scores equal a plain loop, and training ends where moving any weight that words have, or the bias, hardly lowers the loss."""
+    rows, labels = corpus(150, words)
+    texts, y = [t for _, t in rows], np.array([x for _, x in labels])
+    weights = np.where(y == 1, 2.0, 1.0)
+    model = toxicity.fit(texts, y, weights)
+    scorer = toxicity.Scorer(model)
+    assert all(abs(scorer.sentences(t)[0] - plain_score(t, model)) < 1e-5 for t in texts[:40])
+
+    def loss(m):
+        p = np.clip([plain_score(t, m) for t in texts], 1e-9, 1 - 1e-9)
+        return (weights * -np.where(y == 1, np.log(p), np.log(1 - p))).sum() / weights.sum() + toxicity.SPARE * np.abs(m.weights).sum()
+
+    start = toxicity.Model(np.zeros_like(model.weights), model.bias)
+    assert loss(model) < 0.6 * loss(start)
+    best = loss(model)
+    for f in [None, *np.argsort(-np.abs(model.weights))[:4]]:
+        for step in (-0.3, 0.3):
+            moved = toxicity.Model(model.weights.copy(), model.bias + (step if f is None else 0))
+            if f is not None:
+                moved.weights[f] += step
+            assert loss(moved) > best - 2e-3
