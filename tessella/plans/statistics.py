@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessella.functions import names, safe
-from tessella.operators import clusters, distributions as dist, groups, relations, surfaces
+from tessella.operators import clusters, distributions as dist, groups, metric_join, relations, surfaces
 from tessella.operators.ranks import numbered
 from tessella.sources.tables import table
 
@@ -457,6 +457,15 @@ def similarity_edges(spark: SparkSession, d: str) -> DataFrame:
     return rounded(relations.similarity_edges(_distances(spark, d)))
 
 
+@query("""
+WITH v AS (SELECT embedding::DOUBLE[] AS v, min(vec_id) AS k, count(*) AS n FROM embeddings GROUP BY 1)
+SELECT a.k AS i, b.k AS j, a.n AS ni, b.n AS nj, round(list_distance(a.v, b.v), 6) AS distance FROM v a JOIN v b ON a.k < b.k AND list_distance(a.v, b.v) <= 1.2
+""")
+def near_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The graph of all vectors at most 1.2 apart."""
+    return rounded(metric_join.near_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 1.2))
+
+
 def _wide(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
     columns = [f"e{i}" for i in range(64)]
     return table(spark, d, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(columns))), columns
