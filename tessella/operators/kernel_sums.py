@@ -8,8 +8,8 @@ cells within reach, which grows with the points and not with their square.
 Cells and points meet in blocks of SPAN cells an edge, as wide as the kernel reaches: a cell goes to the 27 blocks around it, a
 block's points are dealt into parts of about PART. Nothing else grows with a block.
 
-Left out are kernels beyond REACH, each below exp(-REACH^2 / 2) = 1.6e-8 of the peak, and terms of degree TERMS and more, below
-5e-8 of it: a mean of kernels is off by less than BOUND times their peak.
+Left out are kernels beyond REACH, each below exp(-REACH^2 / 2) = 6e-13 of the peak, and terms of degree TERMS and more, below
+1e-9 of it: a mean of kernels is off by less than BOUND times their peak.
 """
 
 from __future__ import annotations
@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessella.sources.scratch import written
 
-CELL, SPAN, REACH, TERMS = 0.5, 12, 6.0, 10
+CELL, SPAN, REACH, TERMS = 0.5, 15, 7.5, 12
 DIRECT, PART = 32, 4096
-BOUND = 1e-7
+BOUND = 2e-9
 _POWERS = [a for a in product(range(TERMS), repeat=3) if sum(a) < TERMS]
 _U, _CELL = ["x", "y", "z"], ["i", "j", "k"]
 #: Cells that may be evaluated at once, times points.
