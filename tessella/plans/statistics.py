@@ -611,17 +611,17 @@ def display_labels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(name.alias("name")).distinct().select("name", names.display(F.col("name")).alias("label"))
 
 
-PRIORITIES = ["3-MEDIUM", "1-URGENT", "9-NONE", "2-HIGH", "5-LOW"]
+REPORTED = ["3-MEDIUM", "1-URGENT", "9-NONE", "2-HIGH", "5-LOW"]
 
 
 @query(f"""
-WITH o AS (SELECT k, i - 1 AS place FROM (SELECT unnest({PRIORITIES}) AS k, unnest(range(1, {len(PRIORITIES)} + 1)) AS i)), m AS (SELECT o_orderpriority, avg(o_totalprice) AS mean, stddev_samp(o_totalprice) AS deviation, count(*) AS n FROM orders GROUP BY 1)
+WITH o AS (SELECT k, i - 1 AS place FROM (SELECT unnest({REPORTED}) AS k, unnest(range(1, {len(REPORTED)} + 1)) AS i)), m AS (SELECT o_orderpriority, avg(o_totalprice) AS mean, stddev_samp(o_totalprice) AS deviation, count(*) AS n FROM orders GROUP BY 1)
 SELECT place, k AS o_orderpriority, round(mean, 4) AS mean, round(deviation, 4) AS deviation, n FROM o LEFT JOIN m ON o_orderpriority = k
 """)
 def reindexed_means(spark: SparkSession, d: str) -> DataFrame:
     """A summary in a fixed order of keys, one of which no order has."""
     means = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.avg("o_totalprice").alias("mean"), F.stddev_samp("o_totalprice").alias("deviation"), F.count("*").alias("n"))
-    return rounded(groups.reindexed(means, "o_orderpriority", PRIORITIES), 4)
+    return rounded(groups.reindexed(means, "o_orderpriority", REPORTED), 4)
 
 
 @query("SELECT o_orderkey, o_orderpriority, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS code FROM orders")
