@@ -13,7 +13,8 @@ Candidates don't expand into all pairs of a bucket:
    first shingles, and enough of what follows it. Pairs across components that share such a shingle, with sizes and places
    that allow the similarity, are confirmed as well, so no link is lost. Copies edited in different places have their
    edits first, so they don't all meet.
-Confirming reads the whole texts of both sides again. No bucket, class or component is gathered in one task.
+Confirming reads full sets, made once from the whole texts of all members of buckets; the partners of a crowded end are
+dealt to several parts. No bucket, class or component is gathered in one task.
 
 Defined cases: a null or blank text has an empty set, is linked with nothing and stands for itself. Fewer words than a
 shingle has make one shingle. Rows with a null doc_id are left out. Rows that share a doc_id are one document, of the
@@ -95,42 +96,64 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
+def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """id, shingles: the sorted shingle set of each document asked for, eight bytes a shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str | None, np.ndarray] = (None, np.empty(0, np.uint64))
+        for batch in batches:
+            sets = pa.array([shingle_set(text.as_py(), words).tobytes() for text in batch["text"]], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["id"], sets], ["id", "shingles"])
+
+    return docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id").mapInArrow(run, "id long, shingles binary")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough. pairs: a, b and centre, the one of both that may have
+    very many partners.
+
+    The n partners of a centre are dealt to about sqrt(n) / 4 parts. Each part begins with the centre's set, which is
+    copied no oftener than that, and streams its partners' sets past it, so no pair carries two sets and no part is held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.empty(0, np.uint64)
         for batch in batches:
             a, b = [], []
-            for i, j, x, y in zip(*(batch[c].to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
-                if last[0] != y:
-                    last = (y, shingle_set(y, words))
-                s, t = shingle_set(x, words), last[1]
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                if both and 100 * both >= percent * (len(s) + len(t) - both):
-                    a.append(i)
-                    b.append(j)
+            for centre, i, shingles in zip(batch["centre"].to_pylist(), batch["id"].to_pylist(), batch["shingles"], strict=True):
+                s = np.frombuffer(shingles.as_buffer(), np.uint64)
+                if i == centre:
+                    own = s.copy()
+                    continue
+                both = len(np.intersect1d(s, own, assume_unique=True))
+                if both and 100 * both >= percent * (len(s) + len(own) - both):
+                    a.append(max(i, centre))
+                    b.append(min(i, centre))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    texts = docs.select(F.col("doc_id").alias("id"), "text").filter("text IS NOT NULL")
-    side = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long").distinct()
+    parts = F.ceil(F.sqrt(F.count("*")) / 4).cast("int")
+    centres = written(pairs.groupBy("centre").agg(parts.alias("parts")), "minmax-centres")
+    member = F.when(F.col("centre") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+    part = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")
+    members = pairs.select("centre", member.alias("id")).join(few(centres.filter("parts > 1")), "centre", "left").select("centre", part.alias("part"), F.lit(1).alias("turn"), "id")
+    copies = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    first = centres.select("centre", copies, F.lit(0).alias("turn"), F.col("centre").alias("id"))
+    met = first.unionByName(members).join(sets, "id").repartition("centre", "part").sortWithinPartitions("centre", "part", "turn")
+    return met.select("centre", "id", "shingles").mapInArrow(run, "a long, b long")
 
 
-def prefixes(ids: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def prefixes(ids: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """id, n, token, pos: of each document the rarest shingles, in one order for all, that can't all be missing from a
     similar document; pos counts from 1. Shingles that no other of these documents has are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                s = shingle_set(text, words).view(np.int64)
+            for i, shingles in zip(batch["id"].to_pylist(), batch["shingles"], strict=True):
+                s = np.frombuffer(shingles.as_buffer(), np.int64)
                 for at in range(0, len(s), 10_000):
                     part = s[at : at + 10_000]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), i)), pa.array(part)], ["id", "token"])
 
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id")
-    each = written(texts.mapInArrow(run, "id long, token long"), "minmax-shingles")
+    each = sets.join(ids, "id").select("id", "shingles").mapInArrow(run, "id long, token long")
     counts = written(each.groupBy("token").agg(F.count("*").alias("df")), "minmax-counts")
     ordered = each.join(counts, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))
     sized = ordered.withColumn("n", F.size("s").cast("long"))
@@ -165,13 +188,16 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     ends = banded.groupBy("key").agg(F.min(F.struct("id", "n")).alias("low"), F.max(F.struct("id", "n")).alias("high")).filter("low.id <> high.id")
     members = written(banded.join(ends, "key"), "minmax-members")
     stars = members.select("id", "n", F.explode(F.array("low", "high")).alias("end")).filter("id <> end.id").filter(_near_size("n", "end.n", percent))
-    met = written(stars.select(F.greatest("id", "end.id").alias("a"), F.least("id", "end.id").alias("b")).distinct(), "minmax-pairs")
-    links = written(confirmed(met, docs, words, percent), "minmax-links")
+    met = stars.groupBy(F.greatest("id", "end.id").alias("a"), F.least("id", "end.id").alias("b")).agg(F.max("end.id").alias("centre"))
+    met = written(met, "minmax-pairs")
+    # what can be asked for below are members of buckets: their sets are made once
+    sets = written(shingle_sets(docs, few(written(members.select("id").distinct(), "minmax-asked")), words), "minmax-sets")
+    links = written(confirmed(met, sets, percent), "minmax-links")
     found = written(components(links), "minmax-components")
 
     own = members.select("key", "id", "n").join(found, members["id"] == found["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
     rest = written(_open(own).select("id", "c").distinct(), "minmax-open")
-    listed = _open(prefixes(rest.select("id"), docs, words, percent).join(rest, "id").withColumnRenamed("token", "key"))
+    listed = _open(prefixes(rest.select("id"), sets, percent).join(rest, "id").withColumnRenamed("token", "key"))
     # from its place on, a document must have enough in common with even the smallest one listed under the shingle
     listed = written(listed, "minmax-listed")
     left = F.col("n") - F.col("pos") + 1
@@ -182,7 +208,8 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     enough = (100 + percent) * F.least("leftx", "lefty") >= percent * (F.col("nx") + F.col("ny"))
     across = x.join(y, "key").filter("idx > idy AND cx <> cy").filter(_near_size("nx", "ny", percent) & enough)
     across = across.select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
-    more = written(confirmed(across, docs, words, percent), "minmax-links")
+    across = written(across.withColumn("centre", F.col("b")), "minmax-pairs")
+    more = written(confirmed(across, sets, percent), "minmax-links")
     if more.limit(1).count():
         found = written(components(links.unionByName(more)), "minmax-components")
 
