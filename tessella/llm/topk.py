@@ -4,8 +4,9 @@ Components become integers, floor(scale * x). The approximation file is a table
 component, its cell out of CELLS of equal width between the least and the greatest value of that component.
 
 1. Scan the file in blocks for bounds: from the cells alone a query gets a lower and an upper bound of its inner product
-   with each candidate. The k best lower bounds over all blocks give the query's limit: its kth best score is no smaller.
-2. Scan it again, for the candidates whose upper bound reaches the limit. Only their exact vectors are read, by a join.
+   with each candidate. A block keeps the candidates whose upper bound reaches the kth best lower bound inside it.
+2. The k best lower bounds over all blocks, which are all among those kept, give the query's limit: its kth best score is
+   no smaller. Only candidates whose upper bound reaches it stay, and only their exact vectors are read, by a join.
 3. Exact vectors are read in the order of upper bounds: first each query's FIRST * k best; their kth exact score is a
    sharper limit, and of the others only those whose upper bound reaches it are read. Then the kth result is certain.
 
@@ -109,43 +110,29 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, scale: int = 25
     asked = written(whole(queries).groupBy("id").agg(F.min("v").alias("v")).select(F.col("id").alias("q"), "v"), "topk-queries")
     q_blocks, c_blocks = (max(1, -(-df.count() // block)) for df in (asked, file))
 
-    def scan(asked: DataFrame, keep, kind: str) -> DataFrame:
-        """keep(query rows, file rows, lower and upper bounds without the query's own rows) over all pairs of blocks."""
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        left = asked.withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(q_blocks)).cast("int")).withColumn("cb", every(c_blocks))
-        right = file.withColumn("cb", F.pmod(F.xxhash64("row"), F.lit(c_blocks)).cast("int")).withColumn("qb", every(q_blocks))
-        names = [x.split()[0] for x in kind.split(", ")]
-
-        def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            if len(a) and len(b):
-                n = len(a.v.iloc[0])
-                cells = np.frombuffer(b"".join(b.cells), np.uint8).reshape(len(b), n)
-                for at in range(0, len(a), 128):
-                    some = a.iloc[at : at + 128]
-                    ends = grid[n].bounds(np.stack(some.v.to_list()).reshape(len(some), n), cells) if n else [np.zeros((len(some), len(b)), np.int64)] * 2
-                    other = some.q.to_numpy()[:, None] != b.id.to_numpy()[None, :]
-                    out.append(keep(some, b, *ends, other))
-            return pd.concat(out) if out else pd.DataFrame({x: [] for x in names}).astype("int64")
-
-        keys = ["qb", "cb", "n"]
-        return left.withColumn("n", F.size("v")).groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, kind)
-
-    def lows(some: pd.DataFrame, b: pd.DataFrame, low: np.ndarray, high: np.ndarray, other: np.ndarray) -> pd.DataFrame:
-        low = np.where(other, low, NO_LIMIT)
-        best = -np.partition(-low, min(k, low.shape[1]) - 1, axis=1)[:, :k]
-        found = pd.DataFrame({"q": np.repeat(some.q.to_numpy(), best.shape[1]), "low": best.ravel()})
-        return found[found.low > NO_LIMIT]
-
-    limits = _best(scan(asked, lows, "q long, low long"), [F.desc("low")], k).groupBy("q").agg(F.min("low").alias("low"), F.count("*").alias("n"))
-    limits = limits.select("q", F.when(F.col("n") == k, F.col("low")).otherwise(F.lit(NO_LIMIT)).alias("least"))
-    asked = written(asked.join(limits, "q"), "topk-limits")
-
-    def reach(some: pd.DataFrame, b: pd.DataFrame, low: np.ndarray, high: np.ndarray, other: np.ndarray) -> pd.DataFrame:
-        i, j = np.nonzero((high >= some.least.to_numpy()[:, None]) & other)
-        return pd.DataFrame({"q": some.q.to_numpy()[i], "row": b.row.to_numpy()[j], "id": b.id.to_numpy()[j], "high": high[i, j]})
-
-    near = written(scan(asked, reach, "q long, row long, id long, high long"), "topk-near")
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({x: [] for x in ("q", "row", "id", "low", "high")}).astype("int64")]
+        if len(a) and len(b):
+            n = len(a.v.iloc[0])
+            cells = np.frombuffer(b"".join(b.cells), np.uint8).reshape(len(b), n)
+            for at in range(0, len(a), 128):
+                some = a.iloc[at : at + 128]
+                low, high = grid[n].bounds(np.stack(some.v.to_list()).reshape(len(some), n), cells) if n else [np.zeros((len(some), len(b)), np.int64)] * 2
+                other = some.q.to_numpy()[:, None] != b.id.to_numpy()[None, :]
+                low = np.where(other, low, NO_LIMIT)
+                at_least = -np.partition(-low, k - 1, axis=1)[:, k - 1 : k] if len(b) >= k else NO_LIMIT
+                i, j = np.nonzero((high >= at_least) & other)
+                out.append(pd.DataFrame({"q": some.q.to_numpy()[i], "row": b.row.to_numpy()[j], "id": b.id.to_numpy()[j], "low": low[i, j], "high": high[i, j]}))
+        return pd.concat(out)
+
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(q_blocks)).cast("int")).withColumn("cb", every(c_blocks)).withColumn("n", F.size("v"))
+    right = file.withColumn("cb", F.pmod(F.xxhash64("row"), F.lit(c_blocks)).cast("int")).withColumn("qb", every(q_blocks))
+    keys = ["qb", "cb", "n"]
+    kept = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "q long, row long, id long, low long, high long")
+    kept = written(kept, "topk-kept")
+    limits = _best(kept, [F.desc("low")], k).groupBy("q").agg(F.min("low").alias("least"), F.count("*").alias("n")).filter(F.col("n") == k)
+    near = kept.join(limits.select("q", "least"), "q", "left").filter("least IS NULL OR high >= least").select("q", "row", "id", "high")
     product = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x)
 
     def read(pairs: DataFrame) -> DataFrame:
