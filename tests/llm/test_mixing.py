@@ -101,6 +101,11 @@ def signed(n):
     return n - (1 << 64) if n >> 63 else n
 
 
+def draw_number(i):
+    """The number in [0, 1) that decides whether a document is drawn."""
+    return (signed(xxhash.xxh64_intdigest((11).to_bytes(4, "little"), xxhash.xxh64_intdigest(str(i), 42))) % 2**40) / 2**40
+
+
 def plain_mix(rows, targets, keep):
     """The whole operator over lists: topics, cells, raking, calibration and draw. rows: doc_id, text, lang, source."""
     hasher, fine = mixing.Hasher(), mixing.FINE // mixing.UNIT
@@ -162,8 +167,7 @@ def test_whole_operator_matches_a_plain_version(spark, documents, words, targets
     for i, topic, tokens, chance in want:
         assert (got[i]._topic, got[i]._tokens) == (topic, tokens)
         assert got[i]._probability == pytest.approx(chance, rel=1e-2)
-        u = (signed(xxhash.xxh64_intdigest((11).to_bytes(4, "little"), xxhash.xxh64_intdigest(str(i), 42))) % 2**40) / 2**40
-        assert got[i]._drawn == (u < got[i]._probability)
+        assert got[i]._drawn == (draw_number(i) < got[i]._probability)
 
 
 def test_clashing_columns(documents):

@@ -3,6 +3,7 @@ import numpy as np
 import public_tokenizers
 from test_line_dedup import plain as plain_lines
 from test_minmax_dedup import plain as plain_near
+from test_mixing import draw_number, plain_mix
 from test_quality import plain as plain_quality
 
 from tessella.llm import line_dedup, mixing, packing, quality
@@ -29,8 +30,8 @@ def test_each_stage_against_a_plain_version(spark, documents, words, tmp_path):
     rebuilt = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if kept.get((d, i), (1,))[-1]) for d, t in texts[1].items()}
     assert texts[2] == {d: t for d, t in rebuilt.items() if t.strip()}
     assert set(texts[3]) == {d for d, (_, _, stays) in plain_near(list(texts[2].items()), 5, 80).items() if stays}
-    drawn = mixing.mix(steps[2]).filter("_drawn").select("doc_id").collect()
-    assert set(texts[4]) == {r.doc_id for r in drawn} < set(texts[3])
+    given = [(r.doc_id, r.text, r.lang, r.source) for r in steps[2].collect()]
+    assert set(texts[4]) == {d for d, _, _, chance in plain_mix(given, {}, mixing.KEEP) if draw_number(d) < chance} < set(texts[3])
     encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     assert steps[4].selectExpr("sum(length)").first()[0] == sum(len(encoder.plain(t)) + 1 for t in texts[4].values())
     assert np.all([p.length <= packing.LENGTH for p in steps[4].collect()])
