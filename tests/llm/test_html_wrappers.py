@@ -143,6 +143,112 @@ def test_a_wrapper_is_bounded_and_loses_no_text(spark):
     assert all(got[n].startswith(" ".join(f"part {n} {i}" for i in range(30))) for n in range(40))
 
 
+def wide_page(n, names, more=""):
+    """Short constant texts in elements with names of their own around what varies."""
+    ours = "".join(f"<div class='x{i}'>Ours {i}</div>" for i in names)
+    return f"<body>{ours}<div class=text><h1>Head {n}</h1><p>Text {n} is longer than what is ours by far, {n * n}</p></div>{more}</body>"
+
+
+def told(n):
+    return f"Head {n} Text {n} is longer than what is ours by far, {n * n}"
+
+
+def test_wide_nodes_keep_their_template(spark):
+    r = random.Random(4)
+    pages = [(f"http://k/{n}", wide_page(n, r.sample(range(600), 240))) for n in range(60)]
+    pages += [(f"http://few/{n}", wide_page(n, [7])) for n in range(6)]
+    assert text_of(spark, pages) == [told(n) for n in (*range(60), *range(6))]
+
+
+def test_wide_nodes_count_from_both_ends(spark):
+    r = random.Random(9)
+
+    def html(n):
+        own = "".join(f"<p>Own {n} {i}</p><div class='own{n}q{i}'>more</div>" for i in range(r.randint(1, 9)))
+        return f"<body><p>By our staff</p><h2>{n}</h2>{own}" + "".join(f"<div class='x{i}'>Ours</div>" for i in r.sample(range(600), 240)) + "<p>Made by us</p></body>"
+
+    pages = [html(n) for n in range(30)]
+    want = [" ".join([str(n), *(f"Own {n} {i} more" for i in range(h.count("more")))]) for n, h in enumerate(pages)]
+    assert text_of(spark, [(f"http://k/{n}", h) for n, h in enumerate(pages)]) == want
+
+
+def test_wide_nodes_inside_wide_nodes(spark):
+    r = random.Random(5)
+
+    def nested(n):
+        inner = "".join(f"<section class='y{i}'><b>Inner {i}</b></section>" for i in r.sample(range(500), 240))
+        own = "".join(f"<div class='own{n}q{i}'>Only {n} {i}</div>" for i in range(3))
+        return wide_page(n, r.sample(range(500), 230), f"<div class=list>{inner}</div>{own}")
+
+    got = text_of(spark, [(f"http://k/{n}", nested(n)) for n in range(30)])
+    assert got == [f"{told(n)} " + " ".join(f"Only {n} {i}" for i in range(3)) for n in range(30)]
+
+
+def test_neighbours_may_be_wide_together(spark):
+    r = random.Random(10)
+
+    def half(n, k):
+        ours = "".join(f"<section class='x{i}'>Ours {i}</section>" for i in r.sample(range(600), 130))
+        return f"<div>{ours}<h3>Own {n} {k}</h3></div>"
+
+    # one repeated group on the page itself
+    got = text_of(spark, [(f"http://k/{n}", f"<body>{half(n, 0)}{half(n, 1)}<p>Text {n}</p></body>") for n in range(40)])
+    assert got == [f"Own {n} 0 Own {n} 1 Text {n}" for n in range(40)]
+
+
+def test_a_wide_node_may_be_content_against_its_name(spark):
+    r = random.Random(11)
+    long = "words of text number {0} " * 60
+
+    def html(n):
+        ours = "".join(f"<section class='x{i}'>Ours {i}</section>" for i in r.sample(range(400), 130))
+        return f"<body><p>Site</p><div class='widget post'>{ours}<h1>Head {n}</h1><p>{long.format(n)}</p></div><div class=ad>Buy {n}</div></body>"
+
+    got = text_of(spark, [(f"http://k/{n}", html(n)) for n in range(40)])
+    assert got == [f"Head {n} " + " ".join(long.format(n).split()) for n in range(40)]
+
+
+def test_wide_hosts_count_what_their_pieces_hold(spark):
+    r = random.Random(6)
+    long = "words of text number {0} " * 20
+
+    def widget(n):
+        ours = "".join(f"<div class='x{i}'>Ours {i}</div>" for i in r.sample(range(600), 240))
+        return f"<body>{ours}<p>{n}</p><div class='widget post'><h1>Head {n}</h1><p>{long.format(n)}</p></div></body>"
+
+    # most of what varies is in an element that its name hints away
+    got = text_of(spark, [(f"http://k/{n}", widget(n)) for n in range(30)])
+    assert got == [f"{n} Head {n} " + " ".join(long.format(n).split()) for n in range(30)]
+
+
+def test_wide_hosts_equal_an_alignment_without_bound(spark, monkeypatch):
+    # what all pages hold comes in one order, so there is one alignment; elements that one page alone holds make the union wide
+    def html(n):
+        own = [f"<p class='own{n}q{i}'>Own {n} {i}</p>" for i in range(4)]
+        links = [f"<ul class='x{i}'>" + "".join(f"<li><a href='/{n}{j}'>see {n} {j}</a></li>" for j in range(3)) + "</ul>" for i in range(20)]
+        ours = [f"<div class='x{i}'>{'Ours' if i % 3 else n} {i}</div>" for i in range(80)]
+        return f"<body>{own[0]}{''.join(links)}bare {own[1]}{''.join(ours)}{own[2]}<main><h1>Tip {n}</h1></main>{own[3]}Made by us</body>"
+
+    pages = [html(n) for n in range(40)]
+    got = text_of(spark, [(f"http://k/{n}", h) for n, h in enumerate(pages)])
+    capped = json.loads(plain_wrapper(pages))
+    monkeypatch.setattr(w, "KIDS", 10**9)
+    whole = json.loads(plain_wrapper(pages))
+    assert list(w.wide_keys(capped)) and not list(w.wide_keys(whole))
+    assert got == [w.main_text(h, w.template_of(whole)) for h in pages] and "Ours" not in got[0] and "Own 0 3" in got[0]
+
+
+def test_wide_hosts_do_not_depend_on_storage(spark):
+    r = random.Random(8)
+    rows = [(n, f"http://k{n % 2}/{n}", wide_page(n // 3, random.Random(n).sample(range(600), 150), "bare<ul><li>a<li>b</ul>end")) for n in range(60)] * 2
+    found = []
+    for n in (1, 4, 32):
+        r.shuffle(rows)
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(n)
+        found.append(sorted(map(tuple, w.extract(df).collect())))
+    assert len(found[0]) == 120 and found[0] == found[1] == found[2]
+
+
 def test_text_comes_through_the_wrapper(spark):
     def html(n):
         return f"<body><main><p>By our staff</p><h1>Head {n}</h1><p>Text {n}</p></main></body>"
