@@ -21,8 +21,10 @@ from tessella.sources.scratch import written
 
 #: Rounding of the threshold, as a part of it, and of distances, as a part of them.
 SLACK, ROUNDING = 1e-9, 1e-12
-#: Classes in a block, at most and (if there are so many) at least; in a tile; pairs that are compared at once; tasks at most.
+#: Classes in a block, usually and at least (if there are so many); in a tile; pairs that are compared at once; tasks at most.
 SIZE, LEAST, TILE, CHUNK, TASKS = 4096, 1024, 128, 4096, 10_000
+#: Components in a block of more than SIZE classes, at most.
+WHOLE = 2**20
 #: Larger distances than this would overflow when squared.
 FAR = 1e154
 LENGTHS = "vectors must be of one length"
@@ -83,6 +85,11 @@ def block_pairs(placed: DataFrame, pivots: int, most: float) -> DataFrame:
     return side("a").join(F.broadcast(side("b")), meets).select("a", "b")
 
 
+def block_size(classes: int, dimensions: int) -> int:
+    """As each block visits all others at worst, there are some 12 to 24 of them as long as a block's components fit WHOLE."""
+    return max(min(SIZE, max(LEAST, -(-classes // 12))), min(-(-classes // 24), WHOLE // dimensions))
+
+
 class _Side:
     """The classes of a block, in order, and its tiles: runs of a cell's classes with the least and greatest distances to each pivot."""
 
@@ -170,7 +177,7 @@ def candidates(found: DataFrame, threshold: float, pivots: int = 16, size: int |
     chosen = np.array(firsts, "f8")
     if not chosen.size:
         return found.sparkSession.createDataFrame([], schema)
-    size = size or min(SIZE, max(LEAST, -(-found.count() // 12)))
+    size = size or block_size(found.count(), chosen.shape[1])
     placed = numbered(_placed(found, chosen), ["cell", "near", "k"], name="at")
     placed = written(placed.withColumn("block", F.floor((F.col("at") - 1) / size)), "metric-blocks")
     pairs = written(block_pairs(placed, len(chosen), threshold * (1 + SLACK)), "metric-pairs")

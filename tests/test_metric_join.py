@@ -93,3 +93,8 @@ def test_cases_of_keys(spark):
     assert [tuple(r) for r in found] == [(1, 2, 1, 2, 0.25)] * 2
     with pytest.raises(Exception, match="one length"):
         metric_join.near_pairs(spark.createDataFrame([(i, [0.0] * (1 + (i == 40))) for i in range(80)], ROWS), "k", "v", 1.0).collect()
+
+
+def test_block_size():
+    assert [metric_join.block_size(n, 64) for n in (0, 1, 10_256, 51_282, 205_128, 10**9)] == [1024, 1024, 1024, 4096, 8547, 16384]
+    assert metric_join.block_size(10**9, 1024) == 4096
